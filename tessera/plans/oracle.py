@@ -79,3 +79,57 @@ ORACLE["grid_pivot"] = with_(
     + ", ".join(f"CAST(sum(value) FILTER (WHERE class = {_q(n)}) AS BIGINT) AS \"{n}\"" for n in K.CLASS_NAMES)
     + "\nFROM area GROUP BY img_name, grid",
 )
+
+NAMES_LIST = "[" + ", ".join(_q(n) for n in K.CLASS_NAMES) + "]"
+QA_CTE = f"""per_line AS (
+    SELECT l_orderkey, l_linenumber,
+           list_sort(list_distinct(list(CASE WHEN l_partkey % 17 < 16
+                THEN {CELL_SQL.format(g='CAST(l_partkey % 17 AS INTEGER)')} ELSE 'z9' END))) AS cells,
+           list_distinct(list(CAST(l_partkey % 43 AS INTEGER))) AS ords,
+           min(l_suppkey) AS min_supp
+    FROM lineitem GROUP BY ALL),
+per_order AS (
+    SELECT l_orderkey, list(cells ORDER BY l_linenumber) AS grid_coordinates,
+           list_sort(list_distinct(flatten(list(ords)))) AS ords, min(min_supp) AS min_supp
+    FROM per_line GROUP BY ALL),
+qa AS (
+    SELECT o.o_orderkey AS index, s.s_name AS img_name, o.o_orderpriority AS question,
+           o.o_orderstatus AS question_type,
+           CASE WHEN p.ords IS NOT NULL
+                THEN array_to_string(list_transform(p.ords, lambda o: {NAMES_LIST}[o + 1]), ', ') END AS answer,
+           coalesce(p.grid_coordinates, []) AS grid_coordinates, p.ords AS ords
+    FROM orders o LEFT JOIN per_order p ON o.o_orderkey = p.l_orderkey
+    LEFT JOIN supplier s ON s.s_suppkey = p.min_supp)"""
+
+TABLE_TEXT_CTE = """tt AS (
+    SELECT img_name,
+           coalesce(string_agg(CASE WHEN value <> 0 THEN '(' || class || ',' || grid || '):' || CAST(value AS VARCHAR) END,
+                               ',' ORDER BY grid_ord, class_ord), '') AS tbl
+    FROM area GROUP BY img_name)"""
+
+ORACLE["qa_scan"] = with_(
+    QA_CTE,
+    """SELECT index, img_name, question, question_type, answer,
+       CAST(len(grid_coordinates) AS INTEGER) AS n_lines, array_to_string(flatten(grid_coordinates), ' ') AS coords
+FROM qa""",
+)
+
+ORACLE["head_rows"] = with_(QA_CTE, "SELECT index, img_name, question FROM qa ORDER BY index LIMIT 10")
+
+ORACLE["prompt_text"] = with_(
+    f"{AREA_CTE},\n{QA_CTE},\n{TABLE_TEXT_CTE}",
+    "SELECT q.index, 'Question: ' || q.question || '; Table: ' || coalesce(tt.tbl, '') AS text\n"
+    "FROM qa q LEFT JOIN tt ON tt.img_name = q.img_name",
+)
+
+ORACLE["missing_context"] = with_(
+    f"{MASK_PX_CTE},\n{QA_CTE}",
+    "SELECT q.index, q.img_name, q.question FROM qa q\n"
+    "WHERE NOT EXISTS (SELECT 1 FROM mask_src m WHERE m.img_name = q.img_name)",
+)
+
+ORACLE["flat_context"] = with_(
+    AREA_CTE,
+    "SELECT img_name, string_agg(CAST(value AS VARCHAR), ',' ORDER BY grid_ord, class_ord) AS \"values\"\n"
+    "FROM area GROUP BY img_name",
+)

@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import batching as B
 from ..operators import grid as G
+from ..operators import prompts as P
 from ..sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +49,42 @@ def q_grid_area(spark, sf):
 @query
 def q_grid_pivot(spark, sf):
     return G.grid_pivot(G.grid_area(D.masks(spark, sf)))
+
+
+# --- questions and prompts --------------------------------------------------------------
+def _qa_flat(qa):
+    return qa.select(
+        "index",
+        "img_name",
+        "question",
+        "question_type",
+        "answer",
+        F.size("grid_coordinates").alias("n_lines"),
+        F.array_join(F.flatten("grid_coordinates"), " ").alias("coords"),
+    )
+
+
+@query
+def q_qa_scan(spark, sf):
+    return _qa_flat(D.qa(spark, sf))
+
+
+@query
+def q_head_rows(spark, sf):
+    return B.head_rows(D.qa(spark, sf), 10, "index").select("index", "img_name", "question")
+
+
+@query
+def q_prompt_text(spark, sf):
+    return P.prompt_text(D.qa(spark, sf), G.grid_area(D.masks(spark, sf)), missing="empty")
+
+
+@query
+def q_missing_context(spark, sf):
+    return P.missing_context(D.qa(spark, sf), G.grid_area(D.masks(spark, sf)))
+
+
+@query
+def q_flat_context(spark, sf):
+    flat = P.flat_context(G.grid_area(D.masks(spark, sf)))
+    return flat.select("img_name", F.array_join("values", ",").alias("values"))

@@ -47,9 +47,12 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
         idx = (F.col("s_suppkey") * 7 + F.floor(x / 12) * 3 + F.floor(y / 10) * 5 + (x * y) % 3) % n
         return F.element_at(codes, (idx + 1).cast("int"))
 
+    # An explicit partition count: AQE would otherwise coalesce the tiny source rows into
+    # one partition and generate every pixel in a single task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         sup.select(F.col("s_name").alias("img_name"), "s_suppkey", side.alias("height"), side.alias("width"))
-        .repartition("img_name")
+        .repartition(parts, "img_name")
         .select(
             "img_name",
             "height",
