@@ -133,3 +133,69 @@ ORACLE["flat_context"] = with_(
     "SELECT img_name, string_agg(CAST(value AS VARCHAR), ',' ORDER BY grid_ord, class_ord) AS \"values\"\n"
     "FROM area GROUP BY img_name",
 )
+
+CELLS_LIST = "[" + ", ".join(_q(c) for c in K.CELL_NAMES) + "]"
+
+ORACLE["json_vocab"] = """SELECT k AS token, CAST(json_extract(props, '$."' || k || '"') AS INTEGER) AS id, count(*) AS n
+FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL"""
+
+ORACLE["patch_labels"] = with_(
+    QA_CTE,
+    "SELECT index, array_to_string(list_sort(list_distinct(flatten(grid_coordinates))), ',') AS labels FROM qa",
+)
+
+ORACLE["patch_multihot"] = with_(
+    f"""{QA_CTE},
+lab AS (SELECT index, list_transform(list_distinct(flatten(grid_coordinates)),
+            lambda t: ((coalesce(list_position({CELLS_LIST}, t) - 1, -1) % 16) + 16) % 16) AS ids FROM qa)""",
+    "SELECT index, array_to_string(list_transform(range(16), lambda i: CASE WHEN list_contains(ids, i) THEN '1' ELSE '0' END), '') AS bits FROM lab",
+)
+
+ORACLE["answer_ids"] = with_(
+    QA_CTE,
+    "SELECT index, CAST(coalesce(len(ords), 0) AS INTEGER) AS n_tokens, coalesce(array_to_string(ords, ','), '') AS ids FROM qa",
+)
+
+ORACLE["answer_multihot"] = with_(
+    QA_CTE,
+    "SELECT index, CAST(coalesce(len(ords), 0) AS INTEGER) AS n_hot,\n"
+    "       array_to_string(list_transform(range(335), lambda i: CASE WHEN list_contains(coalesce(ords, []), i) THEN '1' ELSE '0' END), '') AS bits\n"
+    "FROM qa",
+)
+
+ORACLE["remap_codes"] = with_(
+    f"{IDS_CTE},\n{MASK_PX_CTE}",
+    "SELECT m.img_name, CAST(coalesce(i.id, 0) AS INTEGER) AS id, count(*) AS n\n"
+    "FROM mask_px m LEFT JOIN ids i ON m.code = i.code GROUP BY ALL",
+)
+
+ORACLE["predicted_mask"] = (
+    "SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS id,\n"
+    f"       {list(K.ID_CODES)}[list_position(z, list_max(z))] AS code\n"
+    "FROM (SELECT vec_id, embedding[1:10] AS z FROM embeddings)"
+)
+
+ORACLE["strip_suffix"] = """SELECT s_suppkey, path,
+       left(b, greatest(length(b) - 18, 0)) || '.parquet' AS out_name
+FROM (SELECT s_suppkey, path, string_split(path, '/')[-1] AS b
+      FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'masks/short.tif'
+                                   ELSE 'masks/' || s_name || '_reference_map.tif' END AS path FROM supplier))"""
+
+MANIFEST_CTE = """manifest AS (
+    SELECT s.s_name AS img_name, n.n_name AS path_to_your_file,
+           CASE WHEN s.s_suppkey % 5 = 0 THEN 'val' ELSE 'train' END AS split
+    FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
+
+ORACLE["manifest_scan"] = with_(MANIFEST_CTE, "SELECT split, count(*) AS n FROM manifest GROUP BY split")
+
+ORACLE["manifest_paths"] = with_(
+    MANIFEST_CTE,
+    "SELECT img_name, split, 'images/' || img_name || '.tif' AS img_path,\n"
+    "       'masks/' || path_to_your_file || '/' || img_name || '_reference_map.tif' AS mask_path FROM manifest",
+)
+
+ORACLE["manifest_join"] = with_(
+    f"{MANIFEST_CTE},\n{MASK_PX_CTE}",
+    "SELECT m.img_name, m.split, m.path_to_your_file AS folder, CAST(s.side AS INTEGER) AS height, CAST(s.side AS INTEGER) AS width\n"
+    "FROM manifest m JOIN mask_src s ON s.img_name = m.img_name",
+)

@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batching as B
+from .. import constants as K
 from ..operators import grid as G
+from ..functions import paths as PTH
+from ..operators import labels as L
+from ..operators import manifest as M
+from ..operators import remap as R
 from ..operators import prompts as P
 from ..sources import derived as D
+from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +94,81 @@ def q_missing_context(spark, sf):
 def q_flat_context(spark, sf):
     flat = P.flat_context(G.grid_area(D.masks(spark, sf)))
     return flat.select("img_name", F.array_join("values", ",").alias("values"))
+
+
+# --- labels ------------------------------------------------------------------------------
+@query
+def q_json_vocab(spark, sf):
+    ev = read_table(spark, sf, "events", "props")
+    return L.vocab_from_json(ev, "props").groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_patch_labels(spark, sf):
+    lab = L.patch_labels(D.qa(spark, sf), empty="keep")
+    return lab.select("index", F.array_join("labels", ",").alias("labels"))
+
+
+@query
+def q_patch_multihot(spark, sf):
+    lab = L.patch_labels(D.qa(spark, sf), empty="keep")
+    mh = L.patch_multihot(lab, L.vocab_map(L.patch_vocab(spark)))
+    return mh.select("index", L.bits(F.col("multihot")).alias("bits"))
+
+
+@query
+def q_answer_ids(spark, sf):
+    ids = L.answer_ids(D.qa(spark, sf), L.vocab_map(L.answer_vocab(spark), K.PROTECTED_ANSWERS))
+    return ids.select("index", F.size("tokens").alias("n_tokens"), F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def q_answer_multihot(spark, sf):
+    ids = L.answer_ids(D.qa(spark, sf), L.vocab_map(L.answer_vocab(spark), K.PROTECTED_ANSWERS))
+    mh = L.answer_multihot(ids)
+    return mh.select(
+        "index",
+        F.aggregate("multihot", F.lit(0), lambda a, v: a + v).alias("n_hot"),
+        L.bits(F.col("multihot")).alias("bits"),
+    )
+
+
+# --- remapping, paths, manifests ---------------------------------------------------------
+@query
+def q_remap_codes(spark, sf):
+    ids = R.remap_codes(D.masks(spark, sf))
+    return ids.select("img_name", F.explode("ids").alias("id")).groupBy("img_name", "id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query
+def q_predicted_mask(spark, sf):
+    logits = D.vectors(spark, sf).select("vec_id", F.slice("embedding", 1, 10).alias("z"))
+    return R.predicted_codes(logits).select("vec_id", "id", "code")
+
+
+@query
+def q_strip_suffix(spark, sf):
+    sup = read_table(spark, sf, "supplier", "s_suppkey", "s_name")
+    path = F.when(F.col("s_suppkey") % 7 == 0, F.lit("masks/short.tif")).otherwise(
+        F.concat(F.lit("masks/"), F.col("s_name"), F.lit(K.MASK_SUFFIX))
+    )
+    out = sup.select("s_suppkey", path.alias("path"))
+    return out.withColumn("out_name", F.concat(PTH.strip_suffix(PTH.basename(F.col("path"))), F.lit(".parquet")))
+
+
+@query
+def q_manifest_scan(spark, sf):
+    return M.split_counts(D.manifest(spark, sf))
+
+
+@query
+def q_manifest_paths(spark, sf):
+    return M.manifest_paths(D.manifest(spark, sf), "images/", "masks/")
+
+
+@query
+def q_manifest_join(spark, sf):
+    j = M.manifest_join(D.manifest(spark, sf), D.masks(spark, sf))
+    return j.select("img_name", "split", F.col("path_to_your_file").alias("folder"), "height", "width")
