@@ -199,3 +199,59 @@ ORACLE["manifest_join"] = with_(
     "SELECT m.img_name, m.split, m.path_to_your_file AS folder, CAST(s.side AS INTEGER) AS height, CAST(s.side AS INTEGER) AS width\n"
     "FROM manifest m JOIN mask_src s ON s.img_name = m.img_name",
 )
+
+ORACLE["resize_bilinear"] = """WITH g AS (
+    SELECT vec_id, embedding AS e, CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x,
+           greatest((CAST(oy AS DOUBLE) + 0.5) * 8 / 15 - 0.5, 0.0) AS sy,
+           greatest((CAST(ox AS DOUBLE) + 0.5) * 8 / 15 - 0.5, 0.0) AS sx
+    FROM embeddings, range(15) a(oy), range(15) b(ox)),
+h AS (SELECT *, CAST(floor(sy) AS INTEGER) AS y0, CAST(floor(sx) AS INTEGER) AS x0 FROM g),
+k AS (SELECT *, least(y0 + 1, 7) AS y1, least(x0 + 1, 7) AS x1, sy - y0 AS wy, sx - x0 AS wx FROM h)
+SELECT vec_id, y, x,
+       round((1.0 - wy) * ((1.0 - wx) * CAST(e[y0 * 8 + x0 + 1] AS DOUBLE) + wx * CAST(e[y0 * 8 + x1 + 1] AS DOUBLE))
+             + wy * ((1.0 - wx) * CAST(e[y1 * 8 + x0 + 1] AS DOUBLE) + wx * CAST(e[y1 * 8 + x1 + 1] AS DOUBLE)), 6) AS v
+FROM k"""
+
+_MEAN, _STD = K.NORM_MULTISPECTRAL
+_DLIST = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
+ORACLE["normalize_bands"] = f"""SELECT vec_id, CAST(b AS INTEGER) AS band, CAST(i AS INTEGER) AS i,
+       round((CAST(embedding[b * 16 + i + 1] AS DOUBLE) / 255.0 - {_DLIST(_MEAN)}[b + 1]) / {_DLIST(_STD)}[b + 1], 6) AS v
+FROM embeddings, range(3) tb(b), range(16) ti(i)"""
+
+ORACLE["masked_mean_pool"] = """SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(sum(CAST(h AS DOUBLE) * m) / sum(m), 6) AS pooled
+FROM (SELECT label, CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END AS m,
+             unnest(embedding) AS h, generate_subscripts(embedding, 1) AS i FROM embeddings)
+GROUP BY ALL"""
+
+ORACLE["score_heads"] = """SELECT vec_id, CAST(j AS INTEGER) AS label,
+       round(1.0 / (1.0 + exp(-(sum(tanh(CAST(h AS DOUBLE)) * (CAST(((i * 7 + j * 3) % 11) - 5 AS DOUBLE) / 10))
+                                + CAST(((j * 5) % 7) - 3 AS DOUBLE) / 20))), 6) AS score
+FROM (SELECT vec_id, unnest(embedding) AS h, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), range(16) t(j)
+GROUP BY vec_id, j"""
+
+CE_SQL = """(SELECT vec_id, label, m + ln(list_sum(list_transform(z, lambda x: exp(CAST(x AS DOUBLE) - m))))
+                    - CAST(z[label + 1] AS DOUBLE) AS loss
+     FROM (SELECT vec_id, label, embedding[1:10] AS z, CAST(list_max(embedding[1:10]) AS DOUBLE) AS m FROM embeddings))"""
+
+ORACLE["softmax_ce"] = f"SELECT vec_id, vec_id // 32 AS batch, round(loss, 6) AS loss FROM {CE_SQL}"
+
+_P = "(1.0 / (1.0 + exp(-10.0 * CAST(embedding[{o} + j + 1] AS DOUBLE))))"
+_TERM = "-({y} * greatest(ln({p}), -100) + (1.0 - {y}) * greatest(ln(1.0 - {p}), -100))"
+ORACLE["bce_loss"] = f"""WITH rows AS (
+    SELECT vec_id // 32 AS batch,
+           list_sum(list_transform(range(16), lambda j: {_TERM.format(y="CASE WHEN j = label THEN 1.0 ELSE 0.0 END", p=_P.format(o=0))})) / 16 AS lp,
+           list_sum(list_transform(range(48), lambda j: {_TERM.format(y="CASE WHEN (label * 5 + j) % 7 = 0 THEN 1.0 ELSE 0.0 END", p=_P.format(o=16))})) / 48 AS la
+    FROM embeddings)
+SELECT batch, count(*) AS n, round(avg(lp), 6) AS loss_patch, round(avg(la), 6) AS loss_answ,
+       round(0.0 * avg(lp) + 1.0 * avg(la), 6) AS loss
+FROM rows GROUP BY batch"""
+
+ORACLE["epoch_metrics"] = f"""WITH rows AS (
+    SELECT CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, vec_id // 32 AS batch, loss FROM {CE_SQL}),
+b AS (SELECT split, batch, count(*) AS n, avg(loss) AS loss FROM rows GROUP BY ALL)
+SELECT split, round(avg(loss), 6) AS loss, round(sum(loss * n) / sum(n), 6) AS row_mean,
+       count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_rows
+FROM b GROUP BY split"""
+
+ORACLE["shuffle_batches"] = """SELECT vec_id, pos, pos // 32 AS batch
+FROM (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) - 1 AS pos FROM embeddings)"""

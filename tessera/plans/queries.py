@@ -16,9 +16,11 @@ from ..operators import batching as B
 from .. import constants as K
 from ..operators import grid as G
 from ..functions import paths as PTH
+from ..operators import images as IM
 from ..operators import labels as L
 from ..operators import manifest as M
 from ..operators import remap as R
+from ..operators import scoring as S
 from ..operators import prompts as P
 from ..sources import derived as D
 from ..sources.tables import read_table
@@ -172,3 +174,110 @@ def q_manifest_paths(spark, sf):
 def q_manifest_join(spark, sf):
     j = M.manifest_join(D.manifest(spark, sf), D.masks(spark, sf))
     return j.select("img_name", "split", F.col("path_to_your_file").alias("folder"), "height", "width")
+
+
+# --- images, scoring, losses, batching ---------------------------------------------------
+def r6(c):
+    return F.round(c, 6)
+
+
+@query
+def q_resize_bilinear(spark, sf):
+    v = D.vectors(spark, sf).select("vec_id", "embedding")
+    out = IM.resize_bilinear(v, "embedding", 8, 8, 15, 15, out="img")
+    return out.select("vec_id", F.posexplode("img").alias("p", "v")).select(
+        "vec_id", F.floor(F.col("p") / 15).cast("int").alias("y"), (F.col("p") % 15).cast("int").alias("x"), r6(F.col("v")).alias("v")
+    )
+
+
+@query
+def q_normalize_bands(spark, sf):
+    v = D.vectors(spark, sf)
+    bands = F.array(*[F.slice("embedding", 1 + 16 * b, 16) for b in range(3)])
+    mean, std = K.NORM_MULTISPECTRAL
+    norm = v.select("vec_id", IM.normalize_bands(bands, mean, std).alias("bands"))
+    return (
+        norm.select("vec_id", F.posexplode("bands").alias("band", "vals"))
+        .select("vec_id", "band", F.posexplode("vals").alias("i", "v"))
+        .select("vec_id", "band", "i", r6(F.col("v")).alias("v"))
+    )
+
+
+@query
+def q_masked_mean_pool(spark, sf):
+    v = D.vectors(spark, sf).select("label", F.col("embedding").alias("h"), F.when(F.col("vec_id") % 5 != 0, 1).otherwise(0).alias("mask"))
+    pooled = S.masked_mean_pool(v, ["label"])
+    return pooled.select("label", "dim", r6(F.col("pooled")).alias("pooled"))
+
+
+def head_weights(spark, labels: int = 16, dims: int = 64):
+    """Deterministic head weights: w[j][i] = ((7i + 3j) % 11 - 5) / 10, b[j] = ((5j) % 7 - 3) / 20."""
+    j = F.col("id")
+    return spark.range(labels).select(
+        F.lit("patch").alias("head"),
+        j.cast("int").alias("label"),
+        F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: ((i * 7 + j * 3) % 11 - 5).cast("double") / 10).alias("w"),
+        (((j * 5) % 7 - 3).cast("double") / 20).alias("b"),
+    )
+
+
+@query
+def q_score_heads(spark, sf):
+    W = S.head_matrix(head_weights(spark), "patch")
+    v = D.vectors(spark, sf).select("vec_id", "embedding")
+    scored = S.score_heads(v, "embedding", {"patch": W})
+    return scored.select("vec_id", F.posexplode("patch").alias("label", "score")).select(
+        "vec_id", "label", r6(F.col("score")).alias("score")
+    )
+
+
+@query
+def q_softmax_ce(spark, sf):
+    v = D.vectors(spark, sf)
+    z = F.slice("embedding", 1, 10)
+    return v.select(
+        "vec_id", F.floor(F.col("vec_id") / 32).alias("batch"), r6(S.softmax_ce(z, F.col("label"))).alias("loss")
+    )
+
+
+def _sig10(x):
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(10.0) * x.cast("double")))
+
+
+@query
+def q_bce_loss(spark, sf):
+    v = D.vectors(spark, sf)
+    lab = F.col("label")
+    p_patch = F.transform(F.slice("embedding", 1, 16), _sig10)
+    y_patch = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: (j == lab).cast("int"))
+    p_answ = F.transform(F.slice("embedding", 17, 48), _sig10)
+    y_answ = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda j: ((lab * 5 + j) % 7 == 0).cast("int"))
+    rows = v.select(
+        F.floor(F.col("vec_id") / 32).alias("batch"),
+        S.bce(p_patch, y_patch).alias("lp"),
+        S.bce(p_answ, y_answ).alias("la"),
+    )
+    b = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.avg("lp").alias("lp"), F.avg("la").alias("la"))
+    return b.select(
+        "batch", "n", r6(F.col("lp")).alias("loss_patch"), r6(F.col("la")).alias("loss_answ"),
+        r6(S.weighted_total(F.col("lp"), F.col("la"))).alias("loss"),
+    )
+
+
+@query
+def q_epoch_metrics(spark, sf):
+    v = D.vectors(spark, sf)
+    rows = v.select(
+        F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"),
+        F.floor(F.col("vec_id") / 32).alias("batch"),
+        S.softmax_ce(F.slice("embedding", 1, 10), F.col("label")).alias("loss"),
+    )
+    m = S.epoch_metrics(S.batch_losses(rows, ["split", "batch"]), ["split"])
+    return m.select("split", r6(F.col("loss")).alias("loss"), r6(F.col("row_mean")).alias("row_mean"), "n_batches", "n_rows")
+
+
+@query
+def q_shuffle_batches(spark, sf):
+    v = D.vectors(spark, sf).select("vec_id")
+    out = B.shuffle_batches(v, 32, [(F.col("vec_id") * 7919) % 1000003])
+    return out.select("vec_id", "pos", "batch")
