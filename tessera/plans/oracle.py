@@ -255,3 +255,37 @@ FROM b GROUP BY split"""
 
 ORACLE["shuffle_batches"] = """SELECT vec_id, pos, pos // 32 AS batch
 FROM (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) - 1 AS pos FROM embeddings)"""
+
+
+def _encode_sql(max_length: int) -> str:
+    budget = max_length - 3
+    return f"""WITH toks AS (SELECT unnest(string_split(text, ' ')) AS token FROM conversations),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) - 1 + 4 AS INTEGER) AS id
+          FROM toks GROUP BY token),
+pairs AS (SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM conversations a
+          JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'),
+sides AS (SELECT conv_id, turn, 0 AS side, string_split(ta, ' ') AS w FROM pairs
+          UNION ALL SELECT conv_id, turn, 1 AS side, string_split(tb, ' ') AS w FROM pairs),
+pos AS (SELECT conv_id, turn, side, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM sides),
+ids AS (SELECT conv_id, turn,
+               list(v.id ORDER BY p) FILTER (WHERE side = 0) AS a,
+               list(v.id ORDER BY p) FILTER (WHERE side = 1) AS b
+        FROM pos JOIN vocab v USING (token) GROUP BY conv_id, turn),
+lens AS (SELECT *, CAST(len(a) AS INTEGER) AS na, CAST(len(b) AS INTEGER) AS nb FROM ids),
+cut AS (SELECT *, greatest(na + nb - {budget}, 0) AS r FROM lens),
+cut2 AS (SELECT *, least(abs(na - nb), r) AS f, r - least(abs(na - nb), r) AS s FROM cut),
+fin AS (SELECT conv_id, turn, a, b,
+               CAST(CASE WHEN na > nb THEN na - f - s // 2 ELSE na - s // 2 END AS INTEGER) AS len_a,
+               CAST(CASE WHEN na > nb THEN nb - (s - s // 2) ELSE nb - f - (s - s // 2) END AS INTEGER) AS len_b
+        FROM cut2),
+enc AS (SELECT conv_id, turn, len_a, len_b,
+               list_concat([2], a[1:len_a], [3], b[1:len_b], [3],
+                           list_transform(range({max_length} - len_a - len_b - 3), lambda i: 0)) AS input_ids
+        FROM fin)
+SELECT conv_id, turn, len_a, len_b, CAST(list_sum(input_ids) AS BIGINT) AS id_sum,
+       CAST(len_a + len_b + 3 AS INTEGER) AS mask_sum, array_to_string(input_ids, ',') AS ids
+FROM enc"""
+
+
+ORACLE["encode_pairs"] = _encode_sql(K.MAX_LENGTH)
+ORACLE["encode_pairs_cut"] = _encode_sql(64)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batching as B
 from .. import constants as K
+from ..operators import encode as E
 from ..operators import grid as G
 from ..functions import paths as PTH
 from ..operators import images as IM
@@ -281,3 +282,29 @@ def q_shuffle_batches(spark, sf):
     v = D.vectors(spark, sf).select("vec_id")
     out = B.shuffle_batches(v, 32, [(F.col("vec_id") * 7919) % 1000003])
     return out.select("vec_id", "pos", "batch")
+
+
+# --- pair encoding -----------------------------------------------------------------------
+def _encode(spark, sf, max_length):
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    vocab = E.word_vocab(conv)
+    enc = E.encode_pairs(E.conversation_pairs(conv), ["conv_id", "turn"], vocab, max_length=max_length)
+    return enc.select(
+        "conv_id",
+        "turn",
+        "len_a",
+        "len_b",
+        F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("mask_sum"),
+        F.array_join("input_ids", ",").alias("ids"),
+    )
+
+
+@query
+def q_encode_pairs(spark, sf):
+    return _encode(spark, sf, K.MAX_LENGTH)
+
+
+@query
+def q_encode_pairs_cut(spark, sf):
+    return _encode(spark, sf, 64)
