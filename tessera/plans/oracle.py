@@ -289,3 +289,24 @@ FROM enc"""
 
 ORACLE["encode_pairs"] = _encode_sql(K.MAX_LENGTH)
 ORACLE["encode_pairs_cut"] = _encode_sql(64)
+
+
+def _canonical_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps -0.0, Spark's decimal rounding gives 0.0."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("round")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+            if depth == 0:
+                break
+        out.append(sql[i:j] + "(" + _canonical_zero(sql[j + len("round(") : k - 1]).join(["round(", ")"]) + " + 0.0)")
+        i = k
+
+
+ORACLE = {k: _canonical_zero(v) for k, v in ORACLE.items()}

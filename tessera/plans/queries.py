@@ -20,6 +20,7 @@ from ..functions import paths as PTH
 from ..operators import images as IM
 from ..operators import labels as L
 from ..operators import manifest as M
+from ..operators import ml as ML
 from ..operators import remap as R
 from ..operators import scoring as S
 from ..operators import prompts as P
@@ -308,3 +309,16 @@ def q_encode_pairs(spark, sf):
 @query
 def q_encode_pairs_cut(spark, sf):
     return _encode(spark, sf, 64)
+
+
+# --- model fitting (no SQL oracle: iterative) --------------------------------------------
+@query
+def q_fit_heads(spark, sf):
+    v = D.vectors(spark, sf)
+    ex = v.select("embedding", *[(F.col("label") == j).cast("int").alias(f"y{j}") for j in range(3)])
+    return ML.fit_heads(ex, "embedding", ["y0", "y1", "y2"])
+
+
+@query
+def q_fit_pixels(spark, sf):
+    return ML.fit_pixels(ML.pixel_features(D.masks(spark, sf)))

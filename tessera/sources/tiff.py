@@ -1,0 +1,65 @@
+"""A minimal codec for uncompressed baseline TIFF rasters (NumPy only).
+
+Enough for single- or multi-band strips of 8/16/32-bit integers or 32-bit floats,
+little- or big-endian.  Compressed files need a real decoder, which callers inject
+into ``ingest_rasters``.
+"""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+
+_TYPES = {3: ("H", 2), 4: ("I", 4)}  # SHORT, LONG
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Bytes of a TIFF file -> array (h, w) or (h, w, bands)."""
+    order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
+    (magic, ifd) = struct.unpack(order + "HI", data[2:8])
+    if magic != 42:
+        raise ValueError("not a TIFF file")
+    (n,) = struct.unpack(order + "H", data[ifd : ifd + 2])
+    tags: dict[int, list[int]] = {}
+    for i in range(n):
+        e = ifd + 2 + 12 * i
+        tag, typ, count = struct.unpack(order + "HHI", data[e : e + 8])
+        if typ not in _TYPES:
+            continue
+        code, size = _TYPES[typ]
+        raw = data[e + 8 : e + 12] if size * count <= 4 else data[struct.unpack(order + "I", data[e + 8 : e + 12])[0] :]
+        tags[tag] = list(struct.unpack(order + code * count, raw[: size * count]))
+    if tags.get(259, [1])[0] != 1:
+        raise ValueError("compressed TIFF: inject a decoder")
+    w, h = tags[256][0], tags[257][0]
+    bits = tags.get(258, [8])[0]
+    spp = tags.get(277, [1])[0]
+    fmt = tags.get(339, [1])[0]
+    kind = {1: "u", 2: "i", 3: "f"}[fmt]
+    dtype = np.dtype(f"{order}{kind}{bits // 8}")
+    buf = b"".join(bytes(data[o : o + c]) for o, c in zip(tags[273], tags[279]))
+    arr = np.frombuffer(buf, dtype=dtype, count=w * h * spp)
+    return arr.reshape((h, w, spp) if spp > 1 else (h, w))
+
+
+def encode(arr: np.ndarray) -> bytes:
+    """Array (h, w) or (h, w, bands) -> little-endian uncompressed TIFF bytes (one strip)."""
+    a = np.ascontiguousarray(arr)
+    h, w = a.shape[:2]
+    spp = a.shape[2] if a.ndim == 3 else 1
+    kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
+    bits = a.dtype.itemsize * 8
+    body = a.astype(a.dtype.newbyteorder("<")).tobytes()
+    entries = [
+        (256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1),
+        (273, 4, 1, 8), (277, 3, 1, spp), (278, 4, 1, h), (279, 4, 1, len(body)), (339, 3, 1, kind),
+    ]
+    ifd_off = 8 + len(body) + (len(body) % 2)
+    out = bytearray(struct.pack("<2sHI", b"II", 42, ifd_off))
+    out += body + b"\0" * (len(body) % 2)
+    out += struct.pack("<H", len(entries))
+    for tag, typ, count, val in entries:
+        out += struct.pack("<HHI", tag, typ, count) + (struct.pack("<HH", val, 0) if typ == 3 else struct.pack("<I", val))
+    out += struct.pack("<I", 0)
+    return bytes(out)

@@ -1,0 +1,84 @@
+import os
+
+import numpy as np
+
+from tessera import constants as K
+from tessera.operators import grid as G
+from tessera.operators import prompts as P
+from tessera.sources import rasters as RS
+from tessera.sources import sinks, tiff
+from tessera.streaming.rasters import stream_context_tables
+
+
+def test_tiff_roundtrip():
+    for dtype in (np.uint8, np.uint16, np.int32, np.float32):
+        a = (np.arange(35).reshape(5, 7) * 3).astype(dtype)
+        assert np.array_equal(tiff.decode(tiff.encode(a)), a)
+    rgb = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    assert np.array_equal(tiff.decode(tiff.encode(rgb)), rgb)
+
+
+def _write_masks(root):
+    os.makedirs(os.path.join(root, "sub", "deeper"), exist_ok=True)
+    a = np.full((120, 120), 111, dtype=np.uint16)
+    b = np.full((100, 100), 311, dtype=np.uint16)
+    with open(os.path.join(root, "S2A_x" + K.MASK_SUFFIX), "wb") as f:
+        f.write(tiff.encode(a))
+    with open(os.path.join(root, "sub", "deeper", "S2B_y" + K.MASK_SUFFIX), "wb") as f:
+        f.write(tiff.encode(b))
+    with open(os.path.join(root, "sub", "ignored.TIF"), "wb") as f:  # suffix is case-sensitive
+        f.write(tiff.encode(a))
+    with open(os.path.join(root, "short.tif"), "wb") as f:
+        f.write(tiff.encode(np.zeros((3, 3), dtype=np.uint8)))
+
+
+def test_ingest_recursive_and_names(spark, tmp_path):
+    root = str(tmp_path / "masks")
+    _write_masks(root)
+    r = RS.ingest_rasters(spark, root)
+    got = {x["img_name"]: (x["height"], x["width"]) for x in r.collect()}
+    assert got == {"S2A_x": (120, 120), "S2B_y": (100, 100), "": (3, 3)}  # N1: short names become ''
+    area = G.grid_area(r.where("img_name <> ''"))
+    vals = {(x["img_name"], x["grid"], x["class"]): x["value"] for x in area.collect()}
+    assert vals[("S2A_x", "a1", "continuous urban fabrics")] == 90000
+    assert vals[("S2B_y", "d4", "broad-leaved forests")] == 10000
+
+
+def test_bucketed_raster_table_needs_no_shuffle(spark, tmp_path):
+    root = str(tmp_path / "m2")
+    _write_masks(root)
+    RS.write_raster_table(RS.ingest_rasters(spark, root).where("img_name <> ''"), "rasters_t", 4)
+    plan = G.grid_area(spark.table("rasters_t"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert G.grid_area(spark.table("rasters_t")).count() == 2 * 688
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    root = str(tmp_path / "m3")
+    _write_masks(root)
+    area = G.grid_area(RS.ingest_rasters(spark, root).where("img_name <> ''"))
+    sinks.write_context(area, str(tmp_path / "ctx_long"))
+    sinks.write_context(area, str(tmp_path / "ctx_wide"), wide=True)
+    back = G.area_from_wide(spark.read.parquet(str(tmp_path / "ctx_wide")))
+    assert sorted(back.collect()) == sorted(spark.read.parquet(str(tmp_path / "ctx_long")).collect())
+    qa = spark.createDataFrame([(7, "S2A_x", "Q?")], "index long, img_name string, question string")
+    prompts = P.prompt_text(qa, area)
+    sinks.write_prompts(prompts, str(tmp_path / "prompts"))
+    sinks.export_text_files(prompts, str(tmp_path / "txt"))
+    text = open(tmp_path / "txt" / "7.txt").read()
+    assert text.startswith("Question: Q?; Table: (continuous urban fabrics,a1):90000,")
+    m = spark.createDataFrame([("r", 1, 0.5, 0.6)], "run string, epoch int, train_loss double, val_loss double")
+    sinks.append_epoch_metrics(m, str(tmp_path / "metrics"))
+    sinks.append_epoch_metrics(m.selectExpr("run", "2 AS epoch", "train_loss", "val_loss"), str(tmp_path / "metrics"))
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == 2
+
+
+def test_stream_context_tables(spark, tmp_path):
+    root = str(tmp_path / "m4")
+    _write_masks(root)
+    out = str(tmp_path / "stream_out")
+    q = stream_context_tables(spark, root, out, name=f"ctx_{os.getpid()}_{tmp_path.name}", available_now=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert got.select("img_name").distinct().count() == 3
+    assert got.where("img_name = 'S2A_x'").count() == 688
