@@ -7,31 +7,47 @@ so it runs inside the scan stage without a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _axis(o: Column, n_in: int, n_out: int):
-    """Source coordinate for output index ``o`` (half-pixel centres, no corner alignment)."""
-    s = F.greatest((o.cast("double") + F.lit(0.5)) * F.lit(n_in) / F.lit(n_out) - F.lit(0.5), F.lit(0.0))
-    i0 = F.floor(s).cast("int")
-    i1 = F.least(i0 + 1, F.lit(n_in - 1))
-    return i0, i1, s - i0
+def axis_table(n_in: int, n_out: int) -> tuple[list[int], list[int], list[float]]:
+    """Per output index: first and second source index and the weight of the second.
+
+    Half-pixel centres, no corner alignment: ``s = max((o + 0.5) * n_in / n_out - 0.5, 0)``,
+    ``i0 = floor(s)``, ``i1 = min(i0 + 1, n_in - 1)``, ``w = s - i0``.  The sizes are
+    known when the plan is built, so the table is a literal (same IEEE arithmetic).
+    """
+    i0s, i1s, ws = [], [], []
+    for o in range(n_out):
+        s = max((o + 0.5) * n_in / n_out - 0.5, 0.0)
+        i0 = math.floor(s)
+        i0s.append(i0)
+        i1s.append(min(i0 + 1, n_in - 1))
+        ws.append(s - i0)
+    return i0s, i1s, ws
 
 
 def resize_band(band: Column, in_h: int, in_w: int, out_h: int, out_w: int) -> Column:
     """Bilinear resize of one row-major band of ``in_h x in_w`` to ``out_h x out_w`` (doubles)."""
 
+    def lit_array(xs):
+        return F.array(*[F.lit(x) for x in xs])
+
+    y0s, y1s, wys = (lit_array(t) for t in axis_table(in_h, out_h))
+    x0s, x1s, wxs = (lit_array(t) for t in axis_table(in_w, out_w))
+
     def px(y, x):
         return F.element_at(band, y * in_w + x + 1).cast("double")
 
     def value(o):
-        oy = F.floor(o / out_w).cast("int")
-        ox = (o % out_w).cast("int")
-        y0, y1, wy = _axis(oy, in_h, out_h)
-        x0, x1, wx = _axis(ox, in_w, out_w)
+        oy = F.floor(o / out_w).cast("int") + 1
+        ox = (o % out_w).cast("int") + 1
+        y0, y1, wy = F.element_at(y0s, oy), F.element_at(y1s, oy), F.element_at(wys, oy)
+        x0, x1, wx = F.element_at(x0s, ox), F.element_at(x1s, ox), F.element_at(wxs, ox)
         top = (F.lit(1.0) - wx) * px(y0, x0) + wx * px(y0, x1)
         bottom = (F.lit(1.0) - wx) * px(y1, x0) + wx * px(y1, x1)
         return (F.lit(1.0) - wy) * top + wy * bottom

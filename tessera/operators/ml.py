@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
+from .grid import explode_pixels
 from .remap import argmax, code_id
 
 
@@ -49,9 +50,7 @@ def pixel_features(masks: DataFrame) -> DataFrame:
     band_k = ((code * (k + 3)) % 97 + x % 3) / 97: a deterministic stand-in for RGB
     values, learnable from the code.
     """
-    px = masks.select(
-        "img_name", "width", F.posexplode("pixels").alias("p", "code")
-    ).select(
+    px = explode_pixels(masks, "pixels", "p", "width").select(
         "img_name",
         (F.col("p") % F.col("width")).cast("int").alias("x"),
         F.floor(F.col("p") / F.col("width")).cast("int").alias("y"),
@@ -64,21 +63,25 @@ def pixel_features(masks: DataFrame) -> DataFrame:
 def fit_pixels(pixels: DataFrame, max_iter: int = 15) -> DataFrame:
     """Multinomial logistic regression id ~ bands; predictions mapped back to codes.
 
-    Returns per true id: ``id, n, correct, predicted_code`` (the most frequent
-    predicted code is not needed; ``predicted_code`` is the code of the id itself).
+    Identical (features, id) rows are merged first into one row with a weight equal to
+    their count: the weighted log-likelihood is the same sum, so the fit is exact while
+    the iterations run over the distinct rows only (map-side combined before the shuffle).
+    Returns per true id: ``id, code, n, correct``.
     """
-    data = pixels.select(array_to_vector("bands").alias("features"), F.col("id").cast("double").alias("label")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    grouped = pixels.groupBy("bands", "id").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    data = grouped.select(
+        array_to_vector("bands").alias("features"), F.col("id").cast("double").alias("label"), "w"
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = LogisticRegression(maxIter=max_iter, family="multinomial", regParam=0.0).fit(data)
+        model = LogisticRegression(maxIter=max_iter, family="multinomial", regParam=0.0, weightCol="w").fit(data)
         pred = model.transform(data).select(
             F.col("label").cast("int").alias("id"),
+            "w",
             argmax(vector_to_array("probability")).alias("pred_id"),
         )
         return pred.groupBy("id").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum((F.col("pred_id") == F.col("id")).cast("int")).alias("correct"),
+            F.sum("w").cast("long").alias("n"),
+            F.sum(F.when(F.col("pred_id") == F.col("id"), F.col("w")).otherwise(0.0)).cast("long").alias("correct"),
         ).withColumn("code", F.element_at(C.id_to_code(), F.col("id") + 1))
     finally:
         data.unpersist()

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import classes as C
 
 
 def code_id(code: Column, unknown: str = "zero") -> Column:
     """Contiguous id of a code; unknown codes give 0 (``zero``, as a zero-filled mask does) or NULL."""
-    i = F.element_at(C.code_to_id(), code)
+    i = C.dense_lookup(code, {c: n for n, c in enumerate(K.ID_CODES)})
     if unknown == "zero":
         return F.coalesce(i, F.lit(0))
     if unknown == "null":

@@ -132,7 +132,7 @@ def q_answer_multihot(spark, sf):
     mh = L.answer_multihot(ids)
     return mh.select(
         "index",
-        F.aggregate("multihot", F.lit(0), lambda a, v: a + v).alias("n_hot"),
+        L.n_hot(F.col("multihot")).alias("n_hot"),
         L.bits(F.col("multihot")).alias("bits"),
     )
 
@@ -140,10 +140,14 @@ def q_answer_multihot(spark, sf):
 # --- remapping, paths, manifests ---------------------------------------------------------
 @query
 def q_remap_codes(spark, sf):
-    ids = R.remap_codes(D.masks(spark, sf))
-    return ids.select("img_name", F.explode("ids").alias("id")).groupBy("img_name", "id").agg(
+    # Count codes per image first (codegen'd, no shuffle), then map the <= 45 codes of
+    # each image to ids and merge codes sharing an id; same result as remapping every
+    # pixel and counting ids.
+    m = D.masks(spark, sf)
+    codes = G.explode_pixels(m).groupBy("img_name", "code").agg(
         F.count(F.lit(1)).alias("n")
     )
+    return codes.groupBy("img_name", R.code_id(F.col("code")).alias("id")).agg(F.sum("n").alias("n"))
 
 
 @query

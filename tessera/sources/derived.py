@@ -22,6 +22,7 @@ from .tables import read_table
 
 # The 43 named codes, then one code with an id but no name and one unknown code.
 MASK_CODES = K.CLASS_CODES + [K.NODATA_CODE, 335]
+MAX_BROADCAST_ROWS = 2_000_000
 
 
 def mask_side(key) -> F.Column:
@@ -66,7 +67,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img_name, path_to_your_file (folder = nation name), split ('val' for key % 5 = 0)."""
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    return sup.join(checked_broadcast(nation, 100_000), sup.s_nationkey == nation.n_nationkey, "left").select(
+    return sup.join(checked_broadcast(nation, MAX_BROADCAST_ROWS), sup.s_nationkey == nation.n_nationkey, "left").select(
         F.col("s_name").alias("img_name"),
         F.col("n_name").alias("path_to_your_file"),
         F.when(F.col("s_suppkey") % 5 == 0, "val").otherwise("train").alias("split"),
@@ -116,8 +117,13 @@ def qa(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFra
         F.coalesce(F.col("grid_coordinates"), F.array().cast("array<array<string>>")).alias("grid_coordinates"),
     )
     img = sup.select(F.col("s_suppkey").alias("min_supp"), F.col("s_name").alias("img_name"))
-    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return skew_join(q, img, "min_supp", "left", **kw).select(
+    if hot_rows is None:
+        # supplier names are a dimension: broadcast when the count allows it, else a
+        # shuffle join whose hot keys AQE splits
+        j = q.join(checked_broadcast(img, MAX_BROADCAST_ROWS), "min_supp", "left")
+    else:
+        j = skew_join(q, img, "min_supp", "left", hot_rows=hot_rows)
+    return j.select(
         "index", "img_name", "question", "question_type", "answer", "grid_coordinates"
     )
 
