@@ -291,6 +291,44 @@ ORACLE["encode_pairs"] = _encode_sql(K.MAX_LENGTH)
 ORACLE["encode_pairs_cut"] = _encode_sql(64)
 
 
+def _examples_sql(max_length: int) -> str:
+    budget = max_length - 3
+    ctes = f"""{AREA_CTE},
+{QA_CTE},
+ctx AS (SELECT img_name, string_agg(CAST(value AS VARCHAR), ' ' ORDER BY grid_ord, class_ord) AS t FROM area GROUP BY img_name),
+corpus AS (SELECT question AS t FROM qa UNION ALL SELECT t FROM ctx),
+toks AS (SELECT unnest(string_split(t, ' ')) AS token FROM corpus),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) - 1 + 4 AS INTEGER) AS id
+          FROM toks GROUP BY token),
+cpos AS (SELECT img_name, unnest(string_split(t, ' ')) AS token, generate_subscripts(string_split(t, ' '), 1) AS p FROM ctx),
+cids AS (SELECT img_name, list(v.id ORDER BY p) AS b FROM cpos JOIN vocab v USING (token) GROUP BY img_name),
+qpos AS (SELECT index, unnest(string_split(question, ' ')) AS token, generate_subscripts(string_split(question, ' '), 1) AS p FROM qa),
+qids AS (SELECT index, list(v.id ORDER BY p) AS a FROM qpos JOIN vocab v USING (token) GROUP BY index),
+lab AS (SELECT index, question_type, img_name, CAST(coalesce(len(ords), 0) AS INTEGER) AS answ_hot,
+               list_transform(list_distinct(flatten(grid_coordinates)),
+                   lambda t: ((coalesce(list_position({CELLS_LIST}, t) - 1, -1) % 16) + 16) % 16) AS pids FROM qa),
+j AS (SELECT l.index, l.question_type, l.answ_hot,
+             array_to_string(list_transform(range(16), lambda i: CASE WHEN list_contains(l.pids, i) THEN '1' ELSE '0' END), '') AS patch_bits,
+             qi.a, coalesce(ci.b, []) AS b
+      FROM lab l JOIN qids qi ON qi.index = l.index LEFT JOIN cids ci ON ci.img_name = l.img_name),
+lens AS (SELECT *, CAST(len(a) AS INTEGER) AS na, CAST(len(b) AS INTEGER) AS nb FROM j),
+cut AS (SELECT *, greatest(na + nb - {budget}, 0) AS r FROM lens),
+cut2 AS (SELECT *, least(abs(na - nb), r) AS f, r - least(abs(na - nb), r) AS s FROM cut),
+fin AS (SELECT *, CAST(CASE WHEN na > nb THEN na - f - s // 2 ELSE na - s // 2 END AS INTEGER) AS len_a,
+                  CAST(CASE WHEN na > nb THEN nb - (s - s // 2) ELSE nb - f - (s - s // 2) END AS INTEGER) AS len_b
+        FROM cut2)"""
+    return with_(
+        ctes,
+        f"""SELECT index, question_type, len_a, len_b,
+       CAST(2 + list_sum(list_concat([0], a[1:len_a])) + 3 + list_sum(list_concat([0], b[1:len_b])) + 3 AS BIGINT) AS id_sum,
+       CAST(len_a + len_b + 3 AS INTEGER) AS mask_sum, patch_bits, answ_hot
+FROM fin""",
+    )
+
+
+ORACLE["vqa_examples"] = _examples_sql(K.MAX_LENGTH)
+
+
 def _canonical_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps -0.0, Spark's decimal rounding gives 0.0."""
     out, i = [], 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import batching as B
 from .. import constants as K
 from ..operators import encode as E
+from ..operators import examples as X
 from ..operators import grid as G
 from ..functions import paths as PTH
 from ..operators import images as IM
@@ -326,3 +327,27 @@ def q_fit_heads(spark, sf):
 @query
 def q_fit_pixels(spark, sf):
     return ML.fit_pixels(ML.pixel_features(D.masks(spark, sf)))
+
+
+@query
+def q_vqa_examples(spark, sf):
+    qa = D.qa(spark, sf)
+    area = G.grid_area(D.masks(spark, sf))
+    ex = X.build_examples(
+        qa,
+        area,
+        X.examples_vocab(qa, area),
+        L.vocab_map(L.patch_vocab(spark)),
+        L.vocab_map(L.answer_vocab(spark), K.PROTECTED_ANSWERS),
+        missing="empty",
+    )
+    return ex.select(
+        "index",
+        "question_type",
+        "len_a",
+        "len_b",
+        F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"),
+        F.size(F.array_remove("attention_mask", 0)).alias("mask_sum"),
+        L.bits(F.col("labels_patch").cast("array<int>")).alias("patch_bits"),
+        L.n_hot(F.col("labels_answ").cast("array<int>")).alias("answ_hot"),
+    )
