@@ -26,6 +26,7 @@ from ..operators import remap as R
 from ..operators import scoring as S
 from ..operators import prompts as P
 from ..sources import derived as D
+from ..session import cut_lineage
 from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,7 +293,7 @@ def q_shuffle_batches(spark, sf):
 
 # --- pair encoding -----------------------------------------------------------------------
 def _encode(spark, sf, max_length):
-    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text", spread_by="conv_id")
     vocab = E.word_vocab(conv)
     enc = E.encode_pairs(E.conversation_pairs(conv), ["conv_id", "turn"], vocab, max_length=max_length)
     return enc.select(
@@ -331,8 +332,8 @@ def q_fit_pixels(spark, sf):
 
 @query
 def q_vqa_examples(spark, sf):
-    qa = D.qa(spark, sf)
-    area = G.grid_area(D.masks(spark, sf))
+    qa = cut_lineage(D.qa(spark, sf))
+    area = cut_lineage(G.grid_area(D.masks(spark, sf)))
     ex = X.build_examples(
         qa,
         area,
@@ -340,6 +341,7 @@ def q_vqa_examples(spark, sf):
         L.vocab_map(L.patch_vocab(spark)),
         L.vocab_map(L.answer_vocab(spark), K.PROTECTED_ANSWERS),
         missing="empty",
+        reuse="none",
     )
     return ex.select(
         "index",

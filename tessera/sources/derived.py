@@ -12,8 +12,11 @@ them).  All derived work grows with the source tables.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import classes as C
@@ -29,37 +32,35 @@ def mask_side(key) -> F.Column:
     return F.when(key % 10 == 8, 100).when(key % 10 == 9, 130).otherwise(120)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _mask_pixels(key: pd.Series, side: pd.Series) -> pd.Series:
+    """Row-major pixel codes of each image, vectorised with NumPy (one Arrow batch at a time)."""
+    codes = np.array(MASK_CODES, dtype=np.int32)
+    out = []
+    for s, n in zip(key.to_numpy(dtype=np.int64), side.to_numpy(dtype=np.int64)):
+        y, x = np.divmod(np.arange(n * n, dtype=np.int64), n)
+        out.append(codes[(s * 7 + (x // 12) * 3 + (y // 10) * 5 + (x * y) % 3) % len(MASK_CODES)])
+    return pd.Series(out)
+
+
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img_name, height, width, pixels array<int> (row-major), one row per supplier.
 
+    pixel (x, y) = MASK_CODES[(s_suppkey*7 + (x div 12)*3 + (y div 10)*5 + (x*y) % 3) % 45].
     Source rows are small, so they are hash-partitioned by ``img_name`` *before* the
     pixels are generated: every per-image aggregation downstream then runs without a
     shuffle of pixel data (a raster table written bucketed by ``img_name`` gives the
     same property on a cluster).
     """
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
-    codes = F.array(*[F.lit(c) for c in MASK_CODES])
     side = mask_side(F.col("s_suppkey"))
-    n = len(MASK_CODES)
-
-    def code_at(k):
-        x = k % F.col("width")
-        y = F.floor(k / F.col("width"))
-        idx = (F.col("s_suppkey") * 7 + F.floor(x / 12) * 3 + F.floor(y / 10) * 5 + (x * y) % 3) % n
-        return F.element_at(codes, (idx + 1).cast("int"))
-
     # An explicit partition count: AQE would otherwise coalesce the tiny source rows into
     # one partition and generate every pixel in a single task.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         sup.select(F.col("s_name").alias("img_name"), "s_suppkey", side.alias("height"), side.alias("width"))
         .repartition(parts, "img_name")
-        .select(
-            "img_name",
-            "height",
-            "width",
-            F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), code_at).alias("pixels"),
-        )
+        .select("img_name", "height", "width", _mask_pixels(F.col("s_suppkey"), F.col("height")).alias("pixels"))
     )
 
 
@@ -89,8 +90,8 @@ def qa(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFra
     (16 -> 'z9').  Orders without lines get NULL image and answer and no coordinates.
     Every collected list is bounded (7 line numbers x 17 cells, 43 ordinals).
     """
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", spread_by="l_orderkey")
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", spread_by="o_orderkey")
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     per_line = li.groupBy("l_orderkey", "l_linenumber").agg(
         F.array_sort(F.collect_set(cell_or_unknown(F.col("l_partkey") % 17))).alias("cells"),
@@ -130,4 +131,4 @@ def qa(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFra
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, embedding array<float> (64), label 0..9."""
-    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label", spread_by="vec_id")

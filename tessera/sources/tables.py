@@ -7,14 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread_by: str | None = None) -> DataFrame:
+    """Scan one table with only ``cols``; ``spread_by`` hash-spreads a scan that has fewer
+    partitions than cores (see :func:`tessera.session.spread`)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df, spread_by) if spread_by else df
