@@ -47,20 +47,21 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img_name, height, width, pixels array<int> (row-major), one row per supplier.
 
     pixel (x, y) = MASK_CODES[(s_suppkey*7 + (x div 12)*3 + (y div 10)*5 + (x*y) % 3) % 45].
-    Source rows are small, so they are hash-partitioned by ``img_name`` *before* the
-    pixels are generated: every per-image aggregation downstream then runs without a
-    shuffle of pixel data (a raster table written bucketed by ``img_name`` gives the
-    same property on a cluster).
+    The rasters are hash-partitioned by ``img_name``: every per-image aggregation
+    downstream then runs without another shuffle (a raster table written bucketed by
+    ``img_name`` gives the same property on a cluster).
     """
-    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", spread_by="s_suppkey")
     side = mask_side(F.col("s_suppkey"))
-    # An explicit partition count: AQE would otherwise coalesce the tiny source rows into
-    # one partition and generate every pixel in a single task.
+    # Generate (vectorised, in the scan stage), then hash-partition the rasters by image:
+    # a Python evaluation node does not report its input's partitioning, so partitioning
+    # after it is what lets every per-image aggregation downstream skip the shuffle.  The
+    # explicit count keeps AQE from coalescing into one partition.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         sup.select(F.col("s_name").alias("img_name"), "s_suppkey", side.alias("height"), side.alias("width"))
-        .repartition(parts, "img_name")
         .select("img_name", "height", "width", _mask_pixels(F.col("s_suppkey"), F.col("height")).alias("pixels"))
+        .repartition(parts, "img_name")
     )
 
 
