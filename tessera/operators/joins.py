@@ -57,13 +57,14 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join ``big`` with ``small`` on ``on``, salting the hot keys of ``big``.
 
-    ``how`` is ``inner`` or ``left`` (``big`` is the preserved side).  The salt of a
-    big-side row is a hash of all its columns, so a recomputed task assigns the same
-    salt (no random numbers in a shuffle key).
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (``big`` is the
+    preserved side; every salt of a hot key meets a copy of its small-side rows, so all
+    four stay exact).  The salt of a big-side row is a hash of all its columns, so a
+    recomputed task assigns the same salt (no random numbers in a shuffle key).
     """
     on = [on] if isinstance(on, str) else list(on)
-    if how not in ("inner", "left"):
-        raise ValueError("skew_join supports inner and left joins")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("skew_join supports inner, left, left_semi and left_anti joins")
     hot = F.broadcast(hot_keys(big, on, hot_rows, max_hot, max_salts))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     big_s = (

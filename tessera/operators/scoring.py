@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 
-MAX_HEAD_WEIGHTS = 50_000_000  # doubles; a 335 x 768 head has 257,280
+MAX_HEAD_WEIGHTS = 10_000_000  # doubles (80 MB broadcast); a 335 x 768 head has 257,280
 
 
 # --- pooling -----------------------------------------------------------------------------

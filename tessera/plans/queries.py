@@ -332,24 +332,22 @@ def q_fit_pixels(spark, sf):
 
 @query
 def q_vqa_examples(spark, sf):
-    qa = cut_lineage(D.qa(spark, sf))
-    area = cut_lineage(G.grid_area(D.masks(spark, sf)))
     ex = X.build_examples(
-        qa,
-        area,
-        X.examples_vocab(qa, area),
+        D.qa(spark, sf),
+        G.grid_area(D.masks(spark, sf)),
         L.vocab_map(L.patch_vocab(spark)),
         L.vocab_map(L.answer_vocab(spark), K.PROTECTED_ANSWERS),
         missing="empty",
-        reuse="none",
     )
+    n = F.size(F.array_remove("attention_mask", 0))
     return ex.select(
         "index",
         "question_type",
         "len_a",
         "len_b",
-        F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"),
-        F.size(F.array_remove("attention_mask", 0)).alias("mask_sum"),
+        # pads are 0: summing the unpadded prefix gives the sum of all ids
+        F.aggregate(F.slice("input_ids", 1, n), F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"),
+        n.alias("mask_sum"),
         L.bits(F.col("labels_patch").cast("array<int>")).alias("patch_bits"),
         L.n_hot(F.col("labels_answ").cast("array<int>")).alias("answ_hot"),
     )
