@@ -9,6 +9,7 @@ codes.  Inputs are persisted for the iterations and released afterwards.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -21,21 +22,32 @@ from .grid import explode_pixels
 from .remap import argmax, code_id
 
 
-def fit_heads(examples: DataFrame, features: str, labels: Sequence[str], max_iter: int = 20, reg: float = 0.01) -> DataFrame:
+def fit_heads(
+    examples: DataFrame, features: str, labels: Sequence[str], max_iter: int = 20, reg: float = 0.01, parallel: int = 8
+) -> DataFrame:
     """Fit one binary logistic regression per label column; report training accuracy.
 
-    Returns ``label, n, accuracy`` (one row per label), computed by Spark from the
-    predictions of every row.
+    The per-label fits are independent Spark jobs, submitted from up to ``parallel``
+    driver threads so the scheduler runs them side by side (hundreds of labels do not
+    queue one after another).  Returns ``label, n, accuracy`` (one row per label),
+    computed by Spark from the predictions of every row.
     """
-    data = examples.select(array_to_vector(F.col(features)).alias("features"), *labels).persist(StorageLevel.MEMORY_AND_DISK)
+    data = examples.select(
+        array_to_vector(F.col(features)).alias("features"), *[F.col(c).cast("double").alias(c) for c in labels]
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(lab: str):
+        return LogisticRegression(featuresCol="features", labelCol=lab, maxIter=max_iter, regParam=reg).fit(data)
+
     try:
-        parts = []
-        for lab in labels:
-            model = LogisticRegression(featuresCol="features", labelCol=lab, maxIter=max_iter, regParam=reg).fit(
-                data.withColumn(lab, F.col(lab).cast("double"))
-            )
-            pred = model.transform(data.withColumn(lab, F.col(lab).cast("double")))
-            parts.append(pred.select(F.lit(lab).alias("label"), (F.col("prediction") == F.col(lab)).cast("int").alias("ok")))
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(labels)))) as pool:
+            models = list(pool.map(fit, labels))
+        parts = [
+            m.setPredictionCol("prediction")
+            .transform(data)
+            .select(F.lit(lab).alias("label"), (F.col("prediction") == F.col(lab)).cast("int").alias("ok"))
+            for lab, m in zip(labels, models)
+        ]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
