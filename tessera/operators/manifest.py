@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as PTH
+from ..schemas import check
 
 
 def read_manifests(spark, paths_by_split: dict[str, str]) -> DataFrame:
     """One manifest parquet per split -> img_name, path_to_your_file, split."""
-    frames = [
-        spark.read.parquet(p).select("img_name", "path_to_your_file").withColumn("split", F.lit(s))
-        for s, p in paths_by_split.items()
-    ]
+    frames = [check(spark.read.parquet(p), "manifest").withColumn("split", F.lit(s)) for s, p in paths_by_split.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import check
 from ..session import spread
 
 TABLES = (
@@ -23,3 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread_b
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*cols) if cols else df
     return spread(df, spread_by) if spread_by else df
+
+
+def read_qa(spark: SparkSession, *paths: str) -> DataFrame:
+    """Question tables (one or more parquet files) with the declared QA columns."""
+    return check(spark.read.parquet(*paths), "qa")

@@ -82,3 +82,34 @@ def test_stream_context_tables(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.select("img_name").distinct().count() == 3
     assert got.where("img_name = 'S2A_x'").count() == 688
+
+
+def test_read_manifests_and_qa_files(spark, tmp_path):
+    from tessera.operators import manifest as M
+    from tessera.sources.tables import read_qa
+
+    tr, va = str(tmp_path / "train.parquet"), str(tmp_path / "val.parquet")
+    spark.createDataFrame([("a", "F1"), ("b", "F2")], "img_name string, path_to_your_file string").write.parquet(tr)
+    spark.createDataFrame([("c", "F1")], "img_name string, path_to_your_file string").write.parquet(va)
+    m = M.read_manifests(spark, {"train": tr, "val": va})
+    assert {(r["split"], r["n"]) for r in M.split_counts(m).collect()} == {("train", 2), ("val", 1)}
+    paths = {r["img_name"]: r["mask_path"] for r in M.manifest_paths(m, "img/", "masks/").collect()}
+    assert paths["a"] == "masks/F1/a" + K.MASK_SUFFIX
+    q1, q2 = str(tmp_path / "q1.parquet"), str(tmp_path / "q2.parquet")
+    rows = "index int, img_name string, question string, question_type string, answer string, grid_coordinates array<array<string>>"
+    spark.createDataFrame([(1, "a", "q", "t", "pastures", [["a1"]])], rows).write.parquet(q1)
+    spark.createDataFrame([(2, "b", "q", "t", "vineyards", [["b2"]])], rows).write.parquet(q2)
+    qa = read_qa(spark, q1, q2)
+    assert qa.schema["index"].dataType.simpleString() == "bigint" and qa.count() == 2
+
+
+def test_schema_check_fails_on_wrong_type(spark):
+    import pytest
+
+    from tessera.schemas import check
+
+    bad = spark.createDataFrame([("a", 1.5)], "img_name string, path_to_your_file double")
+    with pytest.raises(TypeError):
+        check(bad, "manifest")
+    with pytest.raises(ValueError):
+        check(bad.select("img_name"), "manifest")
