@@ -16,12 +16,18 @@ from ..operators.grid import grid_pivot
 
 
 def write_context(area: DataFrame, path: str, wide: bool = False, mode: str = "overwrite") -> None:
-    """Context table, long (default) or wide (``Grid`` + 43 class columns), partitioned by nothing
-    but sorted by image inside each file so readers can skip row groups by ``img_name``."""
+    """Context table, long (default) or wide (``Grid`` + 43 class columns), sorted by image inside
+    each file so readers can skip row groups by ``img_name``."""
     out = grid_pivot(area) if wide else area
     out.sortWithinPartitions("img_name").write.mode(mode).parquet(path)
 
 
+def write_context_table(area: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
+    """Context table saved bucketed and sorted by ``img_name``: joins to questions and per-image
+    aggregations read it co-partitioned, without shuffling the table."""
+    area.write.mode(mode).bucketBy(buckets, "img_name").sortBy("img_name", "grid_ord", "class_ord").saveAsTable(table)
+
+
 def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``index, text`` as parquet."""
     prompts.select("index", "text").write.mode(mode).parquet(path)

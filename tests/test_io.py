@@ -113,3 +113,13 @@ def test_schema_check_fails_on_wrong_type(spark):
         check(bad, "manifest")
     with pytest.raises(ValueError):
         check(bad.select("img_name"), "manifest")
+
+
+def test_bucketed_context_table_pivots_without_shuffle(spark, tmp_path):
+    root = str(tmp_path / "m5")
+    _write_masks(root)
+    area = G.grid_area(RS.ingest_rasters(spark, root).where("img_name <> ''"))
+    sinks.write_context_table(area, "context_t", 4)
+    wide = G.grid_pivot(spark.table("context_t"))
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert wide.count() == 32
