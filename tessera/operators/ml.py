@@ -72,20 +72,28 @@ def pixel_features(masks: DataFrame) -> DataFrame:
     return px.select("img_name", "x", "y", "code", code_id(F.col("code")).alias("id"), F.array(*bands).alias("bands"))
 
 
-def fit_pixels(pixels: DataFrame, max_iter: int = 15) -> DataFrame:
-    """Multinomial logistic regression id ~ bands; predictions mapped back to codes.
+def train_pixel_model(pixels: DataFrame, max_iter: int = 15):
+    """Multinomial logistic regression id ~ bands on weighted distinct rows.
 
     Identical (features, id) rows are merged first into one row with a weight equal to
     their count: the weighted log-likelihood is the same sum, so the fit is exact while
     the iterations run over the distinct rows only (map-side combined before the shuffle).
-    Returns per true id: ``id, code, n, correct``.
     """
     grouped = pixels.groupBy("bands", "id").agg(F.count(F.lit(1)).cast("double").alias("w"))
     data = grouped.select(
         array_to_vector("bands").alias("features"), F.col("id").cast("double").alias("label"), "w"
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = LogisticRegression(maxIter=max_iter, family="multinomial", regParam=0.0, weightCol="w").fit(data)
+        return LogisticRegression(maxIter=max_iter, family="multinomial", regParam=0.0, weightCol="w").fit(data), data
+    except Exception:
+        data.unpersist()
+        raise
+
+
+def fit_pixels(pixels: DataFrame, max_iter: int = 15) -> DataFrame:
+    """Fit the pixel classifier and report, per true id: ``id, code, n, correct``."""
+    model, data = train_pixel_model(pixels, max_iter)
+    try:
         pred = model.transform(data).select(
             F.col("label").cast("int").alias("id"),
             "w",
@@ -97,3 +105,26 @@ def fit_pixels(pixels: DataFrame, max_iter: int = 15) -> DataFrame:
         ).withColumn("code", F.element_at(C.id_to_code(), F.col("id") + 1))
     finally:
         data.unpersist()
+
+
+def predict_pixels(model, pixels: DataFrame) -> DataFrame:
+    """Per pixel: img_name, x, y, predicted id (first maximum) and its class code."""
+    scored = model.transform(pixels.select("img_name", "x", "y", array_to_vector("bands").alias("features")))
+    ids = argmax(vector_to_array("probability"))
+    return scored.select("img_name", "x", "y", ids.alias("id")).withColumn(
+        "code", F.element_at(C.id_to_code(), F.col("id") + 1)
+    )
+
+
+def masks_from_pixels(pred: DataFrame, value: str = "code") -> DataFrame:
+    """Gather per-pixel predictions back into raster rows (img_name, height, width, pixels).
+
+    One group per image, bounded by the image size; the result feeds the grid operators.
+    """
+    return pred.groupBy("img_name").agg(
+        (F.max("y") + 1).cast("int").alias("height"),
+        (F.max("x") + 1).cast("int").alias("width"),
+        F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).alias("v")))), lambda s: s["v"]).alias(
+            "pixels"
+        ),
+    )
