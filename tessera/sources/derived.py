@@ -25,7 +25,7 @@ from .tables import read_table
 
 # The 43 named codes, then one code with an id but no name and one unknown code.
 MASK_CODES = K.CLASS_CODES + [K.NODATA_CODE, 335]
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 1_000_000  # ~40 MB for (key, name) rows
 
 
 def mask_side(key) -> F.Column:

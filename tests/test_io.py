@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pytest
 
 from tessera import constants as K
 from tessera.operators import grid as G
@@ -123,3 +124,32 @@ def test_bucketed_context_table_pivots_without_shuffle(spark, tmp_path):
     wide = G.grid_pivot(spark.table("context_t"))
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
     assert wide.count() == 32
+
+
+def test_segmentation_inputs_end_to_end(spark, tmp_path):
+    """Manifest x RGB image x mask, then resize + normalise the bands and remap the mask codes."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import images as IM
+    from tessera.operators import manifest as M
+    from tessera.operators import remap as RM
+
+    img_dir, mask_dir = tmp_path / "img", tmp_path / "masks" / "F1"
+    img_dir.mkdir()
+    mask_dir.mkdir(parents=True)
+    rgb = np.zeros((4, 4, 3), dtype=np.uint8)
+    rgb[:, :, 0] = 255
+    (img_dir / "a.tif").write_bytes(tiff.encode(rgb))
+    (mask_dir / ("a" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.array([[111, 999], [335, 523]], dtype=np.uint16)))
+    man = spark.createDataFrame([("a", "F1", "train")], "img_name string, path_to_your_file string, split string")
+    images = RS.ingest_rasters(spark, str(img_dir), cut=4, kind="rgb").drop("path")
+    masks = RS.ingest_rasters(spark, str(tmp_path / "masks")).drop("path")
+    j = M.manifest_join(man, masks.withColumnRenamed("height", "mh").withColumnRenamed("width", "mw"), images)
+    row = j.first()
+    assert (row["img_name"], row["mh"], row["height"], len(row["bands"])) == ("a", 2, 4, 3)
+    mean, std = K.NORM_MULTISPECTRAL
+    prep = IM.resize_bilinear(j, "bands", 4, 4, 8, 8).select(IM.normalize_bands(F.col("bands"), mean, std).alias("z"))
+    z = prep.first()["z"]
+    assert len(z) == 3 and len(z[0]) == 64
+    assert z[0][0] == pytest.approx((1 - 0.1396) / 0.07) and z[1][0] == pytest.approx(-0.1457 / 0.0547)
+    assert RM.remap_codes(j).first()["ids"] == [0, 43, 0, 42]
