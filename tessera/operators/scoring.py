@@ -59,18 +59,22 @@ def score_heads(pooled: DataFrame, vec: str, heads: dict[str, tuple[np.ndarray,
 
     The head matrices are broadcast once; each Arrow batch is one matrix product.
     """
-    sc = pooled.sparkSession.sparkContext
     out = pooled
     for name, (W, b) in heads.items():
-        bw = sc.broadcast((np.asarray(W, dtype=np.float64), np.asarray(b, dtype=np.float64)))
-        out = out.withColumn(name, _head_udf(bw, activation)(F.col(vec)))
+        value = (np.asarray(W, dtype=np.float64), np.asarray(b, dtype=np.float64))
+        try:
+            shipped = pooled.sparkSession.sparkContext.broadcast(value)
+            get = lambda bw=shipped: bw.value
+        except Exception:  # no SparkContext (Spark Connect): the matrix travels with the UDF
+            get = lambda v=value: v
+        out = out.withColumn(name, _head_udf(get, activation)(F.col(vec)))
     return out
 
 
-def _head_udf(bw, activation: str):
+def _head_udf(get, activation: str):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(x: pd.Series) -> pd.Series:
-        Wm, bv = bw.value
+        Wm, bv = get()
         if len(x) == 0:
             return pd.Series([], dtype=object)
         H = np.stack([np.asarray(v, dtype=np.float64) for v in x])

@@ -42,7 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
@@ -75,7 +81,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     that stage would run on one core.  Large inputs already have many splits, so this
     adds no shuffle where the data is big.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD access (Spark Connect): leave the scan as it is
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
