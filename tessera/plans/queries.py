@@ -26,7 +26,6 @@ from ..operators import remap as R
 from ..operators import scoring as S
 from ..operators import prompts as P
 from ..sources import derived as D
-from ..session import cut_lineage
 from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
