@@ -46,6 +46,24 @@ def hot_keys(
     )
 
 
+def hot_keys_from_counts(
+    counts: DataFrame,
+    on: Sequence[str] | str,
+    n: str = "n",
+    hot_rows: int = DEFAULT_HOT_ROWS,
+    max_hot: int = DEFAULT_MAX_HOT_KEYS,
+    max_salts: int = DEFAULT_MAX_SALTS,
+) -> DataFrame:
+    """Hot keys from a table that already holds per-key counts (e.g. a vocabulary's ``n``).
+
+    The counts only choose the salt numbers: any over- or under-estimate changes the
+    balance, never the join result.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    top = counts.where(F.col(n) >= hot_rows).orderBy(F.col(n).desc(), *on).limit(max_hot)
+    return top.select(*on, F.least(F.ceil(F.col(n) / F.lit(hot_rows)), F.lit(max_salts)).cast("int").alias("_salts"))
+
+
 def skew_join(
     big: DataFrame,
     small: DataFrame,
@@ -54,18 +72,20 @@ def skew_join(
     hot_rows: int = DEFAULT_HOT_ROWS,
     max_hot: int = DEFAULT_MAX_HOT_KEYS,
     max_salts: int = DEFAULT_MAX_SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``big`` with ``small`` on ``on``, salting the hot keys of ``big``.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (``big`` is the
     preserved side; every salt of a hot key meets a copy of its small-side rows, so all
     four stay exact).  The salt of a big-side row is a hash of all its columns, so a
-    recomputed task assigns the same salt (no random numbers in a shuffle key).
+    recomputed task assigns the same salt (no random numbers in a shuffle key).  ``hot``
+    (``*on, _salts``) skips the counting pass when the key counts are already known.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("skew_join supports inner, left, left_semi and left_anti joins")
-    hot = F.broadcast(hot_keys(big, on, hot_rows, max_hot, max_salts))
+    hot = F.broadcast(hot if hot is not None else hot_keys(big, on, hot_rows, max_hot, max_salts))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     big_s = (
         big.join(hot, on, "left")
