@@ -153,3 +153,18 @@ def test_segmentation_inputs_end_to_end(spark, tmp_path):
     assert len(z) == 3 and len(z[0]) == 64
     assert z[0][0] == pytest.approx((1 - 0.1396) / 0.07) and z[1][0] == pytest.approx(-0.1457 / 0.0547)
     assert RM.remap_codes(j).first()["ids"] == [0, 43, 0, 42]
+
+
+def test_stream_restart_processes_only_new_files(spark, tmp_path):
+    root = tmp_path / "m6"
+    root.mkdir()
+    (root / ("A" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.full((120, 120), 111, dtype=np.uint16)))
+    out = str(tmp_path / "stream_out2")
+    name = f"ctx_restart_{os.getpid()}_{tmp_path.name}"
+    stream_context_tables(spark, str(root), out, name=name, available_now=True).awaitTermination(120)
+    (root / ("B" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.full((120, 120), 112, dtype=np.uint16)))
+    stream_context_tables(spark, str(root), out, name=name, available_now=True).awaitTermination(120)
+    got = spark.read.parquet(out)
+    per_image = {r["img_name"]: r["n"] for r in got.groupBy("img_name").count().withColumnRenamed("count", "n").collect()}
+    assert per_image == {"A": 688, "B": 688}  # A was not processed again after the restart
+    assert got.select("batch_id").distinct().count() == 2
