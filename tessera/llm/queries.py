@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
