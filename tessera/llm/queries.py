@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
