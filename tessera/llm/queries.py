@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, huffman, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
+    "op8_huffman": huffman.op8_huffman,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
