@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, huffman, simhash
+from . import bpe, decontaminate, exact_dedup, huffman, simhash
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op8_huffman": huffman.op8_huffman,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
