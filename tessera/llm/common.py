@@ -104,7 +104,7 @@ def running(df: DataFrame, groups: list[str], order: list[str], value: Column, o
     """
     keys = [*groups, *order]
     ranged = df.withColumn("_v", value).repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
-    fixed = scratch.table(ranged, f"{out}_ranged")
+    fixed = scratch.table(ranged, f"{out}-{uuid.uuid4().hex[:8]}")
     sums = fixed.groupBy(*groups, "_pid").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*groups, "_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))

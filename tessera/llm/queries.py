@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, huffman, simhash
+from . import bpe, decontaminate, exact_dedup, huffman, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op8_huffman": huffman.op8_huffman,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
