@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, huffman, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, huffman, reshard, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_reshard": reshard.op2_reshard,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op8_huffman": huffman.op8_huffman,
