@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, huffman, reshard, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, hosts, huffman, reshard, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_reshard": reshard.op2_reshard,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
+    "op6_hosts": hosts.op6_hosts,
     "op8_huffman": huffman.op8_huffman,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
+    "op6_hosts": hosts.OP6_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
