@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hosts, huffman, reshard, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, hosts, huffman, line_templates, reshard, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_reshard": reshard.op2_reshard,
+    "op3_line_templates": line_templates.op3_line_templates,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op6_hosts": hosts.op6_hosts,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_line_templates": line_templates.OP3_SQL,
     "op6_hosts": hosts.OP6_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
