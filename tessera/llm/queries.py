@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hosts, huffman, line_templates, reshard, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, hosts, huffman, line_templates, mixing, reshard, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op6_hosts": hosts.op6_hosts,
+    "op7_mixing": mixing.op7_mixing,
     "op8_huffman": huffman.op8_huffman,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
