@@ -73,7 +73,7 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def located(docs: DataFrame, scratch: Scratch, *cols: str) -> DataFrame:
+def located(docs: DataFrame, scratch: Scratch, *cols: str | Column) -> DataFrame:
     """``cols`` of ``docs`` with each row's place (``_file``, ``_row``) in the files it is read from.
 
     A frame that isn't a plain file scan (a join, an aggregate, rows from memory) is written
@@ -83,7 +83,15 @@ def located(docs: DataFrame, scratch: Scratch, *cols: str) -> DataFrame:
     try:
         return docs.select(*cols, *place)
     except AnalysisException:
-        return scratch.table(docs.select(*cols), "rows").select(*cols, *place)
+        return scratch.table(docs.select(*cols), f"rows-{uuid.uuid4().hex[:8]}").select("*", *place)
+
+
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs``, all its columns whatever their names, without the rows at the places (_file, _row) in ``gone``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    gone = scratch.table(gone.select(F.col("_file").alias("_f"), F.col("_row").alias("_r")), "gone")
+    on = (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))
+    return located(docs, scratch, whole).join(small(gone, 256), on, "left_anti").select("row.*")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, located, read, small
+from .common import Scratch, located, read, small, without
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -113,11 +113,7 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; its columns stay as they are."""
-    rows = located(docs, scratch, *docs.columns)
-    dropped = exact_dedup(docs, scratch).where("not kept").select(F.col("_file").alias("_f"), F.col("_row").alias("_r"))
-    dropped = small(scratch.table(dropped, "dropped"), 256)
-    on = (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))
-    return rows.join(dropped, on, "left_anti").select(*docs.columns)
+    return without(docs, exact_dedup(docs, scratch).where("not kept"), scratch)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, located, read, slices, small
+from .common import Scratch, fold, located, read, slices, without
 
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 20_000
@@ -225,9 +225,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
     """``docs`` without the rows whose score is 0.5 or more; its columns stay as they are."""
     model = fit(docs, labels, scratch)
     scored = differences(located(docs, scratch, "text"), model, ["_file", "_row"])
-    toxic = scratch.table(scored.where("score >= 0.5").select(F.col("_file").alias("_f"), F.col("_row").alias("_r")), "toxic")
-    on = (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))
-    return located(docs, scratch, *docs.columns).join(small(toxic, 256), on, "left_anti").select(*docs.columns)
+    return without(docs, scored.where("score >= 0.5"), scratch)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
