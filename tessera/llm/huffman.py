@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import Scratch, read, slices
 
 END, MAX_BITS, STEP, BLOCK_IDS = 1, 16, 256, 1 << 16
 MAGIC = b"THB1"
-#: Stretches of text whose ids a Python worker remembers.
+#: Words, and stretches of text, whose ids a Python worker remembers.
 CACHE = 300_000
 
 
@@ -135,60 +138,95 @@ def unpack(block: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarra
 
 
 # --- jobs -----------------------------------------------------------------------------
-_TOKENIZERS: dict[str, tuple] = {}
+class Encoder:
+    """The tokenizers library, with a cache of the ids (as bytes) of recent words and stretches.
 
+    No token, letter composition or special token crosses a space or line end, so a text's ids
+    are those of its stretches.  A stretch of Latin letters, perhaps with a full stop or comma,
+    is normalised here and given to the library's model as one word; any other one goes through
+    the library's whole chain of steps.
+    """
 
-def tokenizer(key: str, spec: str) -> tuple:
-    """This worker's tokenizer and its cache of the ids (as bytes) of recent stretches."""
-    if key not in _TOKENIZERS:
+    def __init__(self, spec: str, dtype: str):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(spec)
-        t.no_truncation()
-        t.no_padding()
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = (t, {})
-    return _TOKENIZERS[key]
-
-
-def texts_to_ids(texts: list[str | None], t, cache: dict[str, bytes]) -> list[bytes]:
-    """Each text's ids as little-endian uint32 bytes, END appended.
-
-    No token, letter composition or special token crosses a space or line end, so a text's ids
-    are those of its stretches; stretches that aren't in the cache are encoded in one batch.
-    """
-    parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
-    missing = list({c for own in parts for c in own if c not in cache})
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        missing = list({c for own in parts for c in own})
-    for c, e in zip(missing, t.encode_batch_fast(missing, add_special_tokens=False)):
-        cache[c] = np.array(e.ids, "<u4").tobytes()
-    end = struct.pack("<I", END)
-    return [b"".join([cache[c] for c in own]) + end for own in parts]
-
-
-def encode(docs: DataFrame, spec: str) -> DataFrame:
+        self.whole = Tokenizer.from_str(spec)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model, self.symbols, self.dtype = self.whole.model, byte_symbols(), dtype
+        self.code = np.dtype(dtype).char
+        self.stops = {c: self.chain(c) for c in ".,"}
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def chain(self, stretch: str) -> bytes:
+        return array(self.code, self.whole.encode(stretch, add_special_tokens=False).ids).tobytes()
+
+    def stretch(self, c: str) -> bytes:
+        word, stop = (c[:-1], self.stops[c[-1]]) if c[-1:] in self.stops else (c, b"")
+        low = word.lower()
+        if not (low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", word)):
+            return self.chain(c) if c else b""
+        word = low
+        ids = self.words.get(word)
+        if ids is None:
+            spelled = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
+            ids = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[word] = ids
+        return ids + stop
+
+    def text(self, text: str | None) -> bytes:
+        """The text's ids in little-endian bytes, END appended."""
+        known, out = self.known, []
+        for c in (text or "").replace("\n", " ").split(" "):
+            ids = known.get(c)
+            if ids is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                ids = known[c] = self.stretch(c)
+            out.append(ids)
+        out.append(np.array([END], self.dtype).tobytes())
+        return b"".join(out)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(key: str, spec: str, dtype: str) -> Encoder:
+    """The encoder of this Python process; tasks that follow in it find its cache warm."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec, dtype)
+    return _ENCODERS[key]
+
+
+def stored(size: int) -> str:
+    """The type in which ids below ``size`` are kept between the jobs."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, spec: str, dtype: str = "<u4") -> DataFrame:
     """doc_id and the bytes of its ids."""
-    spec_of, key = docs.sparkSession.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
+    spec_of, key = docs.sparkSession.sparkContext.broadcast(spec), hashlib.sha256((dtype + spec).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, cache = tokenizer(key, spec_of.value)
+        e = encoder(key, spec_of.value, dtype)
         for b in slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(texts_to_ids(b.column("text").to_pylist(), t, cache), pa.binary())], ["doc_id", "ids"]
-            )
+            ids = pa.array([e.text(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def id_counts(encoded: DataFrame, size: int) -> np.ndarray:
+def id_counts(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
     """Global counts per id: each task sends one row per id that it saw, at most ``size`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in slices(batches, "ids"):
-            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -201,8 +239,9 @@ def id_counts(encoded: DataFrame, size: int) -> np.ndarray:
 def write_files(docs: DataFrame, scratch: Scratch, spec: str, size: int, out: str | None = None) -> str:
     """Encodes ``docs`` and writes the format to folder ``out``; ``size``: number of ids."""
     spark, out = docs.sparkSession, out or f"{scratch.path}/files"
-    encoded = scratch.table(encode(docs, spec), "encoded")
-    lengths = code_lengths(id_counts(encoded, size))
+    dtype = stored(size)
+    encoded = scratch.table(encode(docs, spec, dtype), "encoded")
+    lengths = code_lengths(id_counts(encoded, size, dtype))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{out}/codes")
     coded = spark.sparkContext.broadcast((lengths, canonical(lengths)))  # two small arrays of ``size`` entries
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -221,7 +260,7 @@ def write_files(docs: DataFrame, scratch: Scratch, spec: str, size: int, out: st
         for b in slices(batches, "ids"):
             id_type = b.schema.field("doc_id").type
             for doc_id, ids, part in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "part"))):
-                got = np.frombuffer(ids, "<u4")
+                got = np.frombuffer(ids, dtype)
                 if n and n + len(got) > BLOCK_IDS:
                     yield row()
                     doc_ids, held, n, block, before = [], [], 0, block + 1, before + n
