@@ -13,7 +13,7 @@ Folds by crc32 of the id modulo 10: 0 is held out; 1 teaches weights and map onl
 that haven't seen it; 2 to 9 fill the tables; all of 1 to 9 are counted as unigrams.
 
 Sizes.  Unigram counts are a distributed table of all words and grow with the corpus; tasks get
-the ``DICTIONARY`` most frequent of them, and rarer words meet their counts in a join.  The
+up to ``DICTIONARY`` of the most frequent ones, and rarer words meet their counts in a join.  The
 context tables have a fixed number of slots, as hashed contexts do; tasks send their counts
 compressed, and they are summed in a tree.  Every text is counted and scored whole.
 
@@ -248,8 +248,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def context_counts(docs: DataFrame, tree: Tree, scratch: Scratch) -> np.ndarray:
-    """Counts of zeros and ones per table and slot, over all rows."""
+def context_tables(docs: DataFrame, tree: Tree) -> Tables:
+    """The tables filled with the bits of all rows; the driver gets five bytes per slot."""
     sc = docs.sparkSession.sparkContext
     shared, size = sc.broadcast(tree), TABLES << SLOTS + 1
 
@@ -260,25 +260,47 @@ def context_counts(docs: DataFrame, tree: Tree, scratch: Scratch) -> np.ndarray:
             for k, s in enumerate(slots):
                 total[k << SLOTS + 1 : k + 1 << SLOTS + 1] += np.bincount(s * 2 + bit, minlength=2 << SLOTS).astype(np.int32)
         pack = zstandard.ZstdCompressor(1).compress
-        parts = np.split(total.astype(np.int64), CHUNKS)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(range(CHUNKS), pa.int32()), pa.array([pack(p.tobytes()) for p in parts], pa.binary())
-        ], ["chunk", "counts"])
+        parts = [pack(p.astype(np.int64).tobytes()) for p in np.split(total, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
-    def added(key, group: pd.DataFrame) -> pd.DataFrame:
+    def summed(group: pd.DataFrame) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor().decompress
-        total = sum(np.frombuffer(unpack(c), np.int64) for c in group["counts"])
-        return pd.DataFrame({"chunk": [key[0]], "counts": [zstandard.ZstdCompressor(1).compress(total.tobytes())]})
+        return sum(np.frombuffer(unpack(c), np.int64) for c in group["counts"])
+
+    def added(key, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [key[0]], "counts": [zstandard.ZstdCompressor(1).compress(summed(group).tobytes())]})
+
+    def filled(key, group: pd.DataFrame) -> pd.DataFrame:
+        t = tables_of(summed(group).reshape(-1, 2))
+        return pd.DataFrame({"chunk": [key[0]], "stretch": [t.stretch.tobytes()], "level": [t.level.tobytes()]})
 
     # tasks send a table each, so there are only a few per core; they are added up in two steps
     tasks = min(docs.rdd.getNumPartitions(), 4 * sc.defaultParallelism)
     sent = docs.select("text").coalesce(max(1, tasks)).mapInArrow(run, "chunk int, counts binary")
     some = sent.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks) + 1)))
     some = some.groupBy("chunk", "part").applyInPandas(added, "chunk int, counts binary")
-    whole = some.groupBy("chunk").applyInPandas(added, "chunk int, counts binary").toPandas()  # CHUNKS rows
-    unpack = zstandard.ZstdDecompressor().decompress
-    out = np.concatenate([np.frombuffer(unpack(c), np.int64) for c in whole.sort_values("chunk")["counts"]])
-    return out.reshape(TABLES, 1 << SLOTS, 2)
+    whole = some.groupBy("chunk").applyInPandas(filled, "chunk int, stretch binary, level binary").orderBy("chunk").collect()  # CHUNKS rows
+    if not whole:
+        return tables_of(np.zeros((TABLES, 1 << SLOTS, 2)))
+    stretch = np.concatenate([np.frombuffer(r["stretch"], np.float32) for r in whole])
+    level = np.concatenate([np.frombuffer(r["level"], np.uint8) for r in whole])
+    return Tables(stretch.reshape(TABLES, -1), level.reshape(TABLES, -1))
+
+
+def frequent(vocabulary: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, ``most`` at most: all above the least count that leaves no more.
+
+    Counts are compared in steps of a 64th of a power of two, so the driver sees few of them.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    sizes = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["step"]
+    return vocabulary.where(step >= least if least is not None else F.lit(False))
 
 
 def taught(docs: DataFrame, shared) -> Mixer:
@@ -314,15 +336,16 @@ def score(docs: DataFrame, scratch: Scratch, tree_words: int = TREE, dictionary:
     sums = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = rows.where("fold != 0").count()
     tokens, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(dictionary).toPandas()  # ``dictionary`` rows at most
+    top = frequent(vocabulary, dictionary).toPandas().sort_values(["n", "word"], ascending=[False, True])  # ``dictionary`` rows at most
     words, counts = [bytes(w) for w in top["word"]], top["n"].to_list()
+    del top
     head = sum(counts[:tree_words])
     tree = huffman_tree(words[:tree_words], counts[:tree_words], tokens - ends - head, ends)
     outside = math.log10(tokens - ends - head + ALPHA * (sums[1] - len(tree.words) + 1))
     log_c = [math.log10(c + ALPHA) for c in [*counts[:tree_words], 0, ends]]
     rarer = {w: math.log10(c + ALPHA) for w, c in zip(words[tree_words:], counts[tree_words:])}
 
-    tables = tables_of(context_counts(rows.where("fold > 1"), tree, scratch))
+    tables = context_tables(rows.where("fold > 1"), tree)
     mixer = taught(rows.where("fold = 1"), spark.sparkContext.broadcast((tree, tables)))
     shared = spark.sparkContext.broadcast((tree, tables, mixer, np.array(log_c), rarer))
 
