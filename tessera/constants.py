@@ -86,6 +86,7 @@ CLASS_CODES = [c for c, _ in CLASS_CODES_AND_NAMES]
 CLASS_NAMES = [n for _, n in CLASS_CODES_AND_NAMES]
 N_CLASSES = len(CLASS_NAMES)  # 43 named classes
 ID_CODES = CLASS_CODES + [NODATA_CODE]  # contiguous id = position, 44 ids
+N_IDS = len(ID_CODES)
 GRID_EXTENT = BLOCK_SIZE * GRID_ROWS  # 120
 N_CELLS = len(GRID_COLUMNS) * GRID_ROWS  # 16
 

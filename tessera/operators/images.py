@@ -56,15 +56,25 @@ def resize_band(band: Column, in_h: int, in_w: int, out_h: int, out_w: int) -> C
 
 
 def resize_bilinear(df: DataFrame, col: str, in_h: int, in_w: int, out_h: int, out_w: int, out: str | None = None) -> DataFrame:
-    """Resize a band (``array<number>``) or a stack of bands (``array<array<number>>``)."""
+    """Resize a band (``array<number>``) or a stack of bands (``array<array<number>>``).
+
+    A band that hasn't ``in_h * in_w`` values fails the job.
+    """
+    def checked(band: Column) -> Column:
+        wrong = F.concat(F.lit(f"a band of {in_h} x {in_w} expected, values: "), F.size(band).cast("string"))
+        return F.when(F.size(band) == in_h * in_w, band).otherwise(F.raise_error(wrong).cast(band_type))
+
     dt = df.schema[col].dataType
     nested = hasattr(dt, "elementType") and hasattr(dt.elementType, "elementType")
+    band_type = dt.elementType if nested else dt
+    df = df.withColumn(out or col, F.transform(col, checked) if nested else checked(F.col(col)))
+    col = out or col
     expr = (
         F.transform(col, lambda b: resize_band(b, in_h, in_w, out_h, out_w))
         if nested
         else resize_band(F.col(col), in_h, in_w, out_h, out_w)
     )
-    return df.withColumn(out or col, expr)
+    return df.withColumn(col, expr)
 
 
 def normalize_bands(bands: Column, mean: Sequence[float], std: Sequence[float], scale: float = 255.0) -> Column:

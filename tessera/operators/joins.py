@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +79,23 @@ def skew_join(
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (``big`` is the
     preserved side; every salt of a hot key meets a copy of its small-side rows, so all
-    four stay exact).  The salt of a big-side row is a hash of all its columns, so a
-    recomputed task assigns the same salt (no random numbers in a shuffle key).  ``hot``
+    four stay exact).  The salt of a big-side row is a hash of its columns and its partition, so
+    equal rows of different tasks spread, and a recomputed task assigns the same salt.  Rows with
+    a NULL key, which match nothing, are added after the join (left, left_anti).  ``hot``
     (``*on, _salts``) skips the counting pass when the key counts are already known.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("skew_join supports inner, left, left_semi and left_anti joins")
+    # rows with a NULL key never match: they skip the shuffle, so they can't meet in one task
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    loose = big.where(~keyed)
+    big = big.where(keyed)
     hot = F.broadcast(hot if hot is not None else hot_keys(big, on, hot_rows, max_hot, max_salts))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     big_s = (
         big.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), salts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns], F.spark_partition_id()), salts).cast("int"))
         .drop("_salts")
     )
     small_s = (
@@ -97,4 +103,16 @@ def skew_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
-    return big_s.join(small_s, on + ["_salt"], how).drop("_salt")
+    out = big_s.join(small_s, on + ["_salt"], how).drop("_salt")
+    if how == "left":
+        return out.unionByName(loose, allowMissingColumns=True)
+    return out.unionByName(loose) if how == "left_anti" else out
+
+
+def ensure_unique(df: DataFrame, key: str) -> DataFrame:
+    """``df``, failing the job when two rows share ``key`` (a NULL key counts as one key)."""
+    rest = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    message = F.concat(F.lit(f"duplicate {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    row = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_r")).alias("_r")
+    return one.select(key, row).select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])

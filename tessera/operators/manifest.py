@@ -33,12 +33,30 @@ def manifest_paths(manifest: DataFrame, image_dir: str, mask_dir: str) -> DataFr
     )
 
 
-def manifest_join(manifest: DataFrame, masks: DataFrame, rgb: DataFrame | None = None) -> DataFrame:
-    """Manifest rows with their mask (and image) rasters, joined on ``img_name``.
+def manifest_join(manifest: DataFrame, masks: DataFrame, rgb: DataFrame | None = None, missing: str = "error") -> DataFrame:
+    """Manifest rows with their mask (and image) rasters.
 
-    Both sides are keyed by image; rasters partitioned by ``img_name`` are not moved.
+    Masks are found by folder and name where they have a ``folder`` column (a name may be in
+    several folders), else by name; images by name.  ``missing``: a manifest row whose file isn't
+    there fails the job (``error``), is left out (``drop``) or has NULL columns (``null``).  Rasters
+    partitioned by ``img_name`` are not moved.
     """
-    out = manifest.join(masks, "img_name", "inner")
-    if rgb is not None:
-        out = out.join(rgb, "img_name", "inner")
+    if missing not in ("error", "drop", "null"):
+        raise ValueError("missing must be error, drop or null")
+    how = "inner" if missing == "drop" else "left"
+    out = manifest
+    for what, rasters in (("mask", masks), ("image", rgb)):
+        if rasters is None:
+            continue
+        on = ["img_name"]
+        if "folder" in rasters.columns:
+            rasters = rasters.withColumnRenamed("folder", "path_to_your_file")
+            on.append("path_to_your_file")
+        found = rasters.withColumn("_found", F.lit(True))
+        out = out.join(found, on, how)
+        if missing == "error":
+            name = F.concat_ws("/", *on[::-1])
+            lost = F.raise_error(F.concat(F.lit(f"no {what} file for "), name)).cast("string")
+            out = out.withColumn("img_name", F.when(F.col("_found").isNull(), lost).otherwise(F.col("img_name")))
+        out = out.drop("_found")
     return out

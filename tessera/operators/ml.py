@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import classes as C
 from .grid import explode_pixels
 from .remap import argmax, code_id
+from .scoring import score_heads
 
 
 def fit_heads(
@@ -29,8 +31,9 @@ def fit_heads(
 
     The per-label fits are independent Spark jobs, submitted from up to ``parallel``
     driver threads so the scheduler runs them side by side (hundreds of labels do not
-    queue one after another).  Returns ``label, n, accuracy`` (one row per label),
-    computed by Spark from the predictions of every row.
+    queue one after another).  Returns ``label, n, positives, accuracy, loss, prior_loss`` (one
+    row per label; losses are mean log losses, of the fit and of always giving the label's
+    rate), computed in one scan for all labels.
     """
     data = examples.select(
         array_to_vector(F.col(features)).alias("features"), *[F.col(c).cast("double").alias(c) for c in labels]
@@ -42,18 +45,22 @@ def fit_heads(
     try:
         with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(labels)))) as pool:
             models = list(pool.map(fit, labels))
-        parts = [
-            m.setPredictionCol("prediction")
-            .transform(data)
-            .select(F.lit(lab).alias("label"), (F.col("prediction") == F.col(lab)).cast("int").alias("ok"))
-            for lab, m in zip(labels, models)
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("accuracy"))
     finally:
         data.unpersist()
+    matrix = (np.array([m.coefficients.toArray() for m in models]), np.array([m.intercept for m in models]))
+    truth = F.array(*[F.col(c).cast("int") for c in labels]).alias("y")
+    scored = score_heads(examples.select(F.col(features).alias("x"), truth), "x", {"p": matrix}, activation="none")
+    pairs = scored.select(F.posexplode_outer(F.arrays_zip("y", "p")).alias("j", "s")).where(F.col("j").isNotNull())
+    name = F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("j") + 1)
+    out = pairs.groupBy(name.alias("label")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("s.y").cast("bigint").alias("positives"),
+        F.avg(((F.col("s.p") > 0.5).cast("int") == F.col("s.y")).cast("int")).alias("accuracy"),
+        F.avg(-F.log(F.when(F.col("s.y") == 1, F.col("s.p")).otherwise(1 - F.col("s.p")))).alias("loss"),
+    )
+    share = F.col("positives") / F.col("n")
+    entropy = sum((F.when(q > 0, -q * F.log(q)).otherwise(0.0) for q in (share, 1 - share)), F.lit(0.0))
+    return out.withColumn("prior_loss", entropy)
 
 
 def pixel_features(masks: DataFrame) -> DataFrame:

@@ -24,10 +24,13 @@ MAX_HEAD_WEIGHTS = 10_000_000  # doubles (80 MB broadcast); a 335 x 768 head has
 
 # --- pooling -----------------------------------------------------------------------------
 def masked_mean_pool(tokens: DataFrame, by: Sequence[str], h: str = "h", mask: str = "mask") -> DataFrame:
-    """Per group and hidden dim: ``sum(h * mask) / sum(mask)``.  Returns ``*by, dim, pooled``."""
+    """Per group and hidden dim: ``sum(h * mask) / sum(mask)``.  Returns ``*by, dim, pooled``.
+
+    A group whose rows are all masked has NULL pooled values.
+    """
     ex = tokens.select(*by, F.col(mask).alias("_m"), F.posexplode(h).alias("dim", "_h"))
     return ex.groupBy(*by, "dim").agg(
-        (F.sum(F.col("_h").cast("double") * F.col("_m")) / F.sum("_m")).alias("pooled")
+        F.try_divide(F.sum(F.col("_h").cast("double") * F.col("_m")), F.sum("_m")).alias("pooled")
     )
 
 

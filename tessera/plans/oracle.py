@@ -169,10 +169,17 @@ ORACLE["remap_codes"] = with_(
     "FROM mask_px m LEFT JOIN ids i ON m.code = i.code GROUP BY ALL",
 )
 
+SCORES_SQL = "list_transform(range(44), lambda c: CAST(embedding[c + 1] AS DOUBLE) + coalesce(CAST(embedding[c + 45] AS DOUBLE), 0.0))"
+ORACLE["fit_pixels"] = with_(
+    f"{IDS_CTE},\n{MASK_PX_CTE}",
+    "SELECT CAST(id AS INTEGER) AS id, ids.code AS code, n, true AS beats_majority\n"
+    "FROM (SELECT coalesce(i.id, 0) AS id, count(*) AS n FROM mask_px m LEFT JOIN ids i ON m.code = i.code GROUP BY 1) JOIN ids USING (id)",
+)
+
 ORACLE["predicted_mask"] = (
     "SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS id,\n"
     f"       {list(K.ID_CODES)}[list_position(z, list_max(z))] AS code\n"
-    "FROM (SELECT vec_id, embedding[1:10] AS z FROM embeddings)"
+    f"FROM (SELECT vec_id, {SCORES_SQL} AS z FROM embeddings)"
 )
 
 ORACLE["strip_suffix"] = """SELECT s_suppkey, path,
@@ -215,8 +222,8 @@ FROM k"""
 _MEAN, _STD = K.NORM_MULTISPECTRAL
 _DLIST = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
 ORACLE["normalize_bands"] = f"""SELECT vec_id, CAST(b AS INTEGER) AS band, CAST(i AS INTEGER) AS i,
-       round((CAST(embedding[b * 16 + i + 1] AS DOUBLE) / 255.0 - {_DLIST(_MEAN)}[b + 1]) / {_DLIST(_STD)}[b + 1], 6) AS v
-FROM embeddings, range(3) tb(b), range(16) ti(i)"""
+       round((CAST(embedding[i + 1] AS DOUBLE) / 255.0 - {_DLIST(_MEAN)}[b + 1]) / {_DLIST(_STD)}[b + 1], 6) AS v
+FROM embeddings, range(3) tb(b), range(64) ti(i)"""
 
 ORACLE["masked_mean_pool"] = """SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(sum(CAST(h AS DOUBLE) * m) / sum(m), 6) AS pooled
 FROM (SELECT label, CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END AS m,
@@ -229,9 +236,9 @@ ORACLE["score_heads"] = """SELECT vec_id, CAST(j AS INTEGER) AS label,
 FROM (SELECT vec_id, unnest(embedding) AS h, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), range(16) t(j)
 GROUP BY vec_id, j"""
 
-CE_SQL = """(SELECT vec_id, label, m + ln(list_sum(list_transform(z, lambda x: exp(CAST(x AS DOUBLE) - m))))
+CE_SQL = f"""(SELECT vec_id, label, m + ln(list_sum(list_transform(z, lambda x: exp(CAST(x AS DOUBLE) - m))))
                     - CAST(z[label + 1] AS DOUBLE) AS loss
-     FROM (SELECT vec_id, label, embedding[1:10] AS z, CAST(list_max(embedding[1:10]) AS DOUBLE) AS m FROM embeddings))"""
+     FROM (SELECT vec_id, label, z, list_max(z) AS m FROM (SELECT vec_id, label, {SCORES_SQL} AS z FROM embeddings)))"""
 
 ORACLE["softmax_ce"] = f"SELECT vec_id, vec_id // 32 AS batch, round(loss, 6) AS loss FROM {CE_SQL}"
 
@@ -304,10 +311,11 @@ cpos AS (SELECT img_name, unnest(string_split(t, ' ')) AS token, generate_subscr
 cids AS (SELECT img_name, list(v.id ORDER BY p) AS b FROM cpos JOIN vocab v USING (token) GROUP BY img_name),
 qpos AS (SELECT index, unnest(string_split(question, ' ')) AS token, generate_subscripts(string_split(question, ' '), 1) AS p FROM qa),
 qids AS (SELECT index, list(v.id ORDER BY p) AS a FROM qpos JOIN vocab v USING (token) GROUP BY index),
-lab AS (SELECT index, question_type, img_name, CAST(coalesce(len(ords), 0) AS INTEGER) AS answ_hot,
+lab AS (SELECT index, question_type, img_name, coalesce(ords, []) AS ords,
                list_transform(list_distinct(flatten(grid_coordinates)),
                    lambda t: ((coalesce(list_position({CELLS_LIST}, t) - 1, -1) % 16) + 16) % 16) AS pids FROM qa),
-j AS (SELECT l.index, l.question_type, l.answ_hot,
+j AS (SELECT l.index, l.question_type,
+             array_to_string(list_transform(range(335), lambda i: CASE WHEN list_contains(l.ords, i) THEN '1' ELSE '0' END), '') AS answ_bits,
              array_to_string(list_transform(range(16), lambda i: CASE WHEN list_contains(l.pids, i) THEN '1' ELSE '0' END), '') AS patch_bits,
              qi.a, coalesce(ci.b, []) AS b
       FROM lab l JOIN qids qi ON qi.index = l.index LEFT JOIN cids ci ON ci.img_name = l.img_name),
@@ -320,14 +328,17 @@ fin AS (SELECT *, CAST(CASE WHEN na > nb THEN na - f - s // 2 ELSE na - s // 2 E
     return with_(
         ctes,
         f"""SELECT index, question_type, len_a, len_b,
-       CAST(2 + list_sum(list_concat([0], a[1:len_a])) + 3 + list_sum(list_concat([0], b[1:len_b])) + 3 AS BIGINT) AS id_sum,
-       CAST(len_a + len_b + 3 AS INTEGER) AS mask_sum, patch_bits, answ_hot
+       array_to_string(list_concat([2], a[1:len_a], [3], b[1:len_b], [3], list_transform(range({max_length} - len_a - len_b - 3), lambda i: 0)), ',') AS ids,
+       repeat('1', len_a + len_b + 3) || repeat('0', {max_length} - len_a - len_b - 3) AS mask, patch_bits, answ_bits
 FROM fin""",
     )
 
 
 ORACLE["vqa_examples"] = _examples_sql(K.MAX_LENGTH)
 
+ORACLE["fit_heads"] = """SELECT 'y' || l.label AS label, (SELECT count(*) FROM embeddings) AS n, count(*) AS positives, true AS beats_prior
+FROM embeddings l GROUP BY l.label"""
+
 
 def _canonical_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps -0.0, Spark's decimal rounding gives 0.0."""

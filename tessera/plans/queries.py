@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -153,7 +153,7 @@ def q_remap_codes(spark, sf):
 
 @query
 def q_predicted_mask(spark, sf):
-    logits = D.vectors(spark, sf).select("vec_id", F.slice("embedding", 1, 10).alias("z"))
+    logits = D.vectors(spark, sf).select("vec_id", D.class_scores(F.col("embedding")).alias("z"))
     return R.predicted_codes(logits).select("vec_id", "id", "code")
 
 
@@ -192,7 +192,8 @@ def r6(c):
 def q_resize_bilinear(spark, sf):
     v = D.vectors(spark, sf).select("vec_id", "embedding")
     out = IM.resize_bilinear(v, "embedding", 8, 8, 15, 15, out="img")
-    return out.select("vec_id", F.posexplode("img").alias("p", "v")).select(
+    # an outer explode: a plain one has Spark push size(img) > 0 below, which resizes twice
+    return out.select("vec_id", F.posexplode_outer("img").alias("p", "v")).where(F.col("p").isNotNull()).select(
         "vec_id", F.floor(F.col("p") / 15).cast("int").alias("y"), (F.col("p") % 15).cast("int").alias("x"), r6(F.col("v")).alias("v")
     )
 
@@ -200,12 +201,13 @@ def q_resize_bilinear(spark, sf):
 @query
 def q_normalize_bands(spark, sf):
     v = D.vectors(spark, sf)
-    bands = F.array(*[F.slice("embedding", 1 + 16 * b, 16) for b in range(3)])
+    bands = F.array(*["embedding"] * 3)  # every band gets all 64 values
     mean, std = K.NORM_MULTISPECTRAL
     norm = v.select("vec_id", IM.normalize_bands(bands, mean, std).alias("bands"))
     return (
-        norm.select("vec_id", F.posexplode("bands").alias("band", "vals"))
-        .select("vec_id", "band", F.posexplode("vals").alias("i", "v"))
+        norm.select("vec_id", F.posexplode_outer("bands").alias("band", "vals"))
+        .select("vec_id", "band", F.posexplode_outer("vals").alias("i", "v"))
+        .where(F.col("i").isNotNull())
         .select("vec_id", "band", "i", r6(F.col("v")).alias("v"))
     )
 
@@ -233,7 +235,7 @@ def q_score_heads(spark, sf):
     W = S.head_matrix(head_weights(spark), "patch")
     v = D.vectors(spark, sf).select("vec_id", "embedding")
     scored = S.score_heads(v, "embedding", {"patch": W})
-    return scored.select("vec_id", F.posexplode("patch").alias("label", "score")).select(
+    return scored.select("vec_id", F.posexplode_outer("patch").alias("label", "score")).where(F.col("label").isNotNull()).select(
         "vec_id", "label", r6(F.col("score")).alias("score")
     )
 
@@ -241,7 +243,7 @@ def q_score_heads(spark, sf):
 @query
 def q_softmax_ce(spark, sf):
     v = D.vectors(spark, sf)
-    z = F.slice("embedding", 1, 10)
+    z = D.class_scores(F.col("embedding"))
     return v.select(
         "vec_id", F.floor(F.col("vec_id") / 32).alias("batch"), r6(S.softmax_ce(z, F.col("label"))).alias("loss")
     )
@@ -277,7 +279,7 @@ def q_epoch_metrics(spark, sf):
     rows = v.select(
         F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"),
         F.floor(F.col("vec_id") / 32).alias("batch"),
-        S.softmax_ce(F.slice("embedding", 1, 10), F.col("label")).alias("loss"),
+        S.softmax_ce(D.class_scores(F.col("embedding")), F.col("label")).alias("loss"),
     )
     m = S.epoch_metrics(S.batch_losses(rows, ["split", "batch"]), ["split"])
     return m.select("split", r6(F.col("loss")).alias("loss"), r6(F.col("row_mean")).alias("row_mean"), "n_batches", "n_rows")
@@ -286,13 +288,13 @@ def q_epoch_metrics(spark, sf):
 @query
 def q_shuffle_batches(spark, sf):
     v = D.vectors(spark, sf).select("vec_id")
-    out = B.shuffle_batches(v, 32, [(F.col("vec_id") * 7919) % 1000003])
+    out = B.shuffle_batches(v, 32, [(F.col("vec_id") * 7919) % 1000003, "vec_id"])
     return out.select("vec_id", "pos", "batch")
 
 
 # --- pair encoding -----------------------------------------------------------------------
 def _encode(spark, sf, max_length):
-    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text", spread_by="conv_id")
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text", spread_out=True)
     vocab = E.word_vocab(conv)
     enc = E.encode_pairs(E.conversation_pairs(conv), ["conv_id", "turn"], vocab, max_length=max_length)
     return enc.select(
@@ -320,13 +322,18 @@ def q_encode_pairs_cut(spark, sf):
 @query
 def q_fit_heads(spark, sf):
     v = D.vectors(spark, sf)
-    ex = v.select("embedding", *[(F.col("label") == j).cast("int").alias(f"y{j}") for j in range(3)])
-    return ML.fit_heads(ex, "embedding", ["y0", "y1", "y2"])
+    # every label that occurs; a label set is small by nature
+    names = sorted(r["label"] for r in v.select("label").distinct().collect())
+    ex = v.select("embedding", *[(F.col("label") == j).cast("int").alias(f"y{j}") for j in names])
+    fits = ML.fit_heads(ex, "embedding", [f"y{j}" for j in names])
+    return fits.select("label", "n", "positives", (F.col("loss") < F.col("prior_loss")).alias("beats_prior"))
 
 
 @query
 def q_fit_pixels(spark, sf):
-    return ML.fit_pixels(ML.pixel_features(D.masks(spark, sf)))
+    fits = ML.fit_pixels(ML.pixel_features(D.masks(spark, sf)))
+    everything = Window.partitionBy()  # 44 rows, one per class id
+    return fits.select("id", "code", "n", (F.sum("correct").over(everything) > F.max("n").over(everything)).alias("beats_majority"))
 
 
 @query
@@ -337,16 +344,15 @@ def q_vqa_examples(spark, sf):
         L.vocab_map(L.patch_vocab(spark)),
         L.vocab_map(L.answer_vocab(spark), K.PROTECTED_ANSWERS),
         missing="empty",
+        empty="keep",
     )
-    n = F.size(F.array_remove("attention_mask", 0))
     return ex.select(
         "index",
         "question_type",
         "len_a",
         "len_b",
-        # pads are 0: summing the unpadded prefix gives the sum of all ids
-        F.aggregate(F.slice("input_ids", 1, n), F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"),
-        n.alias("mask_sum"),
+        F.array_join("input_ids", ",").alias("ids"),
+        L.bits(F.col("attention_mask")).alias("mask"),
         L.bits(F.col("labels_patch").cast("array<int>")).alias("patch_bits"),
-        L.n_hot(F.col("labels_answ").cast("array<int>")).alias("answ_hot"),
+        L.bits(F.col("labels_answ").cast("array<int>")).alias("answ_bits"),
     )

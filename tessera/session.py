@@ -74,17 +74,13 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return spread(spark.read.parquet(path))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition ``df`` only if it has fewer partitions than the cluster has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deals ``df`` out to all cores if it has fewer partitions than the cluster has cores.
 
     Small inputs (one file, one row group) scan as a single task, and per-row work in
     that stage would run on one core.  Large inputs already have many splits, so this
-    adds no shuffle where the data is big.
+    adds no shuffle where the data is big.  Rows go round, not by key: a hot key's rows
+    spread like any others.
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD access (Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)

@@ -51,7 +51,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     downstream then runs without another shuffle (a raster table written bucketed by
     ``img_name`` gives the same property on a cluster).
     """
-    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", spread_by="s_suppkey")
+    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", spread_out=True)
     side = mask_side(F.col("s_suppkey"))
     # Generate (vectorised, in the scan stage), then hash-partition the rasters by image:
     # a Python evaluation node does not report its input's partitioning, so partitioning
@@ -91,8 +91,8 @@ def qa(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFra
     (16 -> 'z9').  Orders without lines get NULL image and answer and no coordinates.
     Every collected list is bounded (7 line numbers x 17 cells, 43 ordinals).
     """
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", spread_by="l_orderkey")
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", spread_by="o_orderkey")
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", spread_out=True)
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", spread_out=True)
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     per_line = li.groupBy("l_orderkey", "l_linenumber").agg(
         F.array_sort(F.collect_set(cell_or_unknown(F.col("l_partkey") % 17))).alias("cells"),
@@ -130,6 +130,15 @@ def qa(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFra
     )
 
 
+def class_scores(embedding) -> F.Column:
+    """44 class scores (doubles) from all 64 values: value i is added to class i mod 44."""
+    n = K.N_IDS
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda c: F.get(embedding, c).cast("double") + F.coalesce(F.get(embedding, c + n).cast("double"), F.lit(0.0)),
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, embedding array<float> (64), label 0..9."""
-    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label", spread_by="vec_id")
+    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label", spread_out=True)

@@ -16,14 +16,14 @@ TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread_by: str | None = None) -> DataFrame:
-    """Scan one table with only ``cols``; ``spread_by`` hash-spreads a scan that has fewer
-    partitions than cores (see :func:`tessera.session.spread`)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread_out: bool = False) -> DataFrame:
+    """Scan one table with only ``cols``; ``spread_out`` deals a scan that has fewer
+    partitions than cores out to all of them (see :func:`tessera.session.spread`)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*cols) if cols else df
-    return spread(df, spread_by) if spread_by else df
+    return spread(df) if spread_out else df
 
 
 def read_qa(spark: SparkSession, *paths: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Incremental context tables: new mask files in a folder -> appended area rows.
 
 A file-stream source over ``binaryFile`` picks up rasters as they arrive; each
-micro-batch is decoded and turned into the dense area table with the batch
-operators, then appended.  The checkpoint lives under the session's shared
-checkpoint folder, so a restarted query resumes where it stopped and each file is
-processed once.
+micro-batch is decoded, turned into the dense area table with the batch operators and
+written to a folder of its own (``batch_id=N``), which a repeated batch replaces.  The
+checkpoint is a folder that the caller names: a query restarted with it, also in another
+application, resumes where it stopped, and each file is processed once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as K
 from ..functions import paths as PTH
 from ..operators.grid import grid_area
-from ..session import ensure_checkpoint_dir
 from ..sources import tiff
 from ..sources.rasters import RASTER_SCHEMA, _decode_masks
 
@@ -27,14 +26,17 @@ def stream_context_tables(
     spark: SparkSession,
     root: str,
     out: str,
-    name: str = "context_tables",
+    checkpoint: str,
     decode=tiff.decode,
     glob: str = "*.tif",
     cut: int = K.SUFFIX_CUT,
     available_now: bool = False,
     max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what is there and stops."""
+    """Start the stream; ``available_now`` processes what is there and stops.
+
+    ``checkpoint`` has to be a stable folder that all machines share.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_SCHEMA)
@@ -47,9 +49,8 @@ def stream_context_tables(
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         rasters = batch.mapInPandas(_decode_masks(decode), RASTER_SCHEMA)
-        grid_area(rasters).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        grid_area(rasters).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    w = files.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    w = files.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

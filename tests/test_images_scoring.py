@@ -94,3 +94,24 @@ def test_argmax_first_max_and_code(spark):
     df = spark.createDataFrame([([0.1, 3.0, 3.0, -1.0],)], "z array<double>")
     r = R.predicted_codes(df).first()
     assert r["id"] == 1 and r["code"] == 112
+
+
+def test_resize_checks_the_size_of_a_row(spark):
+    df = spark.createDataFrame([([float(i) for i in range(16)],)], "img array<double>")
+    with pytest.raises(Exception, match="2 x 2 expected"):
+        IM.resize_bilinear(df, "img", 2, 2, 2, 2).collect()
+
+
+def test_fully_masked_group_is_null(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0], 0), ("b", [1.0, 2.0], 1)], "g string, h array<double>, mask int")
+    got = {(r["g"], r["dim"]): r["pooled"] for r in S.masked_mean_pool(df, ["g"]).collect()}
+    assert got == {("a", 0): None, ("a", 1): None, ("b", 0): 1.0, ("b", 1): 2.0}
+
+
+def test_generators_evaluate_once(spark):
+    from conftest import SF_SMALL
+
+    from tessera.plans.queries import QUERIES
+
+    plan = QUERIES["score_heads"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -78,7 +78,7 @@ def test_stream_context_tables(spark, tmp_path):
     root = str(tmp_path / "m4")
     _write_masks(root)
     out = str(tmp_path / "stream_out")
-    q = stream_context_tables(spark, root, out, name=f"ctx_{os.getpid()}_{tmp_path.name}", available_now=True)
+    q = stream_context_tables(spark, root, out, str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.select("img_name").distinct().count() == 3
@@ -160,11 +160,29 @@ def test_stream_restart_processes_only_new_files(spark, tmp_path):
     root.mkdir()
     (root / ("A" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.full((120, 120), 111, dtype=np.uint16)))
     out = str(tmp_path / "stream_out2")
-    name = f"ctx_restart_{os.getpid()}_{tmp_path.name}"
-    stream_context_tables(spark, str(root), out, name=name, available_now=True).awaitTermination(120)
+    ckpt = str(tmp_path / "ckpt")
+    stream_context_tables(spark, str(root), out, ckpt, available_now=True).awaitTermination(120)
     (root / ("B" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.full((120, 120), 112, dtype=np.uint16)))
-    stream_context_tables(spark, str(root), out, name=name, available_now=True).awaitTermination(120)
+    stream_context_tables(spark.newSession(), str(root), out, ckpt, available_now=True).awaitTermination(120)
     got = spark.read.parquet(out)
     per_image = {r["img_name"]: r["n"] for r in got.groupBy("img_name").count().withColumnRenamed("count", "n").collect()}
     assert per_image == {"A": 688, "B": 688}  # A was not processed again after the restart
     assert got.select("batch_id").distinct().count() == 2
+
+
+def test_manifest_join_policies_and_folders(spark):
+    from tessera.operators import manifest as M
+
+    man = spark.createDataFrame([("a", "F1"), ("a", "F2"), ("b", "F1")], "img_name string, path_to_your_file string")
+    masks = spark.createDataFrame([("F1", "a", 1), ("F2", "a", 2)], "folder string, img_name string, height int")
+    got = M.manifest_join(man, masks, missing="drop").select("path_to_your_file", "img_name", "height").collect()
+    assert sorted(map(tuple, got)) == [("F1", "a", 1), ("F2", "a", 2)]
+    assert {r["height"] for r in M.manifest_join(man, masks, missing="null").where("img_name = 'b'").collect()} == {None}
+    with pytest.raises(Exception, match="no mask file for F1/b"):
+        M.manifest_join(man, masks).collect()
+
+
+def test_duplicate_image_names_fail(spark):
+    masks = spark.createDataFrame([("a", 2, 2, [111] * 4)] * 2, "img_name string, height int, width int, pixels array<int>")
+    with pytest.raises(Exception, match="duplicate image name: a"):
+        G.grid_area(masks).collect()

@@ -18,6 +18,6 @@ def test_cut_lineage_writes_a_table_in_the_checkpoint_folder(spark):
 def test_spread_only_when_too_few_partitions(spark):
     par = spark.sparkContext.defaultParallelism
     one = spark.range(100).coalesce(1)
-    assert spread(one, "id").rdd.getNumPartitions() == par
+    assert spread(one).rdd.getNumPartitions() == par
     many = spark.range(0, 100, 1, par * 2)
-    assert spread(many, "id").rdd.getNumPartitions() == par * 2
+    assert spread(many).rdd.getNumPartitions() == par * 2
