@@ -10,9 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
+
 
 def axis_table(n_in: int, n_out: int) -> tuple[list[int], list[int], list[float]]:
     """Per output index: first and second source index and the weight of the second.
@@ -88,3 +92,31 @@ def normalize_bands(bands: Column, mean: Sequence[float], std: Sequence[float],
             lambda v: (v.cast("double") / F.lit(float(scale)) - F.element_at(m, b + 1)) / F.element_at(s, b + 1),
         ),
     )
+
+
+def predicted_rasters(logits: DataFrame, in_h: int, in_w: int, side: int = K.GRID_EXTENT) -> DataFrame:
+    """Class logit maps -> rasters: every channel resized to ``side`` x ``side``, first maximum per pixel, its code.
+
+    ``logits``: img_name, logits array<array<float>> (a row-major map per class id).  A map that
+    hasn't ``in_h * in_w`` values fails the job.  One image is resized at a time: two small
+    matrix products per channel.
+    """
+    codes = np.array(K.ID_CODES, dtype=np.int32)
+
+    def axis(n_in: int) -> np.ndarray:
+        i0, i1, w = (np.array(t) for t in axis_table(n_in, side))
+        m = np.zeros((side, n_in))
+        np.add.at(m, (np.arange(side), i0), 1.0 - w)
+        np.add.at(m, (np.arange(side), i1), w)
+        return m
+
+    rows, cols = axis(in_h), axis(in_w)
+
+    def run(batches):
+        for pdf in batches:
+            for name, maps in zip(pdf["img_name"], pdf["logits"]):
+                z = np.stack([np.asarray(m, dtype=np.float64).reshape(in_h, in_w) for m in maps])
+                ids = (rows @ z @ cols.T).argmax(axis=0)
+                yield pd.DataFrame({"img_name": [name], "height": [side], "width": [side], "pixels": [codes[ids].ravel()]})
+
+    return logits.select("img_name", "logits").mapInPandas(run, "img_name string, height int, width int, pixels array<int>")

@@ -137,5 +137,21 @@ def epoch_metrics(batches: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def epoch_record(batches: DataFrame, run: str, a0: float = 0.0, b0: float = 1.0) -> DataFrame:
+    """run, epoch, train_loss, val_loss: means over the batches of ``a0 * lp + b0 * la``.
+
+    ``batches``: epoch, split (train or val), batch, lp, la (mean losses of the two heads in a batch).
+    """
+    total = weighted_total(F.col("lp"), F.col("la"), a0, b0)
+    of = lambda split: F.avg(F.when(F.col("split") == split, total)).alias(f"{split}_loss")
+    return batches.groupBy("epoch").agg(of("train"), of("val")).select(F.lit(run).alias("run"), "epoch", "train_loss", "val_loss")
+
+
+def score_vqa(tokens: DataFrame, by: Sequence[str], heads: dict[str, tuple[np.ndarray, np.ndarray]], h: str = "h", mask: str = "mask") -> DataFrame:
+    """Token vectors -> masked mean -> tanh -> sigmoid heads: ``*by`` and one array per head."""
+    vectors = pooled_vectors(masked_mean_pool(tokens, by, h, mask), by)
+    return score_heads(vectors, "vec", heads).drop("vec")
+
+
 def weighted_total(loss_patch: Column, loss_answ: Column, a0: float = 0.0, b0: float = 1.0) -> Column:
     return F.lit(a0) * loss_patch + F.lit(b0) * loss_answ

@@ -260,6 +260,24 @@ SELECT split, round(avg(loss), 6) AS loss, round(sum(loss * n) / sum(n), 6) AS r
        count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_rows
 FROM b GROUP BY split"""
 
+_LP = f"list_sum(list_transform(range(16), lambda j: {_TERM.format(y='CASE WHEN j = label THEN 1.0 ELSE 0.0 END', p=_P.format(o=0))})) / 16"
+_LA = f"list_sum(list_transform(range(48), lambda j: {_TERM.format(y='CASE WHEN (label * 5 + j) % 7 = 0 THEN 1.0 ELSE 0.0 END', p=_P.format(o=16))})) / 48"
+ORACLE["epoch_record"] = f"""WITH rows AS (SELECT vec_id // 32 AS batch, {_LP} AS lp, {_LA} AS la FROM embeddings),
+b AS (SELECT batch // 10 AS epoch, batch % 5 = 0 AS val, 0.25 * avg(lp) + 0.75 * avg(la) AS loss FROM rows GROUP BY batch)
+SELECT 'embeddings' AS run, epoch, round(avg(loss) FILTER (WHERE NOT val), 6) AS train_loss, round(avg(loss) FILTER (WHERE val), 6) AS val_loss
+FROM b GROUP BY epoch"""
+
+ORACLE["score_vqa"] = """WITH pooled AS (
+    SELECT label, i - 1 AS i, sum(CAST(h AS DOUBLE) * m) / sum(m) AS x
+    FROM (SELECT label, CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END AS m,
+                 unnest(embedding) AS h, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL)
+SELECT label, head, CAST(j AS INTEGER) AS slot,
+       round(1.0 / (1.0 + exp(-(sum(tanh(x) * (CAST(((i * 7 + j * 3) % 11) - 5 AS DOUBLE) / 10)) + CAST(((j * 5) % 7) - 3 AS DOUBLE) / 20))), 6) AS score
+FROM pooled, (SELECT 'patch' AS head, unnest(range(16)) AS j UNION ALL SELECT 'answ' AS head, unnest(range(335)) AS j) GROUP BY label, head, j"""
+
+ORACLE["duplicate_images"] = """SELECT left(s_name, length(s_name) - 2) AS img_name, count(*) AS rasters
+FROM supplier GROUP BY 1 HAVING count(*) > 1"""
+
 ORACLE["shuffle_batches"] = """SELECT vec_id, pos, pos // 32 AS batch
 FROM (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) - 1 AS pos FROM embeddings)"""
 

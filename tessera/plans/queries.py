@@ -219,11 +219,11 @@ def q_masked_mean_pool(spark, sf):
     return pooled.select("label", "dim", r6(F.col("pooled")).alias("pooled"))
 
 
-def head_weights(spark, labels: int = 16, dims: int = 64):
+def head_weights(spark, labels: int = 16, dims: int = 64, head: str = "patch"):
     """Deterministic head weights: w[j][i] = ((7i + 3j) % 11 - 5) / 10, b[j] = ((5j) % 7 - 3) / 20."""
     j = F.col("id")
     return spark.range(labels).select(
-        F.lit("patch").alias("head"),
+        F.lit(head).alias("head"),
         j.cast("int").alias("label"),
         F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: ((i * 7 + j * 3) % 11 - 5).cast("double") / 10).alias("w"),
         (((j * 5) % 7 - 3).cast("double") / 20).alias("b"),
@@ -285,6 +285,49 @@ def q_epoch_metrics(spark, sf):
     return m.select("split", r6(F.col("loss")).alias("loss"), r6(F.col("row_mean")).alias("row_mean"), "n_batches", "n_rows")
 
 
+@query
+def q_epoch_record(spark, sf):
+    # ten batches of 32 rows are an epoch; every fifth batch is for validation
+    v, lab, batch = D.vectors(spark, sf), F.col("label"), F.floor(F.col("vec_id") / 32)
+    rows = v.select(
+        F.floor(batch / 10).alias("epoch"),
+        F.when(batch % 5 == 0, "val").otherwise("train").alias("split"),
+        batch.alias("batch"),
+        S.bce(F.transform(F.slice("embedding", 1, 16), _sig10), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: (j == lab).cast("int"))).alias("lp"),
+        S.bce(F.transform(F.slice("embedding", 17, 48), _sig10), F.transform(F.sequence(F.lit(0), F.lit(47)), lambda j: ((lab * 5 + j) % 7 == 0).cast("int"))).alias("la"),
+    )
+    batches = rows.groupBy("epoch", "split", "batch").agg(F.avg("lp").alias("lp"), F.avg("la").alias("la"))
+    out = S.epoch_record(batches, "embeddings", a0=0.25, b0=0.75)
+    return out.select("run", "epoch", r6(F.col("train_loss")).alias("train_loss"), r6(F.col("val_loss")).alias("val_loss"))
+
+
+@query
+def q_score_vqa(spark, sf):
+    # a label's vectors are its tokens; both heads, 16 and 335 slots
+    v = D.vectors(spark, sf).select("label", F.col("embedding").alias("h"), F.when(F.col("vec_id") % 5 != 0, 1).otherwise(0).alias("mask"))
+    heads = {name: S.head_matrix(head_weights(spark, n, head=name), name) for name, n in (("patch", K.PATCH_SLOTS), ("answ", K.ANSWER_SLOTS))}
+    scored = S.score_vqa(v, ["label"], heads)
+    long = scored.select("label", F.explode_outer(F.array(*[F.struct(F.lit(n).alias("head"), F.col(n).alias("p")) for n in heads])).alias("s"))
+    long = long.select("label", "s.head", F.posexplode_outer("s.p").alias("slot", "score")).where(F.col("slot").isNotNull())
+    return long.select("label", "head", "slot", r6(F.col("score")).alias("score"))
+
+
+@query
+def q_predicted_raster(spark, sf):
+    # 44 maps of 8 x 8 logits: class c sees the 64 values rotated by c
+    e = F.col("embedding")
+    maps = F.transform(F.sequence(F.lit(1), F.lit(K.N_IDS)), lambda c: F.concat(F.slice(e, c, F.lit(65) - c), F.slice(e, 1, c - 1)))
+    logits = D.vectors(spark, sf).select(F.col("vec_id").cast("string").alias("img_name"), maps.alias("logits"))
+    return G.grid_area_arrow(IM.predicted_rasters(logits, 8, 8))
+
+
+@query
+def q_duplicate_images(spark, sf):
+    # names cut by their last two digits: up to a hundred rasters share one
+    sup = read_table(spark, sf, "supplier", "s_name")
+    return G.duplicate_images(sup.select(F.expr("left(s_name, length(s_name) - 2)").alias("img_name")))
+
+
 @query
 def q_shuffle_batches(spark, sf):
     v = D.vectors(spark, sf).select("vec_id")

@@ -115,3 +115,17 @@ def test_generators_evaluate_once(spark):
 
     plan = QUERIES["score_heads"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_predicted_rasters_match_the_column_form(spark):
+    import random
+
+    rng = random.Random(4)
+    maps = [[float(rng.randint(0, 9)) for _ in range(12)] for _ in range(K.N_IDS)]
+    df = spark.createDataFrame([("a", maps)], "img_name string, logits array<array<double>>")
+    got = IM.predicted_rasters(df, 3, 4, side=10).first()
+    wide = IM.resize_bilinear(df, "logits", 3, 4, 10, 10).first()["logits"]
+    assert (got["height"], got["width"]) == (10, 10)
+    for p, code in enumerate(got["pixels"]):
+        best = max(m[p] for m in wide)
+        assert wide[K.ID_CODES.index(code)][p] == pytest.approx(best)
