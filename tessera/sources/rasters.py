@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import paths as PTH
-from . import tiff
 
 RASTER_SCHEMA = "img_name string, path string, height int, width int, pixels array<int>"
 RGB_SCHEMA = "img_name string, path string, height int, width int, bands array<array<float>>"
@@ -38,19 +37,12 @@ def list_rasters(spark: SparkSession, root: str, glob: str = "*.tif") -> DataFra
 def _decode_masks(decode: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches):
         for pdf in batches:
-            arrs = [np.asarray(decode(bytes(c))) for c in pdf["content"]]
-            for a in arrs:
+            for name, path, content in zip(pdf["img_name"], pdf["path"], pdf["content"]):  # one raster in memory at a time
+                a = np.asarray(decode(bytes(content)))
                 if a.ndim != 2:
                     raise ValueError("mask rasters must have one band")
-            yield pd.DataFrame(
-                {
-                    "img_name": pdf["img_name"],
-                    "path": pdf["path"],
-                    "height": [a.shape[0] for a in arrs],
-                    "width": [a.shape[1] for a in arrs],
-                    "pixels": [a.astype(np.int32).ravel() for a in arrs],
-                }
-            )
+                pixels = a.astype(np.int32).ravel()
+                yield pd.DataFrame({"img_name": [name], "path": [path], "height": [a.shape[0]], "width": [a.shape[1]], "pixels": [pixels]})
 
     return run
 
@@ -58,17 +50,11 @@ def _decode_masks(decode: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterato
 def _decode_rgb(decode: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches):
         for pdf in batches:
-            arrs = [np.asarray(decode(bytes(c))) for c in pdf["content"]]
-            arrs = [a[:, :, None] if a.ndim == 2 else a for a in arrs]
-            yield pd.DataFrame(
-                {
-                    "img_name": pdf["img_name"],
-                    "path": pdf["path"],
-                    "height": [a.shape[0] for a in arrs],
-                    "width": [a.shape[1] for a in arrs],
-                    "bands": [[a[:, :, b].astype(np.float32).ravel() for b in range(a.shape[2])] for a in arrs],
-                }
-            )
+            for name, path, content in zip(pdf["img_name"], pdf["path"], pdf["content"]):
+                a = np.asarray(decode(bytes(content)))
+                a = a[:, :, None] if a.ndim == 2 else a
+                bands = [a[:, :, b].astype(np.float32).ravel() for b in range(a.shape[2])]
+                yield pd.DataFrame({"img_name": [name], "path": [path], "height": [a.shape[0]], "width": [a.shape[1]], "bands": [bands]})
 
     return run
 
@@ -76,13 +62,15 @@ def _decode_rgb(decode: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 def ingest_rasters(
     spark: SparkSession,
     root: str,
-    decode: Decoder = tiff.decode,
+    decode: Decoder,
     glob: str = "*.tif",
     cut: int = K.SUFFIX_CUT,
     kind: str = "mask",
 ) -> DataFrame:
     """Decode every raster under ``root``: img_name, path, height, width, pixels (or bands).
 
+    ``decode`` turns a file's bytes into an array (height, width) or (height, width, bands).
+
     ``img_name`` is the file name without its last ``cut`` characters (mask files end
     in ``_reference_map.tif``; pass ``cut=4`` for ``<name>.tif`` images).
     """

@@ -6,6 +6,7 @@ Every reader selects only the columns it needs, so the parquet scan prunes the r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import check
 from ..session import spread
@@ -29,3 +30,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread_o
 def read_qa(spark: SparkSession, *paths: str) -> DataFrame:
     """Question tables (one or more parquet files) with the declared QA columns."""
     return check(spark.read.parquet(*paths), "qa")
+
+
+def read_context_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """Wide context tables written as one parquet file per image: ``img_name`` is the file's name."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")
+    return spark.read.parquet(*paths).select(name.alias("img_name"), "*")

@@ -16,8 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as K
 from ..functions import paths as PTH
 from ..operators.grid import grid_area
-from ..sources import tiff
-from ..sources.rasters import RASTER_SCHEMA, _decode_masks
+from ..sources.rasters import RASTER_SCHEMA, Decoder, _decode_masks
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,7 +26,7 @@ def stream_context_tables(
     root: str,
     out: str,
     checkpoint: str,
-    decode=tiff.decode,
+    decode: Decoder,
     glob: str = "*.tif",
     cut: int = K.SUFFIX_CUT,
     available_now: bool = False,

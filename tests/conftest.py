@@ -6,8 +6,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import tiff  # noqa: E402
+from pyspark import cloudpickle  # noqa: E402
+
 from tessera.session import local_session  # noqa: E402
 
+cloudpickle.register_pickle_by_value(tiff)  # the tests' raster codec isn't on the workers' path
+
 SF_SMALL = "/root/testdata/sf0.001"
 
 

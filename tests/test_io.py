@@ -7,7 +7,8 @@ from tessera import constants as K
 from tessera.operators import grid as G
 from tessera.operators import prompts as P
 from tessera.sources import rasters as RS
-from tessera.sources import sinks, tiff
+import tiff
+from tessera.sources import sinks
 from tessera.streaming.rasters import stream_context_tables
 
 
@@ -36,7 +37,7 @@ def _write_masks(root):
 def test_ingest_recursive_and_names(spark, tmp_path):
     root = str(tmp_path / "masks")
     _write_masks(root)
-    r = RS.ingest_rasters(spark, root)
+    r = RS.ingest_rasters(spark, root, tiff.decode)
     got = {x["img_name"]: (x["height"], x["width"]) for x in r.collect()}
     assert got == {"S2A_x": (120, 120), "S2B_y": (100, 100), "": (3, 3)}  # N1: short names become ''
     area = G.grid_area(r.where("img_name <> ''"))
@@ -48,7 +49,7 @@ def test_ingest_recursive_and_names(spark, tmp_path):
 def test_bucketed_raster_table_needs_no_shuffle(spark, tmp_path):
     root = str(tmp_path / "m2")
     _write_masks(root)
-    RS.write_raster_table(RS.ingest_rasters(spark, root).where("img_name <> ''"), "rasters_t", 4)
+    RS.write_raster_table(RS.ingest_rasters(spark, root, tiff.decode).where("img_name <> ''"), "rasters_t", 4)
     plan = G.grid_area(spark.table("rasters_t"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert G.grid_area(spark.table("rasters_t")).count() == 2 * 688
@@ -57,7 +58,7 @@ def test_bucketed_raster_table_needs_no_shuffle(spark, tmp_path):
 def test_sinks_roundtrip(spark, tmp_path):
     root = str(tmp_path / "m3")
     _write_masks(root)
-    area = G.grid_area(RS.ingest_rasters(spark, root).where("img_name <> ''"))
+    area = G.grid_area(RS.ingest_rasters(spark, root, tiff.decode).where("img_name <> ''"))
     sinks.write_context(area, str(tmp_path / "ctx_long"))
     sinks.write_context(area, str(tmp_path / "ctx_wide"), wide=True)
     back = G.area_from_wide(spark.read.parquet(str(tmp_path / "ctx_wide")))
@@ -78,7 +79,7 @@ def test_stream_context_tables(spark, tmp_path):
     root = str(tmp_path / "m4")
     _write_masks(root)
     out = str(tmp_path / "stream_out")
-    q = stream_context_tables(spark, root, out, str(tmp_path / "ckpt"), available_now=True)
+    q = stream_context_tables(spark, root, out, str(tmp_path / "ckpt"), tiff.decode, available_now=True)
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.select("img_name").distinct().count() == 3
@@ -119,7 +120,7 @@ def test_schema_check_fails_on_wrong_type(spark):
 def test_bucketed_context_table_pivots_without_shuffle(spark, tmp_path):
     root = str(tmp_path / "m5")
     _write_masks(root)
-    area = G.grid_area(RS.ingest_rasters(spark, root).where("img_name <> ''"))
+    area = G.grid_area(RS.ingest_rasters(spark, root, tiff.decode).where("img_name <> ''"))
     sinks.write_context_table(area, "context_t", 4)
     wide = G.grid_pivot(spark.table("context_t"))
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
@@ -142,8 +143,8 @@ def test_segmentation_inputs_end_to_end(spark, tmp_path):
     (img_dir / "a.tif").write_bytes(tiff.encode(rgb))
     (mask_dir / ("a" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.array([[111, 999], [335, 523]], dtype=np.uint16)))
     man = spark.createDataFrame([("a", "F1", "train")], "img_name string, path_to_your_file string, split string")
-    images = RS.ingest_rasters(spark, str(img_dir), cut=4, kind="rgb").drop("path")
-    masks = RS.ingest_rasters(spark, str(tmp_path / "masks")).drop("path")
+    images = RS.ingest_rasters(spark, str(img_dir), tiff.decode, cut=4, kind="rgb").drop("path")
+    masks = RS.ingest_rasters(spark, str(tmp_path / "masks"), tiff.decode).drop("path")
     j = M.manifest_join(man, masks.withColumnRenamed("height", "mh").withColumnRenamed("width", "mw"), images)
     row = j.first()
     assert (row["img_name"], row["mh"], row["height"], len(row["bands"])) == ("a", 2, 4, 3)
@@ -161,9 +162,9 @@ def test_stream_restart_processes_only_new_files(spark, tmp_path):
     (root / ("A" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.full((120, 120), 111, dtype=np.uint16)))
     out = str(tmp_path / "stream_out2")
     ckpt = str(tmp_path / "ckpt")
-    stream_context_tables(spark, str(root), out, ckpt, available_now=True).awaitTermination(120)
+    stream_context_tables(spark, str(root), out, ckpt, tiff.decode, available_now=True).awaitTermination(120)
     (root / ("B" + K.MASK_SUFFIX)).write_bytes(tiff.encode(np.full((120, 120), 112, dtype=np.uint16)))
-    stream_context_tables(spark.newSession(), str(root), out, ckpt, available_now=True).awaitTermination(120)
+    stream_context_tables(spark.newSession(), str(root), out, ckpt, tiff.decode, available_now=True).awaitTermination(120)
     got = spark.read.parquet(out)
     per_image = {r["img_name"]: r["n"] for r in got.groupBy("img_name").count().withColumnRenamed("count", "n").collect()}
     assert per_image == {"A": 688, "B": 688}  # A was not processed again after the restart
@@ -186,3 +187,18 @@ def test_duplicate_image_names_fail(spark):
     masks = spark.createDataFrame([("a", 2, 2, [111] * 4)] * 2, "img_name string, height int, width int, pixels array<int>")
     with pytest.raises(Exception, match="duplicate image name: a"):
         G.grid_area(masks).collect()
+
+
+def test_one_file_per_image_context_tables(spark, tmp_path):
+    from tessera.sources.tables import read_context_files
+
+    root = str(tmp_path / "m7")
+    _write_masks(root)
+    area = G.grid_area(RS.ingest_rasters(spark, root, tiff.decode).where("img_name <> ''"))
+    wide = G.grid_pivot(area)
+    folder = tmp_path / "per_image"
+    folder.mkdir()
+    for (name,), own in wide.toPandas().groupby(["img_name"]):
+        own.drop(columns="img_name").to_parquet(folder / f"{name}.parquet")
+    back = G.area_from_wide(read_context_files(spark, str(folder)))
+    assert sorted(back.collect()) == sorted(area.collect())
