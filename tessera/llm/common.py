@@ -41,27 +41,36 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.places: list[tuple[str, str]] = []
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str, *by: str) -> str:
-        path = f"{self.path}/{name}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    def place(self, name: str) -> str:
+        """A path for a table; every call gives another one."""
+        self.places.append((name, f"{self.path}/{name}-{len(self.places)}"))
+        return self.places[-1][1]
+
+    def write(self, df: DataFrame, name: str) -> str:
+        path = self.place(name)
+        df.write.parquet(path)
         return path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df, name))
 
-    def drop(self, name: str = "") -> None:
-        try:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session has ended: nobody is left to delete with
-            return
+    def drop(self, name: str) -> None:
+        """Deletes the tables of that name."""
+        for own, path in self.places:
+            if own == name:
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def close(self) -> None:
         atexit.unregister(self.close)
-        if self.spark.sparkContext._jsc is not None:
-            self.drop()
+        if self.spark.sparkContext._jsc is not None:  # else the application has ended, and nobody is left to delete with
+            self._delete(self.path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +92,7 @@ def located(docs: DataFrame, scratch: Scratch, *cols: str | Column) -> DataFrame
     try:
         return docs.select(*cols, *place)
     except AnalysisException:
-        return scratch.table(docs.select(*cols), f"rows-{uuid.uuid4().hex[:8]}").select("*", *place)
+        return scratch.table(docs.select(*cols), "rows").select("*", *place)
 
 
 def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
@@ -112,7 +121,7 @@ def running(df: DataFrame, groups: list[str], order: list[str], value: Column, o
     """
     keys = [*groups, *order]
     ranged = df.withColumn("_v", value).repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
-    fixed = scratch.table(ranged, f"{out}-{uuid.uuid4().hex[:8]}")
+    fixed = scratch.table(ranged, out)
     sums = fixed.groupBy(*groups, "_pid").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*groups, "_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))

@@ -57,7 +57,7 @@ def stream_state(spark: SparkSession, arrivals: str, schema: StructType, scratch
     source = session.readStream.schema(schema)
     source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source
     keyed = source.parquet(arrivals).groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(_best()).alias("best"))
-    out, batches = f"{scratch.path}/updates", []
+    out, batches = scratch.place("updates"), []
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")  # a batch that is tried again replaces itself
@@ -65,7 +65,7 @@ def stream_state(spark: SparkSession, arrivals: str, schema: StructType, scratch
 
     query = (
         keyed.writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", f"{scratch.path}/stream").trigger(availableNow=True).start()
+        .option("checkpointLocation", scratch.place("stream")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
     if not batches:

@@ -238,7 +238,7 @@ def id_counts(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
 
 def write_files(docs: DataFrame, scratch: Scratch, spec: str, size: int, out: str | None = None) -> str:
     """Encodes ``docs`` and writes the format to folder ``out``; ``size``: number of ids."""
-    spark, out = docs.sparkSession, out or f"{scratch.path}/files"
+    spark, out = docs.sparkSession, out or scratch.place("files")
     dtype = stored(size)
     encoded = scratch.table(encode(docs, spec, dtype), "encoded")
     lengths = code_lengths(id_counts(encoded, size, dtype))

@@ -215,7 +215,7 @@ def rewrite(docs: DataFrame, old: Column, capacity: int | dict[int, int], scratc
     Result: doc_id, text, size, crc, old, shard, slot.  A shard that no transfer touches isn't
     written: its rows are read from where they were.
     """
-    spark, out = docs.sparkSession, out or f"{scratch.path}/shards"
+    spark, out = docs.sparkSession, out or scratch.place("shards")
     rows = located(docs, scratch, "doc_id", "text").withColumns({"size": size_of(F.col("text")), "crc": checksum(F.col("text")), "old": old})
     narrow = scratch.table(rows.drop("text"), "sizes")
     moves, rounds = plan(narrow, capacity, scratch)

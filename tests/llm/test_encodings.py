@@ -105,10 +105,10 @@ def test_files_round_trip(spark, docs_of, scratch, reference, monkeypatch):
 
 
 def test_files_of_repeated_null_and_no_ids(spark, docs_of, scratch):
-    path = huffman.write_files(docs_of([(2, "a"), (2, "a"), (None, "b"), (1, None)]), scratch, bpe.load(PATH), 49408, out=f"{scratch.path}/x")
+    path = huffman.write_files(docs_of([(2, "a"), (2, "a"), (None, "b"), (1, None)]), scratch, bpe.load(PATH), 49408)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in huffman.read_files(spark, path).collect()))
     assert got == [(0, None, 2), (2, 1, 1), (3, 2, 2), (5, 2, 2)]
-    empty = huffman.write_files(docs_of([]), scratch, bpe.load(PATH), 49408, out=f"{scratch.path}/y")
+    empty = huffman.write_files(docs_of([]), scratch, bpe.load(PATH), 49408)
     assert huffman.read_files(spark, empty).count() == 0
 
 
