@@ -1,3 +1,5 @@
+"""Fixtures of the training-data tests (a second conftest would hide the first)."""
+
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 

@@ -10,9 +10,11 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from llm_fixtures import docs_of, scratch  # noqa: F401
 from tessera.llm import bpe, huffman
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+SF_SMALL = "/root/testdata/sf0.001"
 ALPHABET = ["a", "b", "A", "Σ", "İ", "é", "é", " ", "\n", "1", "'s", "'", "!", "<|endoftext|>", "<|", "ß", "漢", "🙂", "\x00", "\x85", "　", "́", "²"]
 
 
@@ -113,8 +115,6 @@ def test_files_of_repeated_null_and_no_ids(spark, docs_of, scratch):
 
 
 def test_query_crc(spark):
-    from conftest import SF_SMALL
-
     got = huffman.op8_huffman(spark, SF_SMALL).orderBy("doc_id").limit(1).first()
     text = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").first()["text"]
     ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [1]

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs_of, scratch  # noqa: F401
 from tessera.llm import exact_dedup, simhash
 
 ROWS = [

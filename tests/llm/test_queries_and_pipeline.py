@@ -1,0 +1,66 @@
+"""Queries against their DuckDB SQL, and the pipeline against the queries' own verdicts."""
+
+import os
+import sys
+
+import corpus_pipeline
+import pytest
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+
+import __spark_entry__ as ENTRY  # noqa: E402
+from check_oracle import duck, rows_of  # noqa: E402
+
+from tessera.llm.queries import ORACLE, QUERIES  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_oracle(spark, name):
+    got, want = rows_of(QUERIES[name](spark, SF_SMALL).toPandas()), rows_of(duck(SF_SMALL).execute(ORACLE[name]).df())
+    assert got[0] == want[0] and got[1] == want[1]
+
+
+def test_every_operator_is_registered():
+    names = ENTRY.queries()
+    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+
+
+def test_pipeline_stages_decide_as_the_operators_do(spark, tmp_path):
+    """Each stage's rows are those that its operator's query keeps, on that stage's own input."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    columns, ids = docs.columns, [{r["doc_id"] for r in docs.collect()}]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        folder = tmp_path / f"in{i}"
+        folder.mkdir()
+        docs.write.parquet(str(folder / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            os.symlink(f"{SF_SMALL}/{t}.parquet", folder / f"{t}.parquet")
+        sf = str(folder)
+        keep = {
+            0: lambda: {r["doc_id"] for r in QUERIES["op9_toxicity"](spark, sf).where("predicted = 0").collect()},
+            1: lambda: {r["doc_id"] for r in QUERIES["op10_exact_dedup"](spark, sf).where("kept").collect()},
+            2: lambda: {r["doc_id"] for r in QUERIES["op4_simhash"](spark, sf).where("doc_id = component_id").collect()},
+            3: lambda: {r["doc_id"] for r in QUERIES["op1_decontaminate"](spark, sf).where("not contaminated").collect()},
+            4: lambda: {r["doc_id"] for r in QUERIES["op5_bpe"](spark, sf).collect()},
+        }[i]()
+        out = str(tmp_path / f"out{i}")
+        stage(spark, docs, sf).write.parquet(out)
+        docs = spark.read.parquet(out)
+        assert {r["doc_id"] for r in docs.select("doc_id").collect()} == keep
+        assert i == 4 or docs.columns == columns
+        ids.append(keep)
+    assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[-1]) < len(ids[0])
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF_SMALL).collect()} == ids[-1]
+
+
+def test_pipeline_of_no_documents_and_extra_columns(spark, tmp_path):
+    for name, rows in (("none", []), ("few", [(1, None, "x"), (2, "", "y"), (3, "one text", "z"), (3, "one text", "z")])):
+        folder = tmp_path / name
+        folder.mkdir()
+        spark.createDataFrame(rows, "doc_id bigint, text string, _file string").write.parquet(str(folder / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            os.symlink(f"{SF_SMALL}/{t}.parquet", folder / f"{t}.parquet")
+        # the two texts without words are equal, then near each other: one stays
+        assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(folder)).collect()) == ([] if name == "none" else [1, 3])

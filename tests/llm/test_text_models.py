@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 
+from llm_fixtures import docs_of, scratch  # noqa: F401
 from tessera.llm import decontaminate, mixing, toxicity
 
 
