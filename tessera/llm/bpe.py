@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, slices
 
-#: Words whose ids a task remembers; the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+#: Words and stretches of text that a Python worker remembers; a cache starts anew when it is full.
+CACHE_WORDS, CACHE_STRETCHES = 100_000, 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -203,18 +203,18 @@ class Worker:
 
     def __init__(self, spec: str):
         self.bpe = Bpe(json.loads(spec))
-        self.known: dict[str, tuple[list[int], str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
 
-    def parts(self, text: str | None) -> list[tuple[list[int], str, str]]:
-        """(ids, ids as text, decoded) of each stretch that has ids."""
+    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
+        """(number of ids, ids as text, decoded) of each stretch that has ids."""
         known, out = self.known, []
         for c in stretches(text or ""):
             got = known.get(c)
             if got is None:
                 ids = self.bpe.chunk(c)
-                if len(known) >= CACHE_WORDS:
+                if len(known) >= CACHE_STRETCHES:
                     known.clear()
-                got = known[c] = (ids, " ".join(map(str, ids)), self.bpe.decode(ids))
+                got = known[c] = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
             if got[0]:
                 out.append(got)
         return out
@@ -239,7 +239,7 @@ def encode_decode(docs: DataFrame, spec: str, keep: tuple[str, ...] = ("doc_id",
         w = worker(key, spec_of.value)
         for b in slices(batches, "text", 2 << 20):
             parts = [w.parts(t) for t in b.column("text").to_pylist()]
-            ids = pa.array([[i for p in own for i in p[0]] for own in parts], pa.list_(pa.int32()))
+            ids = pa.array([[int(i) for p in own for i in p[1].split(" ")] for own in parts], pa.list_(pa.int32()))
             decoded = pa.array([" ".join([p[2] for p in own]) for own in parts], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids, decoded], [*keep, "ids", "decoded"])
 
@@ -257,7 +257,7 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
             parts = [w.parts(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"),
-                pa.array([sum([len(p[0]) for p in own]) for own in parts], pa.int64()),
+                pa.array([sum([p[0] for p in own]) for own in parts], pa.int64()),
                 pa.array([sha(" ".join([p[1] for p in own]).encode()).hexdigest() for own in parts]),
                 pa.array([sha(" ".join([p[2] for p in own]).encode()).hexdigest() for own in parts]),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

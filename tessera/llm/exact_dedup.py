@@ -49,7 +49,7 @@ def stream_state(spark: SparkSession, arrivals: str, schema: StructType, scratch
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
         # many small stores: no disk blocks are set aside for their logs before these have content
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }.items():

@@ -115,7 +115,7 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["toxic", "v", "w", "n", "docs"]
         kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             n: Counter = Counter()
             docs: Counter = Counter()
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
