@@ -14,8 +14,8 @@ The classifier is fitted on at most ``fit_rows`` labelled rows, those with the s
 their id; every text is scored whole.  Counting and testing run as Spark jobs; the driver gets
 the expressions that were kept, a few sums, and two numbers per calibration row.
 
-Defined cases: a null or empty text has no words and gets the score of a zero difference; labels
-that are null are skipped, and of several labels of one id the largest counts; rows that repeat
+Defined cases: a text without words (null or empty, say) gets the share of toxic labels as its
+score; labels that are null are skipped, and of several labels of one id the largest counts; rows that repeat
 are scored alike; without labels of both kinds every score is the share of toxic labels (0
 without any); an empty table gives an empty result; other columns are ignored.
 """
@@ -74,22 +74,23 @@ class Model:
     def score(self, difference: np.ndarray, n: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(n), self.prior)
-        return 1 / (1 + np.exp(-np.clip(design(difference, n) @ self.weights, -35, 35)))
+        p = 1 / (1 + np.exp(-np.clip(design(difference, n) @ self.weights, -35, 35)))
+        return np.where(n > 0, p, self.prior)
 
 
 def design(difference: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Bias, the difference per word and per square root of words (its noise), and the length."""
+    """Bias, the difference per word and per square root of words (its noise), and the square root."""
     n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), 20 * difference / n, difference / np.sqrt(n), np.sqrt(n) / 20, 1 / n], 1)
+    return np.stack([np.ones(len(n)), 20 * difference / n, difference / np.sqrt(n), np.sqrt(n) / 20], 1)
 
 
 def calibrate(difference: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a light ridge."""
-    x, b = design(difference, n), np.zeros(5)
-    ridge = np.diag([1e-6, *[0.05] * 4])
+    x, b = design(difference, n), np.zeros(4)
+    ridge = np.diag([1e-6, *[0.05] * 3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(5), x.T @ (y - p) - ridge @ b)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(4), x.T @ (y - p) - ridge @ b)
         b = b + np.clip(step, -5, 5)
     return b
 
