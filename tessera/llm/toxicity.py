@@ -4,7 +4,7 @@ Two bigram models, of toxic and of ordinary text, are learnt from labelled rows.
 absolute discounting, with continuation counts (distinct words before a word) at the lower
 order, and both end in the same backoff counts, pooled over the classes.  A class keeps counts
 of its own only for expressions whose documents speak for a difference: those with a
-likelihood-ratio statistic of at least 2 ln(number of expressions), which chance alone rarely
+likelihood-ratio statistic of at least 1.5 ln(number of expressions), which chance alone rarely
 reaches in any of them; everything rarer is left to the shared counts.  A text's
 log-likelihoods are compared per word, and a logistic regression on the length-normalised
 differences turns them into a probability.
@@ -165,7 +165,7 @@ def learn(model: Model, counts: DataFrame, ordinary: int, toxic: int) -> None:
     sums = cont.agg(F.sum("c0"), F.sum("c1"), F.sum("shared"), F.count(F.lit(1))).first()
     if not sums[0] or not sums[1]:
         return
-    limit = 2 * math.log(max(2, sums[3]))
+    limit = 1.5 * math.log(max(2, sums[3]))
     g = statistic(F.col("docs1"), F.lit(float(toxic)), F.col("docs0"), F.lit(float(ordinary)))
     own = singles.join(cont, "w").where(g >= limit).select("w", "c0", "c1", "shared").collect()  # the few expressions that differ
     kept = [[max(r["c0"] - DISCOUNT, 0) / sums[0] for r in own], [max(r["c1"] - DISCOUNT, 0) / sums[1] for r in own]]
