@@ -137,13 +137,15 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> Model:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("crc", F.crc32(F.col("id").cast("string"))).where("crc % 5 != 0").orderBy("crc", "id").limit(fit_rows)
+    known = known.withColumn("crc", F.crc32(F.col("id").cast("string"))).where("crc % 5 != 0")
+    total = known.count()
+    if total > fit_rows:  # a cut of the checksums that leaves 96 % of fit_rows on average, so that chance can't exceed it
+        known = known.where(F.col("crc") < int(0.96 * fit_rows / total * 2**32))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"))  # fit_rows rows at most
     rows = scratch.table(rows.select("text", "toxic", (F.col("crc") % 5 == 1).alias("calibrates")), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.where("not calibrates").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model()
-    total = rows.agg(F.avg("toxic")).first()[0]
-    model.prior = float(total or 0.0)
+    model.prior = float(rows.agg(F.avg("toxic")).first()[0] or 0.0)
     if len(sizes) == 2:
         counts = scratch.table(pair_counts(rows.where("not calibrates")), "counts")
         learn(model, counts, sizes[0], sizes[1])
