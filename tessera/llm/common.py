@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,14 +34,16 @@ class Scratch:
 
     Tables cut the lineage: a lost executor re-reads files and never repeats the work
     before them.  ``drop`` deletes one table when nothing reads it any more, ``close`` all;
-    what is still there when the application ends is deleted then.
+    what is still there when the driver ends is deleted then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.places: list[tuple[str, str]] = []
-        atexit.register(self.close)
+        path, files = self._files(self.path)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def place(self, name: str) -> str:
         """A path for a table; every call gives another one."""
@@ -64,13 +65,16 @@ class Scratch:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
+        path, files = self._files(path)
+        files.delete(path, True)
+
+    def _files(self, path: str) -> tuple:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def close(self) -> None:
-        atexit.unregister(self.close)
-        if self.spark.sparkContext._jsc is not None:  # else the application has ended, and nobody is left to delete with
-            self._delete(self.path)
+        """Deletes all of them; nothing may read them any more."""
+        self._delete(self.path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
