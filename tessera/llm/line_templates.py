@@ -40,7 +40,8 @@ def masked(tokens: Column) -> Column:
 def lines_of(rows: DataFrame) -> DataFrame:
     """A row per line that has tokens: its document's place, number, tokens and leaf."""
     lines = rows.select("_file", "_row", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select("_file", "_row", "line_no", tokens_of(F.col("line")).alias("tokens"))
+    # the generator makes the tokens a column that later expressions refer to: they are found once
+    lines = lines.select("_file", "_row", "line_no", F.explode(F.array(tokens_of(F.col("line")))).alias("tokens"))
     lead = F.array_join(masked(F.slice("tokens", 1, DEPTH)), " ")
     return lines.select("*", F.size("tokens").alias("n_tokens"), lead.alias("lead")).where("n_tokens > 0")
 
