@@ -92,19 +92,36 @@ def located(docs: DataFrame, scratch: Scratch, *cols: str | Column) -> DataFrame
     A frame that isn't a plain file scan (a join, an aggregate, rows from memory) is written
     to a scratch table first, so that its places are fixed.
     """
-    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     try:
-        return docs.select(*cols, *place)
+        return places(docs, *cols)
     except AnalysisException:
-        return scratch.table(docs.select(*cols), "rows").select("*", *place)
+        return places(scratch.table(docs.select(*cols), "rows"), "*")
+
+
+def places(docs: DataFrame, *cols: str | Column) -> DataFrame:
+    """:func:`located` for a file scan; an error for any other frame.  A column of the files may be called _metadata."""
+    own = docs.metadataColumn("_metadata")
+    return docs.select(*cols, own.getField("file_path").alias("_file"), own.getField("row_index").alias("_row"))
+
+
+def fixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` if it is a file scan, else a scratch table of it: its places are the same at every later use."""
+    try:
+        places(docs)
+        return docs
+    except AnalysisException:
+        return scratch.table(docs, "docs")
 
 
 def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs``, all its columns whatever their names, without the rows at the places (_file, _row) in ``gone``."""
+    """``docs``, all its columns whatever their names, without the rows at the places (_file, _row) in ``gone``.
+
+    ``docs`` is :func:`fixed`, and ``gone`` was found in that same frame.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     gone = scratch.table(gone.select(F.col("_file").alias("_f"), F.col("_row").alias("_r")), "gone")
     on = (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))
-    return located(docs, scratch, whole).join(small(gone, 256), on, "left_anti").select("row.*")
+    return places(docs, whole).join(small(gone, 256), on, "left_anti").select("row.*")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, located, read, slices, without
+from .common import Scratch, fixed, located, read, slices, without
 
 #: Words of a shingle, and the windows of a block (about 1 KB each in a task).
 SHINGLE, BLOCK = 3, 100_000
@@ -173,6 +173,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = 10) -> DataFrame:
     """``docs`` without the documents that contain a window of an item; its columns stay as they are."""
+    docs = fixed(docs, scratch)
     return without(docs, find(docs, benchmark, scratch, window).where(F.size("spans") > 0), scratch)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, located, read, small, without
+from .common import Scratch, fixed, located, read, small, without
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -113,6 +113,7 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; its columns stay as they are."""
+    docs = fixed(docs, scratch)
     return without(docs, exact_dedup(docs, scratch).where("not kept"), scratch)
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, located, read, small
+from .common import BROADCAST_BYTES, Scratch, fixed, located, places, read, small
 
 DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT = 3, 6, 3, 0.6
 ANY = "<*>"
@@ -74,11 +74,12 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS)
 
 def drop_recurring(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text without its recurring lines, n_lines, n_dropped."""
+    docs = fixed(docs, scratch)
     gone = recurring_lines(docs, scratch, min_docs).groupBy(F.col("_file").alias("_f"), F.col("_row").alias("_r"))
     gone = scratch.table(gone.agg(F.collect_list("line_no").alias("gone")), "gone")  # no more than the document's lines
     size = gone.agg(F.sum(256 + 4 * F.size("gone"))).first()[0] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
-    rows = located(docs, scratch, "doc_id", "text").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    rows = places(docs, "doc_id", "text").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     rows = rows.join(gone, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left")
     kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, located, read, slices, small, without
+from .common import Scratch, fixed, located, read, slices, small, without
 
 #: A bucket with more members goes to blocks; a block holds at most so many fingerprints of a side.
 HOT, BLOCK = 32, 1 << 15
@@ -204,6 +204,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int
 
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` with the least row of each group only; its columns stay as they are."""
+    docs = fixed(docs, scratch)
     own = (F.col("_file") == F.col("best._file")) & (F.col("_row") == F.col("best._row"))
     return without(docs, near_groups(docs, scratch, words, distance).where(~own), scratch)
 

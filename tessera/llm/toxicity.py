@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, located, read, slices, without
+from .common import Scratch, fixed, fold, located, read, slices, without
 
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 20_000
@@ -226,6 +226,7 @@ def differences(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; its columns stay as they are."""
+    docs = fixed(docs, scratch)
     model = fit(docs, labels, scratch)
     scored = differences(located(docs, scratch, "text"), model, ["_file", "_row"])
     return without(docs, scored.where("score >= 0.5"), scratch)

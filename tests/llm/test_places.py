@@ -1,0 +1,55 @@
+"""The filters drop the same rows from rows in memory, unions and tables with a _metadata column as from plain files."""
+
+import random
+
+import pytest
+from llm_fixtures import scratch  # noqa: F401
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, exact_dedup, line_templates, simhash, toxicity
+
+
+def texts():
+    rng = random.Random(3)
+    usual, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], ["grrr", "bah", "ugh"]
+    rows, toxic = [], []
+    for i in range(200):
+        words = [rng.choice(usual) for _ in range(60)]
+        toxic.append((i, int(i % 5 == 0)))
+        if i % 5 == 0:
+            words = [rng.choice(bad) if rng.random() < 0.3 else w for w in words]
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, "all rights reserved here\n" + " ".join(rng.sample(usual, 8))) for i in range(6)]
+    rows += [(400, "we saw one two three four here"), (401, "a copy of this"), (402, "a copy of this"), (403, "A  copy of this")]
+    return rows, toxic
+
+
+def frames(spark, rows, kind, tmp_path):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    if kind == "union":
+        return df.where("doc_id < 200").union(df.where("doc_id >= 200"))
+    if kind != "memory":
+        df = df.withColumn("_metadata", F.lit("x")) if kind == "_metadata" else df
+        df.coalesce(2).write.parquet(str(tmp_path / kind))
+        df = spark.read.parquet(str(tmp_path / kind))
+    return df
+
+
+@pytest.mark.parametrize("kind", ["files", "memory", "union", "_metadata"])
+def test_every_filter_drops_its_rows(spark, scratch, tmp_path, kind):  # noqa: F811
+    rows, toxic = texts()
+    docs = frames(spark, rows, kind, tmp_path)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(9, "One, two; three four")], "item_id bigint, text string")
+    ids = {i for i, _ in rows}
+
+    def gone(kept):
+        assert kept.columns == docs.columns
+        return ids - {r["doc_id"] for r in kept.collect()}
+
+    assert gone(exact_dedup.keep_first(docs, scratch)) == {402}
+    assert gone(simhash.keep_one(docs, scratch)) == {402, 403}
+    assert gone(decontaminate.drop_contaminated(docs, items, scratch, window=4)) == {400}
+    assert gone(toxicity.keep_ordinary(docs, labels, scratch)) >= {i for i, t in toxic if t}
+    cut = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring(docs, scratch).collect()}
+    assert {i for i, n in cut.items() if n} == set(range(300, 306))
