@@ -83,7 +83,10 @@ def exact_dedup(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, _file, _row, sha256 (binary), keep_id, group_size, kept."""
+    """One row per document: doc_id, _file, _row, sha256 (binary), keep_id, group_size, kept.
+
+    A batch of the stream takes ``files_per_batch`` files of arrivals, all of them if it is None.
+    """
     spark = docs.sparkSession
     rows = located(docs, scratch, "doc_id", "text").withColumn("norm", normalised(F.col("text")))
     arrivals = rows.select(
@@ -118,7 +121,7 @@ def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    found = exact_dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op10"), files_per_batch=spark.sparkContext.defaultParallelism)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 

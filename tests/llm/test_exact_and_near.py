@@ -1,6 +1,7 @@
 """Exact and near dedup against brute force, with nulls, ties, repeats and forced hash collisions."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -43,6 +44,20 @@ def test_state_holds_over_batches(spark, docs_of, scratch):
     check_exact(exact_dedup.exact_dedup(docs_of(rows, extra=False), scratch, files_per_batch=1), rows)
 
 
+def test_the_query_runs_in_batches(spark, scratch, tmp_path, monkeypatch):
+    rows = [(i, f"text {i % 7}") for i in range(12 * spark.sparkContext.defaultParallelism)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3 * spark.sparkContext.defaultParallelism)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(exact_dedup, "Scratch", lambda *_: scratch)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        check_exact(exact_dedup.op10_exact_dedup(spark, str(tmp_path)), rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(list(Path(scratch.path.removeprefix("file:")).glob("updates-*/batch=*"))) > 1
+
+
 def test_full_bytes_split_a_shared_digest(spark, docs_of, scratch):
     weak = lambda norm: F.unhex(F.substring(F.sha2(norm, 256), 1, 2))  # noqa: E731 - one byte: texts collide
     rows = [(i, f"text number {i % 300}") for i in range(900)]
