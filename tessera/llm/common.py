@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.joins import skew_join
+
 #: Largest table that an operator broadcasts itself; beyond it the plan shuffles (or works in blocks).
 BROADCAST_BYTES = 64 << 20
 
@@ -86,6 +88,13 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def met(big: DataFrame, side: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+    """``big`` joined with ``side``: by broadcast if ``side`` is :func:`small`, else with the hot keys of ``big`` salted."""
+    if side.count() * row_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(side), on, how)
+    return skew_join(big, side, on, how)
+
+
 def located(docs: DataFrame, scratch: Scratch, *cols: str | Column) -> DataFrame:
     """``cols`` of ``docs`` with each row's place (``_file``, ``_row``) in the files it is read from.
 
