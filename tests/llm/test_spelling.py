@@ -1,0 +1,100 @@
+"""Spelling variants against brute force: pairs, deep cuts of parts, counting, forms and roots."""
+
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_fixtures import docs_of, scratch  # noqa: F401
+
+from tessera.llm import spelling as S
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def brute_pairs(words):
+    words = sorted(words)
+    return {(a, b) for i, a in enumerate(words) for b in words[i + 1:] if one_edit(a, b)}
+
+
+def brute(rows, shortest=6, least=5, factor=5):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{w}".encode())
+            if h % 199 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            counts[w] += len(w) >= shortest
+    counts = {w: n for w, n in counts.items() if n >= least}
+    near = {w: {b for b in counts if one_edit(w, b)} for w in counts}
+    best = {w: min(s, key=lambda x: (-counts[x], x)) for w, s in near.items() if s}
+    form = {w: b for w, b in best.items() if counts[b] >= factor * counts[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {(w, form.get(w), root(w), n, len(near[w]), counts.get(form.get(w))) for w, n in counts.items()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abé", min_size=1, max_size=6), min_size=2, max_size=40))
+def test_composition_accepts_just_the_near_pairs_once(words):
+    got = [tuple(sorted(p)) for p in S.Acceptor(sorted(words)).pairs()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(words)
+
+
+def test_acceptor_is_minimal():
+    # abc, abd, xbc, xbd: the states after a and x are one, and so are the last ones
+    assert len(S.Acceptor(sorted(["abc", "abd", "xbc", "xbd"])).arcs) == 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 9), st.text("LR", min_size=1, max_size=3))
+def test_halves_of_a_part_are_one_short_of_its_open_middle(size, path):
+    i, j, _ = S.steps(size, path)
+    assert 0 <= i and 0 <= j and i + j <= size
+
+
+@pytest.mark.parametrize("part", [2000, 3])
+def test_every_pair_once_however_deep_parts_are_cut(spark, scratch, part):  # noqa: F811
+    import itertools
+
+    words = ["".join(w) for n in (5, 6) for w in itertools.product("ab", repeat=n)]  # every prefix is hot
+    words += ["a" * 40, "a" * 41, "a" * 20 + "b" + "a" * 20, "colour", "color", "colours", "élève", "eleve", "élèves"]
+    df = spark.createDataFrame([(w, 7) for w in words], "word string, n bigint")
+    got = [tuple(sorted((r["a"], r["b"]))) for r in S.near_pairs(df, scratch, shortest=1, part=part).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(words)
+
+
+def test_forms_roots_and_counts_match_brute_force(spark, docs_of, scratch):  # noqa: F811
+    base = ["Straße", "receive", "recieve", "receiv", "receives", "ÉCOLIER", "écolier", "ecolier"]
+    text = " ".join(w for k, w in enumerate(base) for _ in range(5 ** (k % 4 + 1) + k))
+    rows = [(i, text + " filler" * i) for i in range(12)] + [(None, text), (3, None), (4, ""), (5, "12 .. abc"), (5, "12 .. abc"), (6, "x" * 50_000 + " ") , (6, "long words " * 30_000)]
+    words = scratch.table(S.vocabulary(S.occurrences(docs_of(rows))), "words")
+    got = [tuple(r[c] for c in ("word", "form", "root", "n", "n_near", "form_n")) for r in S.spelling(words, scratch).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    assert any(x[1] for x in got)
+
+
+def test_ties_go_to_the_smallest_word_and_nothing_gives_nothing(spark, scratch):  # noqa: F811
+    df = spark.createDataFrame([("planet", 50), ("planes", 50), ("plane", 10), ("zzzzzz", 5)], "word string, n bigint")
+    got = {r["word"]: (r["form"], r["n_near"], r["root"]) for r in S.spelling(df, scratch, shortest=5).collect()}
+    assert got == {"plane": ("planes", 2, "planes"), "planet": (None, 2, "planet"), "planes": (None, 2, "planes"), "zzzzzz": (None, 0, "zzzzzz")}
+    assert S.spelling(df.where("n < 0"), scratch).count() == 0
+
+
+def test_long_chains_of_forms(spark, scratch):  # noqa: F811
+    word = lambda k: "a" * k + "b" * (12 - k)
+    df = spark.createDataFrame([(word(k), 6**k) for k in range(12)], "word string, n bigint")
+    got = {r["word"]: (r["form"], r["root"]) for r in S.spelling(df, scratch).collect()}
+    assert got == {word(k): (word(k + 1) if k < 11 else None, word(11)) for k in range(12)}
