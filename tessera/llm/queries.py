@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hosts, huffman, line_templates, mixing, reshard, simhash, toxicity
+from . import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    hosts,
+    huffman,
+    line_templates,
+    mixing,
+    reshard,
+    simhash,
+    spelling,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_huffman": huffman.op8_huffman,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_warc": warc.op12_warc,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE = {
@@ -22,4 +39,7 @@ ORACLE = {
     "op6_hosts": hosts.OP6_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

@@ -24,7 +24,7 @@ def test_query_matches_oracle(spark, name):
 
 def test_every_operator_is_registered():
     names = ENTRY.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
 
 
 def test_pipeline_stages_decide_as_the_operators_do(spark, tmp_path):
