@@ -5,8 +5,9 @@
 * :func:`skew_join` splits hot keys of the large side over several salted partitions
   and replicates only the matching rows of the other side.  Hot keys are found by an
   exact count (partial aggregation, small shuffle); their number is bounded, so the
-  hot-key table is safe to broadcast.  Keys that are not hot take the ordinary shuffle
-  join, so no row is ever dropped or capped.
+  hot-key table is safe to broadcast.  Keys that are not hot take the ordinary join on
+  the key alone, so sides that are bucketed by it aren't shuffled, and no row is ever
+  dropped or capped.
 """
 
 from __future__ import annotations
@@ -83,6 +84,9 @@ def skew_join(
     equal rows of different tasks spread, and a recomputed task assigns the same salt.  Rows with
     a NULL key, which match nothing, are added after the join (left, left_anti).  ``hot``
     (``*on, _salts``) skips the counting pass when the key counts are already known.
+
+    The hot keys are counted when the join is called.  Without any, the plan is the plain join; else
+    ``big`` is read for the cold and for the hot rows, so one that is costly to make is better a table.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -91,28 +95,26 @@ def skew_join(
     keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     loose = big.where(~keyed)
     big = big.where(keyed)
-    hot = F.broadcast(hot if hot is not None else hot_keys(big, on, hot_rows, max_hot, max_salts))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    big_s = (
-        big.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns], F.spark_partition_id()), salts).cast("int"))
-        .drop("_salts")
-    )
-    small_s = (
-        small.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
-    out = big_s.join(small_s, on + ["_salt"], how).drop("_salt")
+    hot = hot if hot is not None else hot_keys(big, on, hot_rows, max_hot, max_salts)
+    found = hot.limit(max_hot).collect()  # a bounded table
+    if not found:
+        out = big.join(small, on, how)
+    else:
+        table = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema))
+        # broadcast joins keep a side's partitioning: cold rows meet on the key alone
+        cold = big.join(table.select(*on), on, "left_anti").join(small, on, how)
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns], F.spark_partition_id()), F.col("_salts")).cast("int")
+        hot_big = big.join(table, on).withColumn("_salt", salt).drop("_salts")
+        copies = small.join(table, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+        out = cold.unionByName(hot_big.join(copies, [*on, "_salt"], how).drop("_salt"))
     if how == "left":
         return out.unionByName(loose, allowMissingColumns=True)
     return out.unionByName(loose) if how == "left_anti" else out
 
 
 def ensure_unique(df: DataFrame, key: str) -> DataFrame:
-    """``df``, failing the job when two rows share ``key`` (a NULL key counts as one key)."""
-    rest = [c for c in df.columns if c != key]
-    one = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
-    message = F.concat(F.lit(f"duplicate {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
-    row = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_r")).alias("_r")
-    return one.select(key, row).select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    """``df``, or an error when two rows share ``key`` (a NULL key counts as one key).  Only keys are shuffled, in a job of its own."""
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key).limit(1).collect()
+    if again:
+        raise ValueError(f"duplicate {key}: {'NULL' if again[0][0] is None else again[0][0]}")
+    return df

@@ -275,6 +275,36 @@ SELECT label, head, CAST(j AS INTEGER) AS slot,
        round(1.0 / (1.0 + exp(-(sum(tanh(x) * (CAST(((i * 7 + j * 3) % 11) - 5 AS DOUBLE) / 10)) + CAST(((j * 5) % 7) - 3 AS DOUBLE) / 20))), 6) AS score
 FROM pooled, (SELECT 'patch' AS head, unnest(range(16)) AS j UNION ALL SELECT 'answ' AS head, unnest(range(335)) AS j) GROUP BY label, head, j"""
 
+def _train_sql() -> str:
+    """Two AdamW steps on all train rows; the bias is the last place of x and w."""
+    p = "1.0 / (1.0 + exp(-list_inner_product(x, w)))"
+    loss = "-a / slots * (CASE WHEN y THEN greatest(ln(p), -100) ELSE greatest(ln(1.0 - p), -100) END)"
+    ctes = [
+        """x AS (SELECT vec_id, label, vec_id % 5 = 0 AS val, list_concat(list_transform(embedding, lambda e: tanh(CAST(e AS DOUBLE))), [1.0::DOUBLE]) AS x
+    FROM embeddings),
+heads(head, slots, a) AS (VALUES ('patch', 16, 0.25::DOUBLE), ('answ', 335, 0.75::DOUBLE)),
+w0 AS (SELECT head, slots, a, j, list_concat(list_transform(range(64), lambda i: CAST((i * 7 + j * 3) % 11 - 5 AS DOUBLE) / 10), [CAST((j * 5) % 7 - 3 AS DOUBLE) / 20]) AS w
+    FROM heads, range(335) t(j) WHERE j < slots)"""
+    ]
+    for k in (0, 1, 2):
+        ctes.append(f"""p{k} AS (SELECT val, head, slots, a, j, x, CASE WHEN head = 'patch' THEN j = label ELSE (label * 5 + j) % 7 = 0 END AS y, {p} AS p FROM x, w{k}),
+l{k} AS (SELECT val, sum({loss}) AS loss FROM p{k} GROUP BY val),
+m{k} AS (SELECT l{k}.val, loss / n AS loss FROM l{k} JOIN (SELECT val, count(*) AS n FROM x GROUP BY val) c ON l{k}.val = c.val)""")
+        if k == 2:
+            break
+        old = ", o.m, o.v" if k else ", 0.0::DOUBLE AS m, 0.0::DOUBLE AS v"
+        before = f"LEFT JOIN s{k - 1} o ON o.head = g.head AND o.j = g.j AND o.i = g.i" if k else ""
+        ctes.append(f"""g{k} AS (SELECT head, j, i, sum((p - CASE WHEN y THEN 1.0 ELSE 0.0 END) * x[i]) * any_value(a / slots) / (SELECT count(*) FROM x WHERE NOT val) AS g
+    FROM p{k}, range(1, 66) t(i) WHERE NOT val GROUP BY head, j, i),
+s{k} AS (SELECT head, j, i, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM (SELECT g.*{old} FROM g{k} g {before})),
+w{k + 1} AS (SELECT w.head, slots, a, w.j, list(w[i] * (1.0 - 0.01 * 0.01) - 0.01 * (m / (1.0 - 0.9 ** {k + 1})) / (sqrt(v / (1.0 - 0.999 ** {k + 1})) + 1e-8) ORDER BY i) AS w
+    FROM w{k} w JOIN s{k} s ON w.head = s.head AND w.j = s.j GROUP BY ALL)""")
+    rows = [f"SELECT 'embeddings' AS run, {k + 1} AS epoch, round(t.loss, 6) AS train_loss, round(v.loss, 6) AS val_loss FROM m{k} t, m{k + 1} v WHERE NOT t.val AND v.val" for k in (0, 1)]
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(rows)
+
+
+ORACLE["train_heads"] = _train_sql()
+
 ORACLE["duplicate_images"] = """SELECT left(s_name, length(s_name) - 2) AS img_name, count(*) AS rasters
 FROM supplier GROUP BY 1 HAVING count(*) > 1"""
 

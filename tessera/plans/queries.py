@@ -25,6 +25,7 @@ from ..operators import ml as ML
 from ..operators import prompts as P
 from ..operators import remap as R
 from ..operators import scoring as S
+from ..operators import training as T
 from ..sources import derived as D
 from ..sources.tables import read_table
 
@@ -312,6 +313,22 @@ def q_score_vqa(spark, sf):
     return long.select("label", "head", "slot", r6(F.col("score")).alias("score"))
 
 
+@query
+def q_train_heads(spark, sf):
+    # both heads, 16 and 335 slots, two epochs; every fifth vector is held out
+    slots = {"patch": K.PATCH_SLOTS, "answ": K.ANSWER_SLOTS}
+    lab = F.col("label")
+    rows = D.vectors(spark, sf).select(
+        "embedding",
+        F.transform(F.sequence(F.lit(0), F.lit(slots["patch"] - 1)), lambda j: (j == lab).cast("int")).alias("patch"),
+        F.transform(F.sequence(F.lit(0), F.lit(slots["answ"] - 1)), lambda j: ((lab * 5 + j) % 7 == 0).cast("int")).alias("answ"),
+        (F.col("vec_id") % 5 == 0).alias("val"),
+    )
+    start = {k: S.head_matrix(head_weights(spark, n, head=k), k) for k, n in slots.items()}
+    _, record = T.train_heads(rows, "embedding", {k: k for k in slots}, start, {"patch": 0.25, "answ": 0.75}, epochs=2, rate=0.01, run="embeddings")
+    return record.select("run", "epoch", r6(F.col("train_loss")).alias("train_loss"), r6(F.col("val_loss")).alias("val_loss"))
+
+
 @query
 def q_predicted_raster(spark, sf):
     # 44 maps of 8 x 8 logits: class c sees the 64 values rotated by c

@@ -61,17 +61,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
     Cuts the lineage (later stages read files, so a lost executor does not recompute
     the input) with the vectorised parquet writer and reader; an RDD checkpoint would
-    Java-serialise every row.  Partitioning and row order are not kept.
+    Java-serialise every row.  Partitioning and row order are not kept.  With ``partition_by`` the
+    rows of each value lie in files of their own.  The table is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spread(spark.read.parquet(path))
+    if hasattr(spark, "_jvm"):  # not under Spark Connect
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    write = df.write.mode("error")
+    (write.partitionBy(partition_by) if partition_by else write).parquet(path)
+    return spread(spark.read.schema(df.schema).parquet(path))
 
 
 def spread(df: DataFrame) -> DataFrame:
