@@ -81,6 +81,69 @@ def resize_bilinear(df: DataFrame, col: str, in_h: int, in_w: int, out_h: int, o
     return df.withColumn(col, expr)
 
 
+#: Fraction bits of the weights of :func:`resize_bytes`.
+BYTE_BITS = 22
+
+
+def byte_axis(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per output index: the first source index and the fixed-point weights of the following ones (0 beyond the last).
+
+    A triangle around the output's centre, as wide as an output step when shrinking (so every source
+    pixel counts) and two source pixels wide when enlarging; weights are normalised, then rounded to :data:`BYTE_BITS` bits.
+    """
+    step = n_in / n_out
+    wide = max(step, 1.0)
+    firsts, weights = [], []
+    for o in range(n_out):
+        centre = (o + 0.5) * step
+        lo, hi = max(int(centre - wide + 0.5), 0), min(int(centre + wide + 0.5), n_in)
+        own = [max(0.0, 1.0 - abs((i - centre + 0.5) * (1.0 / wide))) for i in range(lo, hi)]
+        total = sum(own)
+        firsts.append(lo)
+        weights.append([int(0.5 + w / total * (1 << BYTE_BITS)) for w in own])
+    taps = max(map(len, weights))
+    return np.array(firsts), np.array([w + [0] * (taps - len(w)) for w in weights], dtype=np.int64)
+
+
+def _byte_pass(a: np.ndarray, n_out: int) -> np.ndarray:
+    """Resamples the last axis of bytes, rounded to bytes again."""
+    firsts, weights = byte_axis(a.shape[-1], n_out)
+    out = np.full((*a.shape[:-1], n_out), 1 << (BYTE_BITS - 1), dtype=np.int64)
+    for t in range(weights.shape[1]):
+        out += a[..., np.minimum(firsts + t, a.shape[-1] - 1)] * weights[:, t]
+    return np.clip(out >> BYTE_BITS, 0, 255)
+
+
+def resize_bytes(df: DataFrame, col: str, in_h: int, in_w: int, out_h: int, out_w: int, out: str | None = None) -> DataFrame:
+    """Bilinear resize of 8-bit bands, as image libraries do it: along the rows, then along the columns, each pass
+    rounded to a byte; the filter widens when shrinking (:func:`byte_axis`).
+
+    ``col``: a band (array of 0 to 255, row-major) or a stack of bands; the result is ``array<int>`` of the same shape.  A
+    NULL band stays NULL; a band that hasn't ``in_h * in_w`` values, a NULL in it or a value that is no byte fails the job.
+    """
+    dt = df.schema[col].dataType
+    nested = hasattr(dt, "elementType") and hasattr(dt.elementType, "elementType")
+
+    def resized(band) -> np.ndarray | None:
+        if band is None:
+            return None
+        a = np.asarray(band, dtype=np.float64)
+        if a.size != in_h * in_w:
+            raise ValueError(f"a band of {in_h} x {in_w} expected, values: {a.size}")
+        if not ((a >= 0) & (a <= 255) & (a == np.floor(a))).all():
+            raise ValueError("bytes expected")
+        rows = _byte_pass(a.astype(np.int64).reshape(in_h, in_w), out_w)
+        return _byte_pass(rows.T, out_h).T.ravel().astype(np.int32)
+
+    @F.pandas_udf("array<array<int>>" if nested else "array<int>")
+    def resize(bands: pd.Series) -> pd.Series:
+        if nested:
+            return pd.Series([None if v is None else [resized(b) for b in v] for v in bands])
+        return pd.Series([resized(v) for v in bands])
+
+    return df.withColumn(out or col, resize(F.col(col)))
+
+
 def normalize_bands(bands: Column, mean: Sequence[float], std: Sequence[float], scale: float = 255.0) -> Column:
     """``((v / scale) - mean[b]) / std[b]`` for every value of band ``b`` (bytes -> [0,1] -> z)."""
     m = F.array(*[F.lit(float(x)) for x in mean])

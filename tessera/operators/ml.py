@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +79,12 @@ def pixel_features(masks: DataFrame) -> DataFrame:
     return px.select("img_name", "x", "y", "code", code_id(F.col("code")).alias("id"), F.array(*bands).alias("bands"))
 
 
+def _weighted_rows(pixels: DataFrame) -> DataFrame:
+    """features, label, w: equal (bands, id) rows as one row with their count as weight."""
+    grouped = pixels.groupBy("bands", "id").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return grouped.select(array_to_vector("bands").alias("features"), F.col("id").cast("double").alias("label"), "w")
+
+
 def train_pixel_model(pixels: DataFrame, max_iter: int = 15):
     """Multinomial logistic regression id ~ bands on weighted distinct rows.
 
@@ -86,10 +92,7 @@ def train_pixel_model(pixels: DataFrame, max_iter: int = 15):
     their count: the weighted log-likelihood is the same sum, so the fit is exact while
     the iterations run over the distinct rows only (map-side combined before the shuffle).
     """
-    grouped = pixels.groupBy("bands", "id").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    data = grouped.select(
-        array_to_vector("bands").alias("features"), F.col("id").cast("double").alias("label"), "w"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _weighted_rows(pixels).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return LogisticRegression(maxIter=max_iter, family="multinomial", regParam=0.0, weightCol="w").fit(data), data
     except Exception:
@@ -114,6 +117,36 @@ def fit_pixels(pixels: DataFrame, max_iter: int = 15) -> DataFrame:
         data.unpersist()
 
 
+def train_pixel_forest(pixels: DataFrame, trees: int = 20, depth: int = 12, seed: int = 0):
+    """Random forest id ~ bands (splits searched on histograms of the bands, grown level by level over all trees).
+
+    Like :func:`train_pixel_model` on weighted distinct rows; the caller unpersists the second value.
+    """
+    data = _weighted_rows(pixels).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=128, seed=seed, weightCol="w", featureSubsetStrategy="all")
+        return forest.fit(data), data
+    except Exception:
+        data.unpersist()
+        raise
+
+
+def compare_pixel_models(train: DataFrame, held_out: DataFrame, max_iter: int = 15, trees: int = 20, depth: int = 12, seed: int = 0) -> DataFrame:
+    """model (``linear``, ``forest``), n, correct, majority: how both classifiers do on held-out pixels.
+
+    ``majority`` is how many pixels the most frequent held-out class has.
+    """
+    rows = _weighted_rows(held_out).withColumnRenamed("label", "truth")
+    parts = []
+    for name, (model, data) in (("linear", train_pixel_model(train, max_iter)), ("forest", train_pixel_forest(train, trees, depth, seed))):
+        hit = argmax(vector_to_array("probability")) == F.col("truth").cast("int")
+        scored = model.transform(rows).groupBy("truth").agg(F.sum("w").alias("n"), F.sum(F.when(hit, F.col("w")).otherwise(0.0)).alias("correct"))
+        whole = scored.agg(F.sum("n").cast("long").alias("n"), F.sum("correct").cast("long").alias("correct"), F.max("n").cast("long").alias("majority"))
+        parts.append(whole.select(F.lit(name).alias("model"), "*"))
+        data.unpersist()
+    return parts[0].unionByName(parts[1])
+
+
 def predict_pixels(model, pixels: DataFrame) -> DataFrame:
     """Per pixel: img_name, x, y, predicted id (first maximum) and its class code."""
     scored = model.transform(pixels.select("img_name", "x", "y", array_to_vector("bands").alias("features")))

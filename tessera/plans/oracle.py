@@ -176,6 +176,13 @@ ORACLE["fit_pixels"] = with_(
     "FROM (SELECT coalesce(i.id, 0) AS id, count(*) AS n FROM mask_px m LEFT JOIN ids i ON m.code = i.code GROUP BY 1) JOIN ids USING (id)",
 )
 
+ORACLE["fit_forest"] = with_(
+    f"{MASK_PX_CTE},\n{IDS_CTE}",
+    """SELECT model, n, majority, true AS beats_majority FROM (VALUES ('linear'), ('forest')) m(model),
+    (SELECT CAST(sum(c) AS BIGINT) AS n, max(c) AS majority FROM (
+        SELECT coalesce(id, 0) AS id, count(*) AS c FROM mask_px LEFT JOIN ids USING (code) WHERE right(img_name, 1) IN ('0', '5') GROUP BY 1))""",
+)
+
 ORACLE["predicted_mask"] = (
     "SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS id,\n"
     f"       {list(K.ID_CODES)}[list_position(z, list_max(z))] AS code\n"
@@ -221,6 +228,25 @@ FROM k"""
 
 _MEAN, _STD = K.NORM_MULTISPECTRAL
 _DLIST = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
+def _bytes_sql(name: str, h: int, w: int) -> str:
+    def axis(n_out: int) -> str:
+        return f"""(SELECT o, i, CAST(floor(0.5 + f / sum(f) OVER (PARTITION BY o) * 4194304) AS BIGINT) AS k FROM (
+            SELECT o, i, greatest(0.0, 1.0 - abs((i - c + 0.5) * (1.0 / wide))) AS f FROM (
+                SELECT o, (o + 0.5::DOUBLE) * (8::DOUBLE / {n_out}) AS c, greatest(8::DOUBLE / {n_out}, 1.0) AS wide FROM range({n_out}) t(o)), range(8) u(i)
+            WHERE i >= trunc(c - wide + 0.5) AND i < trunc(c + wide + 0.5)))"""
+
+    rounded = "CAST(least(255, greatest(0, (2097152 + sum(v * k)) >> 22)) AS INTEGER)"
+    return f"""SELECT vec_id, '{name}' AS size, CAST(a.o AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {rounded.replace('sum(v * k)', 'CAST(sum(v * k) AS BIGINT)')} AS v FROM (
+    SELECT vec_id, y, a.o AS x, {rounded.replace('sum(v * k)', 'CAST(sum(v * k) AS BIGINT)')} AS v FROM px JOIN {axis(w)} a ON px.x = a.i GROUP BY vec_id, y, a.o) r
+JOIN {axis(h)} a ON r.y = a.i GROUP BY vec_id, a.o, x"""
+
+
+ORACLE["resize_bytes"] = f"""WITH px AS (
+    SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 128))) AS BIGINT) AS v
+    FROM embeddings, range(64) t(i))
+{_bytes_sql("large", 15, 13)}
+UNION ALL {_bytes_sql("small", 5, 3)}"""
+
 ORACLE["normalize_bands"] = f"""SELECT vec_id, CAST(b AS INTEGER) AS band, CAST(i AS INTEGER) AS i,
        round((CAST(embedding[i + 1] AS DOUBLE) / 255.0 - {_DLIST(_MEAN)}[b + 1]) / {_DLIST(_STD)}[b + 1], 6) AS v
 FROM embeddings, range(3) tb(b), range(64) ti(i)"""
@@ -308,6 +334,29 @@ ORACLE["train_heads"] = _train_sql()
 ORACLE["duplicate_images"] = """SELECT left(s_name, length(s_name) - 2) AS img_name, count(*) AS rasters
 FROM supplier GROUP BY 1 HAVING count(*) > 1"""
 
+def _epochs_sql(size: int, epochs: int, seed: int) -> str:
+    """Six Feistel rounds per step, written out; places outside 0 to n - 1 walk on by recursion."""
+    def mixed(x: str, i: int) -> str:
+        key = f"(({(seed * 1_000_003 + i * 104_729) % 2_147_483_647} + epoch * 7919) % 2147483647)"
+        y = f"(({x} * 48271 + {key}) % 2147483647)"
+        return f"(({y} * {y} % 2147483647 + {y} * 16807 + {key}) % 2147483647)"
+
+    ctes = []
+    for i in range(6):
+        l, r = (f"(l + {mixed('r', i)}) % a", "r") if i % 2 == 0 else ("l", f"(r + {mixed('l', i)}) % b")
+        ctes.append(f"(SELECT vec_id, epoch, step, n, a, b, {l} AS l, {r} AS r FROM ")
+    network = "".join(reversed(ctes)) + "(SELECT vec_id, epoch, step + 1 AS step, n, a, b, x % a AS l, x // a AS r FROM {src})" + ")" * 6
+    return f"""WITH RECURSIVE c AS (SELECT count(*) AS n FROM embeddings),
+d AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM c),
+s AS (SELECT vec_id, CAST(e AS INTEGER) AS epoch, 0 AS step, n, a, (n + a - 1) // a AS b, row_number() OVER (PARTITION BY e ORDER BY vec_id) - 1 AS x
+    FROM embeddings, d, range({epochs}) t(e)),
+w AS (SELECT * FROM s
+    UNION ALL SELECT vec_id, epoch, step, n, a, b, r * a + l AS x FROM {network.format(src='(SELECT * FROM w WHERE step = 0 OR x >= n)')})
+SELECT vec_id, epoch, x AS pos, x // {size} AS batch FROM w WHERE step > 0 AND x < n"""
+
+
+ORACLE["shuffle_epochs"] = _epochs_sql(32, 3, 7)
+
 ORACLE["shuffle_batches"] = """SELECT vec_id, pos, pos // 32 AS batch
 FROM (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) - 1 AS pos FROM embeddings)"""
 

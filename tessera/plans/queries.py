@@ -199,6 +199,19 @@ def q_resize_bilinear(spark, sf):
     )
 
 
+@query
+def q_resize_bytes(spark, sf):
+    # 8 x 8 bytes, enlarged to 15 x 13 and shrunk to 5 x 3
+    v = D.vectors(spark, sf)
+    byte = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 128))).cast("int"))
+    parts = []
+    for name, h, w in (("large", 15, 13), ("small", 5, 3)):
+        out = IM.resize_bytes(v.select("vec_id", byte.alias("img")), "img", 8, 8, h, w)
+        px = out.select("vec_id", F.posexplode_outer("img").alias("p", "v")).where(F.col("p").isNotNull())
+        parts.append(px.select("vec_id", F.lit(name).alias("size"), F.floor(F.col("p") / w).cast("int").alias("y"), (F.col("p") % w).cast("int").alias("x"), "v"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def q_normalize_bands(spark, sf):
     v = D.vectors(spark, sf)
@@ -352,6 +365,12 @@ def q_shuffle_batches(spark, sf):
     return out.select("vec_id", "pos", "batch")
 
 
+@query
+def q_shuffle_epochs(spark, sf):
+    # three epochs in batches of 32
+    return B.shuffle_epochs(D.vectors(spark, sf).select("vec_id"), 32, 3, ["vec_id"], seed=7)
+
+
 # --- pair encoding -----------------------------------------------------------------------
 def _encode(spark, sf, max_length):
     conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text", spread_out=True)
@@ -396,6 +415,15 @@ def q_fit_pixels(spark, sf):
     return fits.select("id", "code", "n", (F.sum("correct").over(everything) > F.max("n").over(everything)).alias("beats_majority"))
 
 
+@query
+def q_fit_forest(spark, sf):
+    # pixels of every fifth image are held out
+    px = ML.pixel_features(D.masks(spark, sf))
+    held = F.substring("img_name", -1, 1).isin("0", "5")
+    fits = ML.compare_pixel_models(px.where(~held), px.where(held))
+    return fits.select("model", "n", "majority", (F.col("correct") > F.col("majority")).alias("beats_majority"))
+
+
 @query
 def q_vqa_examples(spark, sf):
     ex = X.build_examples(
