@@ -63,3 +63,20 @@ def encode(arr: np.ndarray) -> bytes:
         out += struct.pack("<HHI", tag, typ, count) + (struct.pack("<HH", val, 0) if typ == 3 else struct.pack("<I", val))
     out += struct.pack("<I", 0)
     return bytes(out)
+
+
+def decode_window(f, side: int | None) -> np.ndarray:
+    """The upper left window of an uncompressed one-strip file: reads its tags and its first rows alone."""
+    head = f.read(8)
+    (ifd,) = struct.unpack("<I", head[4:])
+    f.seek(ifd)
+    (n,) = struct.unpack("<H", f.read(2))
+    entries = [struct.unpack("<HHII", f.read(12)) for _ in range(n)]
+    tags = {t: v & 0xFFFF if typ == 3 else v for t, typ, _, v in entries}
+    kind = {1: "u", 2: "i", 3: "f"}[tags[339]]
+    dtype = np.dtype(f"<{kind}{tags[258] // 8}")
+    w, bands = tags[256], tags[277]
+    rows = tags[257] if side is None else min(side, tags[257])
+    f.seek(tags[273])
+    a = np.frombuffer(f.read(rows * w * bands * dtype.itemsize), dtype=dtype)
+    return a.reshape((rows, w, bands) if bands > 1 else (rows, w))
