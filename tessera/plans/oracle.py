@@ -331,6 +331,34 @@ w{k + 1} AS (SELECT w.head, slots, a, w.j, list(w[i] * (1.0 - 0.01 * 0.01) - 0.0
 
 ORACLE["train_heads"] = _train_sql()
 
+def _predicted_sql(side: int = 120, n_in: int = 8) -> str:
+    """Per pixel the 44 classes' values in a list, class c from the 64 values rotated by c; the first maximum's code counts."""
+    def tap(y: str, x: str, c: int) -> str:
+        return f"e[{y} * {n_in} + {x} + {c + 1}]"
+
+    def value(c: int) -> str:
+        top = f"(1.0 - wx) * {tap('y0', 'x0', c)} + wx * {tap('y0', 'x1', c)}"
+        bottom = f"(1.0 - wx) * {tap('y1', 'x0', c)} + wx * {tap('y1', 'x1', c)}"
+        return f"(1.0 - wy) * ({top}) + wy * ({bottom})"
+
+    return with_(
+        f"""{CLASSES_CTE},
+{IDS_CTE},
+ax AS (SELECT o, i, least(i + 1, {n_in - 1}) AS j, s - i AS w FROM (SELECT o, s, CAST(floor(s) AS BIGINT) AS i
+    FROM (SELECT o, greatest((o + 0.5::DOUBLE) * {n_in} / {side} - 0.5, 0.0) AS s FROM range({side}) t(o)))),
+px AS (SELECT y.o AS oy, x.o AS ox, y.i AS y0, y.j AS y1, y.w AS wy, x.i AS x0, x.j AS x1, x.w AS wx FROM ax y, ax x),
+img AS (SELECT CAST(vec_id AS VARCHAR) AS img_name, list_transform(list_concat(embedding, embedding[1:44]), lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+best AS (SELECT img_name, oy, ox, list_position(z, list_max(z)) - 1 AS id FROM (SELECT img_name, oy, ox, [{', '.join(value(c) for c in range(44))}] AS z FROM img, px)),
+cnt AS (SELECT img_name, CAST((oy // 30) * 4 + ox // 30 AS INTEGER) AS grid_ord, code, count(*) AS n FROM best JOIN ids USING (id) GROUP BY ALL),
+dense AS (SELECT img_name, CAST(g AS INTEGER) AS grid_ord, code, name, class_ord FROM img, range(16) tg(g), classes)""",
+        f"""SELECT d.img_name, {CELL_SQL.format(g='d.grid_ord')} AS grid, d.grid_ord, d.name AS class, CAST(d.class_ord AS INTEGER) AS class_ord,
+       CAST(CASE WHEN coalesce(c.n, 0) < 30 THEN 0 ELSE c.n END * 100 AS BIGINT) AS value
+FROM dense d LEFT JOIN cnt c ON c.img_name = d.img_name AND c.grid_ord = d.grid_ord AND c.code = d.code""",
+    )
+
+
+ORACLE["predicted_raster"] = _predicted_sql()
+
 ORACLE["duplicate_images"] = """SELECT left(s_name, length(s_name) - 2) AS img_name, count(*) AS rasters
 FROM supplier GROUP BY 1 HAVING count(*) > 1"""
 
