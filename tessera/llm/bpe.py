@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,10 +26,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import Recent, read, slices
 
-#: Words and stretches of text that a Python worker remembers; a cache starts anew when it is full.
+#: Words and stretches of text that a Python worker remembers.
 CACHE_WORDS, CACHE_STRETCHES = 100_000, 250_000
+#: What often follows a word without a space.
+STOPS = (".", ",")
 
 
 def byte_symbols() -> list[str]:
@@ -55,10 +58,13 @@ class Bpe:
         words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # \s of the tokenizer file means Unicode white space; so it does in the regex module
         self.words = regex.compile(words)
+        # letters are one word, and a full stop or comma after them another, as far as the pattern goes
+        letters = "".join(chr(c) for c in range(0x250) if chr(c).isalpha())
+        self.lone = all(self.words.findall(x + s) == [x, s] for x in ("a", letters, letters[::-1]) for s in STOPS)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self._build()
-        self.fits: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.n_fits = 0
+        self.known = Recent(self.word, CACHE_WORDS)
 
     # --- tokens as strings of symbols -------------------------------------------------
     def symbols(self, token: str) -> list[str]:
@@ -93,10 +99,18 @@ class Bpe:
                 fail[to] = go[f].get(c, 0)
                 order.append(to)
         self.length = {i: len(self.symbols(t)) for t, i in self.vocab.items()}
-        ends: list[tuple[tuple[int, int], ...]] = [()] * len(go)  # tokens that end here and their lengths, longest first
+        # how each token is made, and its place in the order of making: symbols first, then merges by rank
+        self.split = {to: pair for pair, (_, to) in self.rank.items()}
+        self.order = dict.fromkeys(self.vocab.values(), -1) | {to: r for r, to in self.rank.values()}
+        # taking tokens apart needs one way of making each, and tokens that their own symbols give
+        self.one_way = len(self.split) == len(self.rank) and all(self.apart(a, b, r) for (a, b), (r, _) in self.rank.items())
+        # tokens that end here, longest first: their lengths, and which tokens they are known to fit after
+        ends: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()] * len(go)
+        self.fits: dict[int, dict[int, bool]] = {}
         for node in order:
-            ends[node] = (((at[node], self.length[at[node]]),) if at[node] >= 0 else ()) + ends[fail[node]]
-        self.go, self.fail, self.ends, self.steps = go, fail, ends, {}
+            i = at[node]
+            ends[node] = (((i, self.length[i], self.fits.setdefault(i, {})),) if i >= 0 else ()) + ends[fail[node]]
+        self.go, self.fail, self.ends, self.steps = go, fail, ends, [{} for _ in go]
 
     # --- pair compatibility -----------------------------------------------------------
     def merged(self, ids: list[int]) -> list[int]:
@@ -116,13 +130,38 @@ class Bpe:
             ids = out
         return ids
 
+    def apart(self, left: int, right: int, limit: float = math.inf) -> bool:
+        """Whether no merge of a rank below ``limit`` crosses the border of two tokens while they are made.
+
+        The merges are undone at the border, the latest first.  The two tokens there lay side by side until
+        the merge just undone, so their own merge, if it comes before that one, would have crossed the border; of one
+        rank, the left of two merges comes first.
+        """
+        rank, order, split = self.rank, self.order, self.split
+        while True:
+            crossing = rank.get((left, right))
+            if crossing is not None and crossing[0] < limit:
+                return False
+            if order[left] > order[right]:
+                limit, left = order[left], split[left][1]
+            elif right in split:
+                limit, right = order[right] + 1, split[right][0]
+            else:
+                return True
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' symbols together gives just these two tokens."""
-        spelled = self.symbols(self.names[left]) + self.symbols(self.names[right])
-        got = self.merged([self.vocab[s] for s in spelled]) == [left, right]
-        if len(self.fits) >= 4 * CACHE_WORDS:
-            self.fits.clear()
-        self.fits[left << 20 | right] = got
+        if self.one_way:
+            got = self.apart(left, right)
+        else:
+            spelled = self.symbols(self.names[left]) + self.symbols(self.names[right])
+            got = self.merged([self.vocab[s] for s in spelled]) == [left, right]
+        if self.n_fits >= 4 * CACHE_WORDS:
+            for known in self.fits.values():
+                known.clear()
+            self.n_fits = 0
+        self.n_fits += 1
+        self.fits.setdefault(right, {})[left] = got
         return got
 
     # --- encoding ---------------------------------------------------------------------
@@ -132,22 +171,22 @@ class Bpe:
         to = node
         while to and symbol not in self.go[to]:
             to = self.fail[to]
-        to = self.steps[node << 9 | c] = self.go[to].get(symbol, 0)
+        to = self.steps[node][c] = self.go[to].get(symbol, 0)
         return to
 
     def word(self, word: str) -> tuple[int, ...]:
         raw = [*word.encode()]
         raw[-1] += 256 if self.end else 0
-        last, node, steps, fits, ends = [-1], 0, self.steps, self.fits, self.ends
+        last, node, steps, ends = [-1], 0, self.steps, self.ends
         for n, c in enumerate(raw, 1):  # last[n]: the token that ends the encoding of the first n symbols
-            to = steps.get(node << 9 | c)
+            to = steps[node].get(c)
             node = self.step(node, c) if to is None else to
-            for token, size in ends[node]:
+            for token, size, fits in ends[node]:
                 if size == n:
                     last.append(token)
                     break
                 left = last[n - size]
-                fit = fits.get(left << 20 | token)
+                fit = fits.get(left)
                 if self.compatible(left, token) if fit is None else fit:
                     last.append(token)
                     break
@@ -157,20 +196,26 @@ class Bpe:
             n -= self.length[last[n]]
         return tuple(out[::-1])
 
+    def plain(self, stretch: str) -> str | None:
+        """The stretch in lower case if it is a single word of Latin letters and no special token, else None."""
+        low = stretch.lower()
+        if low.isalpha() and (low.isascii() or (max(low) < "\u0250" and unicodedata.is_normalized("NFC", stretch))) and stretch not in self.special:
+            return low
+        return None
+
     def chunk(self, chunk: str) -> list[int]:
-        """The ids of a stretch of text without cache: special tokens first, then word by word."""
+        """The ids of a stretch of text: special tokens first, then word by word."""
+        stop = chunk[-1:] if chunk[-1:] in STOPS else ""
+        word = self.plain(chunk[: len(chunk) - len(stop)])
+        if word and self.lone:
+            return [*self.known[word], *(self.known[stop] if stop else ())]
         out: list[int] = []
         for part in self.cut.split(chunk) if self.cut else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
             else:
                 for w in self.words.findall(lower(unicodedata.normalize("NFC", part))):
-                    ids = self.cache.get(w)
-                    if ids is None:
-                        if len(self.cache) >= CACHE_WORDS:
-                            self.cache.clear()
-                        ids = self.cache[w] = self.word(w)
-                    out += ids
+                    out += self.known[w]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -203,21 +248,15 @@ class Worker:
 
     def __init__(self, spec: str):
         self.bpe = Bpe(json.loads(spec))
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known = Recent(self.part, CACHE_STRETCHES)
+
+    def part(self, stretch: str) -> tuple[int, str, str] | tuple:
+        ids = self.bpe.chunk(stretch)
+        return (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)) if ids else ()
 
     def parts(self, text: str | None) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded) of each stretch that has ids."""
-        known, out = self.known, []
-        for c in stretches(text or ""):
-            got = known.get(c)
-            if got is None:
-                ids = self.bpe.chunk(c)
-                if len(known) >= CACHE_STRETCHES:
-                    known.clear()
-                got = known[c] = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
-            if got[0]:
-                out.append(got)
-        return out
+        return [p for p in map(self.known.__getitem__, stretches(text or "")) if p]
 
 
 _WORKERS: dict[str, Worker] = {}

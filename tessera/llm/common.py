@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -163,6 +163,24 @@ def running(df: DataFrame, groups: list[str], order: list[str], value: Column, o
     return joined.select(*df.columns, (F.col("_l") + F.col("_base")).alias(out))
 
 
+class Recent(dict):
+    """What ``make`` gives for recent keys, ``limit`` of them at most: when half of that is full the older half goes."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the ``text`` column of each holds about ``limit`` bytes, one row at least."""
     for b in batches:

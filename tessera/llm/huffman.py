@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import Scratch, read, slices
+from .common import Recent, Scratch, read, slices
 
 END, MAX_BITS, STEP, BLOCK_IDS = 1, 16, 256, 1 << 16
 MAGIC = b"THB1"
@@ -156,39 +156,26 @@ class Encoder:
         self.model, self.symbols, self.dtype = self.whole.model, byte_symbols(), dtype
         self.code = np.dtype(dtype).char
         self.stops = {c: self.chain(c) for c in ".,"}
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = Recent(self.word, CACHE), Recent(self.stretch, CACHE)
 
     def chain(self, stretch: str) -> bytes:
         return array(self.code, self.whole.encode(stretch, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def stretch(self, c: str) -> bytes:
         word, stop = (c[:-1], self.stops[c[-1]]) if c[-1:] in self.stops else (c, b"")
         low = word.lower()
-        if not (low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", word)):
-            return self.chain(c) if c else b""
-        word = low
-        ids = self.words.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
-            ids = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = ids
-        return ids + stop
+        if low.isalpha() and (low.isascii() or (max(low) < "\u0250" and unicodedata.is_normalized("NFC", word))):
+            return self.words[low] + stop
+        return self.chain(c) if c else b""
 
     def text(self, text: str | None) -> bytes:
         """The text's ids in little-endian bytes, END appended."""
-        known, out = self.known, []
-        for c in (text or "").replace("\n", " ").split(" "):
-            ids = known.get(c)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[c] = self.stretch(c)
-            out.append(ids)
-        out.append(np.array([END], self.dtype).tobytes())
-        return b"".join(out)
+        own = map(self.known.__getitem__, (text or "").replace("\n", " ").split(" "))
+        return b"".join([*own, np.array([END], self.dtype).tobytes()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
