@@ -1,11 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary text, are learnt from labelled rows.  Both use
-absolute discounting, with continuation counts (distinct words before a word) at the lower
-order, and both end in the same backoff counts, pooled over the classes.  A class keeps counts
-of its own only for expressions whose documents speak for a difference: those with a
-likelihood-ratio statistic of at least 1.5 ln(number of expressions), which chance alone rarely
-reaches in any of them; everything rarer is left to the shared counts.  A text's
+Two bigram models, of toxic and of ordinary text, are learnt from labelled rows:
+
+    p_y(w | v) = own(n_y(v, w)) / n_y(v) + l_y(v) * p_y(w)       pairs
+    p_y(w)     = own(c_y(w)) / C_y       + l_y    * shared(w)    words, by continuation counts
+    shared(w)  = (c(w) - D) / C          + D * V / C / (V + 1)   counts pooled over the classes
+
+own(n) is n less the absolute discount D for expressions that keep counts of their own, and 0 for all others;
+the weights l are what is left to one.  c(w) counts the distinct words before w, V the words; a word
+that was never seen has the last term of shared alone.  So each class sums to one.
+
+An expression keeps counts of its own only if its documents speak for a difference between the classes: its likelihood-ratio statistic
+(of a pair: of the distinct words before it, given its second word) is at least 1.5 ln(number of expressions), which chance alone rarely reaches in
+any of them.  Everything rarer is smoothed into the shared counts, where both classes have it alike.
+Without this gate, with own counts for all expressions, the models tell little: most words of these texts are rare, and of
+thousands of chance differences a text's sum is noise (README has figures).  A text's
 log-likelihoods are compared per word, and a logistic regression on the length-normalised
 differences turns them into a probability.
 
@@ -38,6 +47,8 @@ from .common import Scratch, fixed, fold, located, read, slices, without
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 20_000
 DISCOUNT = 0.75
+#: Times ln(number of expressions): the statistic from which on an expression keeps counts of its own.
+GATE = 1.5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,24 +64,30 @@ class Model:
     rest: float = 0.0  # of a word without own counts
     word: dict[str, float] = field(default_factory=dict)
     pair: dict[tuple[str, str], float] = field(default_factory=dict)
-    after: dict[str, dict] = field(default_factory=dict)  # context with own pairs: (toxic, ordinary) backoff weights
-    prob: dict[str, tuple[float, float]] = field(default_factory=dict)  # lower order, of words with own counts
+    after: dict[str, float] = field(default_factory=dict)  # contexts with own pairs: of their weights l
     weights: np.ndarray | None = None  # of the calibration: bias and design columns
     prior: float = 0.0
+    # (ordinary, toxic) of the terms above, for looking at the models
+    own: dict[str, tuple[float, float]] = field(default_factory=dict)
+    left: tuple[float, float] = (1.0, 1.0)
+    own_pair: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
+    left_after: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def probability(self, y: int, v: str, w: str, shared: float) -> float:
+        """p_y(w | v) of a word with ``shared`` probability."""
+        low = self.own.get(w, (0.0, 0.0))[y] + self.left[y] * shared
+        return self.own_pair.get((v, w), (0.0, 0.0))[y] + self.left_after.get(v, (1.0, 1.0))[y] * low
 
     def difference(self, words: list[str]) -> float:
         get, rest = self.word.get, self.rest
         total = sum([get(w, rest) for w in words])
         if self.after:
-            for v, w in zip(words, words[1:]):
+            for v, w in zip(["", *words], words):
                 if v in self.after:
-                    total += self.ratio_after(v, w) - get(w, rest)
+                    got = self.pair.get((v, w))
+                    total += self.after[v] if got is None else got - get(w, rest)
         return total
 
-    def ratio_after(self, v: str, w: str) -> float:
-        got = self.pair.get((v, w))
-        return self.after[v]["rest"] + self.word.get(w, self.rest) if got is None else got
-
     def score(self, difference: np.ndarray, n: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(n), self.prior)
@@ -108,31 +125,34 @@ def statistic(a: Column, n: Column, b: Column, m: Column) -> Column:
 
 # --- fitting --------------------------------------------------------------------------
 def pair_counts(labelled: DataFrame) -> DataFrame:
-    """toxic, v, w, n, docs: how often word w follows word v ("" at the start), and in how many documents.
+    """v, w, n0, n1, docs0, docs1, by class (ordinary, toxic): how often word w follows word v ("" at the start), and after how many distinct words.
 
-    v null: the word w by itself.
+    v null: the word w by itself, and in how many documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["toxic", "v", "w", "n", "docs"]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        names = ["toxic", "u", "v", "w", "n", "docs"]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for b in slices(batches, "text", 1 << 19):
             n: Counter = Counter()
             docs: Counter = Counter()
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 w = words_of(text)
-                own = Counter(zip([""] + w, w))
-                own.update((None, x) for x in w)
-                for (u, x), k in own.items():
-                    n[toxic, u, x] += k
-                    docs[toxic, u, x] += 1
-            cols = [*zip(*n)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, n.values(), docs.values()], kinds)], names)
-
-    rows = labelled.select("toxic", "text").mapInArrow(run, "toxic int, v string, w string, n bigint, docs bigint")
+                n.update((toxic, u, v, x) for u, v, x in zip(["", "", *w], ["", *w], w))
+                for x, k in Counter(w).items():
+                    n[toxic, None, None, x] += k
+                    docs[toxic, x] += 1
+            cols = [*zip(*n)] or [[], [], [], []]
+            own = [docs[y, x] if v is None else 0 for y, _, v, x in n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, n.values(), own], kinds)], names)
+
+    rows = labelled.select("toxic", "text").mapInArrow(run, "toxic int, u string, v string, w string, n bigint, docs bigint")
     t = F.col("toxic") == 1
     both = [F.sum(F.when(t if y else ~t, F.col(c)).otherwise(0)).alias(f"{c}{y}") for c in ("n", "docs") for y in (0, 1)]
-    return rows.groupBy("v", "w").agg(*both)
+    triples = rows.groupBy("u", "v", "w").agg(*both)
+    # copies of one passage have the same word before a pair: however many, they speak once
+    spoken = [F.sum(F.when(F.col("v").isNull(), F.col(f"docs{y}")).otherwise((F.col(f"n{y}") > 0).cast("long"))).alias(f"docs{y}") for y in (0, 1)]
+    return triples.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *spoken)
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> Model:
@@ -167,42 +187,46 @@ def learn(model: Model, counts: DataFrame, ordinary: int, toxic: int) -> None:
     sums = cont.agg(F.sum("c0"), F.sum("c1"), F.sum("shared"), F.count(F.lit(1))).first()
     if not sums[0] or not sums[1]:
         return
-    limit = 1.5 * math.log(max(2, sums[3]))
+    total, n_words = sums[2], sums[3]
+    limit = GATE * math.log(max(2, n_words))
     g = statistic(F.col("docs1"), F.lit(float(toxic)), F.col("docs0"), F.lit(float(ordinary)))
     own = singles.join(cont, "w").where(g >= limit).select("w", "c0", "c1", "shared").collect()  # the few expressions that differ
-    kept = [[max(r["c0"] - DISCOUNT, 0) / sums[0] for r in own], [max(r["c1"] - DISCOUNT, 0) / sums[1] for r in own]]
-    lam = [1 - sum(kept[0]), 1 - sum(kept[1])]
-    # the mass of the kept words stays with them, the rest goes to the shared counts
-    model.rest = math.log(lam[1] / lam[0])
-    for r, o, t in zip(own, *kept):
-        share = r["shared"] / sums[2]
-        model.prob[r["w"]] = (DISCOUNT * share + o, DISCOUNT * share + t)
-        model.word[r["w"]] = math.log(model.prob[r["w"]][1] / model.prob[r["w"]][0])
-    # higher order: pairs that tell more than their second word does
+    model.own = {r["w"]: tuple(max(r[f"c{y}"] - DISCOUNT, 0) / sums[y] for y in (0, 1)) for r in own}
+    model.left = tuple(1 - sum(p[y] for p in model.own.values()) for y in (0, 1))
+    model.rest = math.log(model.left[1] / model.left[0])
+    low = lambda w, c: [model.own.get(w, (0.0, 0.0))[y] + model.left[y] * shared_of(c, total, n_words) for y in (0, 1)]
+    for r in own:
+        p = low(r["w"], r["shared"])
+        model.word[r["w"]] = math.log(p[1] / p[0])
+    # higher order: pairs that tell more than their second word does (one that only one class has tells all by itself)
     n_pairs = pairs.count()
-    word = singles.select(F.col("w").alias("x"), F.col("docs0").cast("double").alias("d0"), F.col("docs1").cast("double").alias("d1"))
-    shown = pairs.where("docs0 + docs1 > 3").join(word, F.col("w") == F.col("x")).where("d0 > 0 AND d1 > 0")
+    word = pairs.groupBy(F.col("w").alias("x")).agg(F.sum("docs0").cast("double").alias("d0"), F.sum("docs1").cast("double").alias("d1"))
+    shown = pairs.join(word.where("d0 > 0 AND d1 > 0"), F.col("w") == F.col("x"))
     g2 = statistic(F.col("docs1"), F.col("d1"), F.col("docs0"), F.col("d0"))
-    better = shown.where(g2 >= 2 * math.log(max(2, n_pairs))).select("v", "w", "n0", "n1").collect()
-    context = {}
-    if better:
-        names = sorted({r["v"] for r in better})
-        sums_of = pairs.where(F.col("v").isin(names)).groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        context = {r["v"]: (r["n0"], r["n1"]) for r in sums_of.collect()}
-    mass: dict[str, list[float]] = {}
+    better = shown.where(g2 >= GATE * math.log(max(2, n_pairs))).join(cont.select("w", "shared"), "w").select("v", "w", "n0", "n1", "shared").collect()
+    names = following(pairs, {r["v"] for r in better})
+    context = {r["v"]: (r["n0"], r["n1"]) for r in names.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
     for r in better:
         n = context[r["v"]]
-        if n[0] and n[1]:
-            own_mass = mass.setdefault(r["v"], [0.0, 0.0])
-            for y in (0, 1):
-                own_mass[y] += max(r[f"n{y}"] - DISCOUNT, 0) / n[y]
+        mass = tuple(max(r[f"n{y}"] - DISCOUNT, 0) / n[y] if n[y] else 0.0 for y in (0, 1))
+        model.own_pair[r["v"], r["w"]] = mass
+        left = model.left_after.get(r["v"], (1.0, 1.0))
+        model.left_after[r["v"]] = (left[0] - mass[0], left[1] - mass[1])
+    model.after = {v: math.log(left[1] / left[0]) for v, left in model.left_after.items()}
     for r in better:
-        if r["v"] in mass:
-            n, left = context[r["v"]], [max(1 - m, 1e-6) for m in mass[r["v"]]]
-            low = model.prob.get(r["w"], (1e-6, 1e-6))
-            p = [max(r[f"n{y}"] - DISCOUNT, 0) / n[y] + left[y] * low[y] + 1e-9 for y in (0, 1)]
-            model.pair[r["v"], r["w"]] = math.log(p[1] / p[0])
-            model.after[r["v"]] = {"rest": math.log(left[1] / left[0])}
+        p = [m + q * x for m, q, x in zip(model.own_pair[r["v"], r["w"]], model.left_after[r["v"]], low(r["w"], r["shared"]))]
+        model.pair[r["v"], r["w"]] = math.log(p[1] / p[0])
+
+
+def shared_of(count: int, total: int, n_words: int) -> float:
+    """The shared probability of a word with ``count`` distinct words before it (0: never seen)."""
+    return max(count - DISCOUNT, 0) / total + DISCOUNT * n_words / total / (n_words + 1)
+
+
+def following(pairs: DataFrame, names: set[str]) -> DataFrame:
+    """The pairs after the few contexts ``names``."""
+    table = pairs.sparkSession.createDataFrame([(v,) for v in sorted(names)], "name string")
+    return pairs.join(F.broadcast(table), F.col("v") == F.col("name"), "left_semi")
 
 
 # --- scoring --------------------------------------------------------------------------

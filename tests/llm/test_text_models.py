@@ -114,16 +114,111 @@ def test_held_out_documents_are_told_apart(spark, docs_of, scratch):
     assert kept.columns == docs.columns and 9002 not in {r["doc_id"] for r in kept.collect()}
 
 
+def slow_models(texts, labels):
+    """The two models by the definition: (gate, own terms, left weights, p(y, v, w), words) from plain counts."""
+    import math
+    from collections import Counter, defaultdict
+
+    words = [toxicity.words_of(t) for t in texts]
+    n, before, docs = [Counter(), Counter()], [defaultdict(set), defaultdict(set)], [Counter(), Counter()]
+    for own, y in zip(words, labels):
+        for u, v, w in zip(["", "", *own], ["", *own], own):
+            n[y][v, w] += 1
+            before[y][v, w].add(u)
+        docs[y].update(set(own))
+    sizes = [labels.count(0), labels.count(1)]
+    pairs = set(n[0]) | set(n[1])
+    vocabulary = sorted({w for _, w in pairs})
+    cont = [Counter(w for _, w in n[y]) for y in (0, 1)]
+    shared = Counter(w for _, w in pairs)
+    total, C = sum(shared.values()), [sum(c.values()) for c in cont]
+    D = toxicity.DISCOUNT
+
+    def g2(a, na, b, nb):
+        def part(k, of, p):
+            return (k * math.log(p) if k and p else 0.0) + ((of - k) * math.log(1 - p) if of > k and p < 1 else 0.0)
+
+        p = (a + b) / (na + nb)
+        return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
+
+    share = lambda w: max(shared[w] - D, 0) / total + D * len(vocabulary) / total / (len(vocabulary) + 1)
+    limit = toxicity.GATE * math.log(len(vocabulary))
+    kept = [w for w in vocabulary if g2(docs[1][w], sizes[1], docs[0][w], sizes[0]) >= limit]
+    own = {w: [max(cont[y][w] - D, 0) / C[y] for y in (0, 1)] for w in kept}
+    left = [1 - sum(p[y] for p in own.values()) for y in (0, 1)]
+    spoken = [{p: len(us) for p, us in before[y].items()} for y in (0, 1)]
+    of = [Counter() for _ in (0, 1)]
+    for y in (0, 1):
+        for (_, w), k in spoken[y].items():
+            of[y][w] += k
+    limit = toxicity.GATE * math.log(len(pairs))
+    told = [p for p in pairs if of[0][p[1]] and of[1][p[1]] and g2(spoken[1].get(p, 0), of[1][p[1]], spoken[0].get(p, 0), of[0][p[1]]) >= limit]
+    after = [Counter(), Counter()]
+    for y in (0, 1):
+        for (v, _), k in n[y].items():
+            after[y][v] += k
+    own_pair = {p: [max(n[y][p] - D, 0) / after[y][p[0]] if after[y][p[0]] else 0.0 for y in (0, 1)] for p in told}
+    left_after = {v: [1 - sum(m[y] for (x, _), m in own_pair.items() if x == v) for y in (0, 1)] for v, _ in told}
+
+    def p(y, v, w):
+        low = own.get(w, [0, 0])[y] + left[y] * share(w)
+        return own_pair.get((v, w), [0, 0])[y] + left_after.get(v, [1, 1])[y] * low
+
+    return kept, told, p, share, vocabulary
+
+
+def told_corpus():
+    """Toxic words, and a word that is toxic only after another."""
+    rows, labels = corpus(400)
+    rng = random.Random(1)
+    out = []
+    for (_, text), (_, y) in zip(rows, labels):
+        words = text.split()
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(words))
+            words[at:at] = ["you", "lamp"] if y else [rng.choice(["the", "a"]), "lamp"]
+            words.insert(rng.randrange(len(words)), "you")
+        out.append(" ".join(words))
+    return out, [y for _, y in labels]
+
+
 def test_probabilities_of_the_lower_order_sum_to_one(spark, docs_of, scratch):
-    """The log-ratio of words is that of two distributions: kept words and what is left sum to one in each."""
+    """Of both orders: over the vocabulary and the word that was never seen, after every kind of context, in each class."""
+    texts, labels = told_corpus()
+    df = spark.createDataFrame(list(zip(texts, labels)), "text string, toxic int")
     model = toxicity.Model()
-    rows, labels = corpus(200)
-    df = spark.createDataFrame([(t, y) for (_, t), (_, y) in zip(rows, labels)], "text string, toxic int")
-    toxicity.learn(model, toxicity.pair_counts(df), sum(1 - y for _, y in labels), sum(y for _, y in labels))
+    toxicity.learn(model, scratch.table(toxicity.pair_counts(df), "counts"), labels.count(0), labels.count(1))
+    kept, told, p, share, vocabulary = slow_models(texts, labels)
     assert {"grrr", "bah", "ugh"} <= set(model.word) and all(model.word[w] > 1 for w in ("grrr", "bah", "ugh"))
-    own = [sum(p[y] for p in model.prob.values()) for y in (0, 1)]
-    shared = toxicity.DISCOUNT  # scale of the backoff part, see learn()
-    assert all(0 < p < 1 + shared for p in own) and abs(model.rest) < 1
+    assert set(model.own) == set(kept) and set(model.pair) == set(told) and ("you", "lamp") in model.pair
+    for y in (0, 1):
+        for v in ("", "you", "grrr", "never seen"):
+            each = [model.probability(y, v, w, share(w)) for w in [*vocabulary, "never seen"]]
+            assert min(each) > 0 and abs(sum(each) - 1) < 1e-9
+            assert all(abs(q - p(y, v, w)) < 1e-12 for q, w in zip(each, vocabulary))
+
+
+def test_differences_equal_brute_force(spark, docs_of, scratch):
+    import math
+
+    texts, labels = told_corpus()
+    model = toxicity.Model()
+    df = spark.createDataFrame(list(zip(texts, labels)), "text string, toxic int")
+    toxicity.learn(model, scratch.table(toxicity.pair_counts(df), "counts"), labels.count(0), labels.count(1))
+    p = slow_models(texts, labels)[2]
+    for text in [*texts[:60], "", "you lamp lamp", "nothing of this was seen", "grrr you lamp"]:
+        w = toxicity.words_of(text)
+        want = sum(math.log(p(1, v, x) / p(0, v, x)) for v, x in zip(["", *w], w))
+        assert abs(model.difference(w) - want) < 1e-9
+
+
+def test_copies_of_a_passage_speak_once(spark, docs_of, scratch):
+    """A pair in many copies of one toxic text isn't told apart by their number."""
+    rows, labels = corpus(300)
+    texts = [t for _, t in rows] + ["wzz the same " + rows[0][1] + " quick wab brown"] * 200
+    df = spark.createDataFrame([(t, y) for t, y in zip(texts, [y for _, y in labels] + [1] * 200)], "text string, toxic int")
+    counts = toxicity.pair_counts(df).where("v = 'quick' AND w = 'wab'").first()
+    assert (counts["n1"], counts["docs1"], counts["n0"], counts["docs0"]) == (200, 1, 0, 0)
 
 
 def test_labels_of_one_kind_give_the_prior(spark, docs_of, scratch):
