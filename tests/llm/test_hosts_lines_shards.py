@@ -62,19 +62,49 @@ def test_no_pages(spark, scratch):  # noqa: F811
 
 # --- lines ----------------------------------------------------------------------------
 def slow_cut(rows, min_docs):
-    lines = [(d, n, [("<*>" if any(c in "0123456789" for c in t) else t) for t in line.split()]) for d, (_, text) in enumerate(rows) for n, line in enumerate((text or "").split("\n"))]
-    lines = [(d, n, w, (len(w), tuple(w[:3]))) for d, n, w in lines if len(w) >= 3]
+    split = [(d, n, line.split()) for d, (_, text) in enumerate(rows) for n, line in enumerate((text or "").split("\n"))]
+    split = [x for x in split if x[2]]
+    whole = defaultdict(set)
+    for d, _, w in split:
+        whole[tuple(w)].add(d)
+    gone = {(d, n) for d, n, w in split if len(whole[tuple(w)]) >= (min_docs if len(w) < 50 else 2)}
+    lines = [(d, n, ["<*>" if any(c in "0123456789" for c in t) else t for t in w]) for d, n, w in split if len(w) > 3]
+    lines = [(d, n, w[3:], (len(w), tuple(w[:3]))) for d, n, w in lines]
+    leaves = Counter(leaf for *_, leaf in lines)
     seen = Counter((leaf, i, t) for _, _, w, leaf in lines for i, t in enumerate(w) if t != "<*>")
     templates, where = {}, defaultdict(set)
     for d, n, w, leaf in lines:
-        t = [x if x != "<*>" and seen[leaf, i, x] >= min_docs else "<*>" for i, x in enumerate(w)]
+        t = tuple(x if x != "<*>" and seen[leaf, i, x] >= max(min_docs, 0.05 * leaves[leaf]) else "<*>" for i, x in enumerate(w))
         if sum(x != "<*>" for x in t) >= 0.6 * len(t):
-            templates[d, n] = " ".join(t)
-            where[" ".join(t)].add(d)
-    gone = {k for k, t in templates.items() if len(where[t]) >= min_docs}
+            templates[d, n] = (leaf, t)
+            where[leaf, t].add(d)
+    gone |= {k for k, t in templates.items() if len(where[t]) >= min_docs}
     return ["\n".join(x for n, x in enumerate((text or "").split("\n")) if (d, n) not in gone) for d, (_, text) in enumerate(rows)]
 
 
+def test_short_long_and_numbered_lines(spark, docs_of, scratch):  # noqa: F811
+    long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    said = ["He said that apples fall", "He said that rivers bend", "He said that nobody knew", "He said that winters end", "He said that music helps", "He said that doors close"]
+    rows = []
+    for i in range(8):
+        lines = ["Menu", "Read on", f"own {i}", "10:45 2024-01-02 17 3 99", said[i % 6] + (" soon" if i > 5 else "")]
+        lines += [long] * (i in (2, 5)) + [long + " more"] * (i == 3)
+        rows.append((i, "\n".join(lines)))
+    rows += [(50, "two words " * 500_000), (51, "two words " * 500_000), (52, "one\ntwo\n" * 50_000)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(docs_of(rows), scratch).collect()}
+    assert list(got[i] for i, _ in rows) == slow_cut(rows, 6)
+    for i in range(8):
+        # short and numbered lines that recur unchanged go, and a long passage of two documents; what only leads alike stays
+        assert got[i].split("\n") == [f"own {i}", said[i % 6] + (" soon" if i > 5 else "")] + [long + " more"] * (i == 3)
+    assert got[50] == got[51] == "" and got[52] == rows[-1][1]
+
+
+def test_a_line_of_a_third_of_the_documents(spark, docs_of, scratch):  # noqa: F811
+    rows = [(i, f"own line number {chr(97 + i % 26)}{i}" + ("\nshared by very many documents here" if i % 3 == 0 else "")) for i in range(900)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring(docs_of(rows), scratch).collect()}
+    assert got == {i: int(i % 3 == 0) for i in range(900)}
+
+
 def test_recurring_templates_go(spark, docs_of, scratch):  # noqa: F811
     rng = random.Random(5)
     rows = []
