@@ -22,8 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.joins import hot_keys_from_counts, skew_join
 from .common import Scratch, fixed, located, read, small, without
 
+#: Arrivals of one digest that one task of the joining back takes.
+HOT_ROWS = 500
+
 WHITE = "[\\x20\\x09-\\x0D]+"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -103,7 +107,9 @@ def exact_dedup(
     texts = content.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
     collided = scratch.table(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "collided")
 
-    keyed = arrived.join(state, "digest").select("doc_id", "_file", "_row", "sha256", "digest", "group_size", "best")
+    # the state knows the hot digests: their arrivals are salted
+    hot = hot_keys_from_counts(state, "digest", "group_size", HOT_ROWS)
+    keyed = skew_join(arrived, state, "digest", hot=hot).select("doc_id", "_file", "_row", "sha256", "digest", "group_size", "best")
     if not collided.isEmpty():  # different texts under one digest: the text itself is the key
         own = rows.withColumn("digest", digest(F.col("norm"))).join(collided, "digest", "left_semi")
         own = own.withColumn("chars", F.coalesce(F.char_length("text"), F.lit(0)))
@@ -114,14 +120,20 @@ def exact_dedup(
     return keyed.select("doc_id", "_file", "_row", "sha256", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"))
 
 
-def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def cores(spark: SparkSession) -> int:
+    """Files of arrivals that a batch of the stream takes, one for each core."""
+    return spark.sparkContext.defaultParallelism
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, files_per_batch: int | None = None) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; its columns stay as they are."""
     docs = fixed(docs, scratch)
-    return without(docs, exact_dedup(docs, scratch).where("not kept"), scratch)
+    found = exact_dedup(docs, scratch, files_per_batch=files_per_batch or cores(docs.sparkSession))
+    return without(docs, found.where("not kept"), scratch)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op10"), files_per_batch=spark.sparkContext.defaultParallelism)
+    found = exact_dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op10"), files_per_batch=cores(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
