@@ -49,7 +49,10 @@ def stream_state(spark: SparkSession, arrivals: str, schema: StructType, scratch
     """Runs the stream over the files in ``arrivals`` and returns its state: digest, group_size, best."""
     session = spark.newSession()  # the state store's settings stay out of the caller's session
     for k, v in {
-        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        # state rows are small: a store for each core holds its part of them, more stores would each cost memory beside the heap
+        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))),
+        # stores of a stream that has ended are closed soon
+        "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
