@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Recent, read, slices
 
 #: Words and stretches of text that a Python worker remembers.
-CACHE_WORDS, CACHE_STRETCHES = 100_000, 250_000
+CACHE_WORDS, CACHE_STRETCHES = 150_000, 400_000
 #: What often follows a word without a space.
 STOPS = (".", ",")
 
