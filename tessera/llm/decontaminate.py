@@ -7,13 +7,16 @@ window is its single rarest shingle, so a document can contain the window only w
 that shingle; positional bounds (the window has to begin and end inside the document) cut the
 candidates, and the words of the item-sized window of the document are compared exactly.
 
-Windows are dealt into blocks of bounded size; each block is broadcast and all documents are
-scanned against it, and the blocks' findings are merged per document.  The usual benchmark is
-one block; a larger one takes more scans, never more memory.
+Distinct windows are numbered by a running sum of their sizes and cut into blocks by number, so
+a block is bounded however many items share a window or however long its words are; each block
+is broadcast and all documents are scanned against it, and the blocks' findings are merged per
+document.  The usual benchmark is one block; a larger one takes more scans, never more memory.
+Scans find windows by number; the ids of their items are joined to each distinct set of found
+windows in Spark, hot windows salted.
 
 Defined cases: a null or empty text has no words, no hits and no items; an item without words
-is never found; items with equal windows are all named; a null item id reads as "null"; ids that
-repeat are rows of their own; an empty table gives an empty result, an empty benchmark no hits;
+is never found; items with equal windows are all named; a null item id reads as "null"; items of
+one id are one item; documents of one id are rows of their own; an empty table gives an empty result, an empty benchmark no hits;
 other columns are ignored.
 """
 
@@ -28,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fixed, located, read, slices, without
+from ..operators.joins import skew_join
+from .common import Scratch, fixed, located, read, running, slices, without
 
-#: Words of a shingle, and the windows of a block (about 1 KB each in a task).
-SHINGLE, BLOCK = 3, 100_000
+#: Words of a shingle, and the windows of a block (about 1 KB each in a task; one of over WINDOW_BYTES counts as several).
+SHINGLE, BLOCK, WINDOW_BYTES = 3, 100_000, 256
 
 # 0-9, a-z and every byte of a longer UTF-8 sequence are part of words; A-Z are lower-cased
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -61,24 +65,27 @@ def windows(items: DataFrame, window: int) -> DataFrame:
     return cut.distinct()
 
 
+def numbered(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """(window, id): every distinct window once, ids rise by the window's size in units of WINDOW_BYTES."""
+    size = 1 + F.floor(F.octet_length("window") / WINDOW_BYTES)
+    return scratch.table(running(cut.select("window").distinct(), [], ["window"], size, "id", scratch), "numbered")
+
+
 class Index:
     """The windows of a block by their rarest shingle."""
 
-    def __init__(self, found: list[tuple[bytes, str]], rarity: dict[Words, int], shingle: int):
-        items: dict[Words, list[str]] = defaultdict(list)
-        for w, item in found:
-            items[tuple(w.split(b" "))].append(item)
-        self.items = {w: sorted(i) for w, i in items.items()}
+    def __init__(self, found: list[tuple[Words, int]], rarity: dict[Words, int], shingle: int):
+        self.ids = dict(found)
         self.by: dict[int, dict[Words, list[tuple[int, Words]]]] = defaultdict(lambda: defaultdict(list))
-        for w in self.items:
+        for w in self.ids:
             size = min(shingle, len(w))
             _, rarest, at = min((rarity.get(g, 0), g, i) for i, g in enumerate(grams(w, size)))
             self.by[size][rarest].append((at, w))
         self.by = {size: dict(own) for size, own in self.by.items()}
 
-    def scan(self, words: list[bytes]) -> tuple[list[int], set[str]]:
-        """First word and end of every found window, flat, and the ids of their items."""
-        spans, items = set(), set()
+    def scan(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """First word and end of every found window, flat, and the windows' ids."""
+        spans, ids = set(), set()
         for size, prefix in self.by.items():
             for at, g in enumerate(grams(words, size)):
                 if g in prefix:
@@ -87,8 +94,8 @@ class Index:
                         hi = lo + len(w)
                         if lo >= 0 and hi <= len(words) and tuple(words[lo:hi]) == w and (lo, hi) not in spans:
                             spans.add((lo, hi))
-                            items.update(self.items[w])
-        return [x for s in sorted(spans) for x in s], items
+                            ids.add(self.ids[w])
+        return [x for s in sorted(spans) for x in s], sorted(ids)
 
 
 def shingle_counts(docs: DataFrame, wanted: dict[int, set[Words]]) -> dict[Words, int]:
@@ -110,23 +117,22 @@ def shingle_counts(docs: DataFrame, wanted: dict[int, set[Words]]) -> dict[Words
     return {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in rows.toLocalIterator()}  # no more than were asked for
 
 
-def find(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = 10, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, _file, _row, n_words, spans (hit words as [from, to) pairs), items."""
+def hits(docs: DataFrame, found: DataFrame, scratch: Scratch, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, _file, _row, n_words, spans (hit words as [from, to) pairs), windows (ids of
+    the ``numbered`` windows in ``found``, ascending)."""
     spark = docs.sparkSession
     rows = located(docs, scratch, "doc_id", "text")
-    cut = scratch.table(windows(benchmark, window), "windows")
-    blocks = max(1, -(-cut.count() // block))
+    blocks = -(-(found.agg(F.max("id")).first()[0] or 1) // block)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _file string, _row bigint, n_words bigint, spans array<int>, items array<string>"
+    schema = f"doc_id {kind}, _file string, _row bigint, n_words bigint, spans array<int>, windows array<bigint>"
     scans = []
     for k in range(blocks):
-        part = cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        found = [(bytes(r["window"]), r["item"]) for r in part.toLocalIterator()]
+        part = found.where((F.col("id") > k * block) & (F.col("id") <= (k + 1) * block))
+        own = [(tuple(bytes(r["window"]).split(b" ")), r["id"]) for r in part.toLocalIterator()]  # no more than ``block``
         wanted: dict[int, set[Words]] = defaultdict(set)
-        for w in {w for w, _ in found}:
-            split = tuple(w.split(b" "))
-            wanted[min(shingle, len(split))].update(grams(split, min(shingle, len(split))))
-        shared = spark.sparkContext.broadcast(Index(found, shingle_counts(docs, dict(wanted)), shingle))
+        for w, _ in own:
+            wanted[min(shingle, len(w))].update(grams(w, min(shingle, len(w))))
+        shared = spark.sparkContext.broadcast(Index(own, shingle_counts(docs, dict(wanted)), shingle))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -135,18 +141,33 @@ def find(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int =
                 got = [index.scan(w) for w in own]
                 yield pa.RecordBatch.from_arrays([
                     b.column("doc_id"), b.column("_file"), b.column("_row"), pa.array([len(w) for w in own], pa.int64()),
-                    pa.array([s for s, _ in got], pa.list_(pa.int32())), pa.array([sorted(i) for _, i in got], pa.list_(pa.string())),
-                ], ["doc_id", "_file", "_row", "n_words", "spans", "items"])
+                    pa.array([s for s, _ in got], pa.list_(pa.int32())), pa.array([i for _, i in got], pa.list_(pa.int64())),
+                ], ["doc_id", "_file", "_row", "n_words", "spans", "windows"])
 
         scans.append(rows.mapInArrow(run, schema))
     if blocks == 1:
         return scans[0]
     # a row per block and document: what is collected is bounded by the number of blocks
     return reduce(DataFrame.unionByName, scans).groupBy("doc_id", "_file", "_row", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows")
     )
 
 
+def find(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = 10, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, _file, _row, n_words, spans (hit words as [from, to) pairs), items (sorted ids)."""
+    cut = scratch.table(windows(benchmark, window), "windows")
+    found = numbered(cut, scratch)
+    own_set = F.when(F.size("windows") > 0, F.sha2(F.array_join("windows", ","), 256)).alias("set")
+    rows = scratch.table(hits(docs, found, scratch, shingle, block).select("*", own_set), "hits")
+    # documents with the same windows have the same items, so items meet each distinct set once
+    sets = rows.where("set IS NOT NULL").groupBy("set").agg(F.first("windows").alias("windows"))
+    each = scratch.table(sets.select("set", F.explode("windows").alias("id")), "sets")
+    items = skew_join(cut, found, "window").select("id", "item")
+    named = skew_join(each, items, "id").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = skew_join(rows, scratch.table(named, "named"), "set", "left")
+    return out.select("doc_id", "_file", "_row", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def digests(found: DataFrame) -> DataFrame:
     """The findings as counts and a hash of the items."""
 
@@ -174,7 +195,8 @@ def digests(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = 10) -> DataFrame:
     """``docs`` without the documents that contain a window of an item; its columns stay as they are."""
     docs = fixed(docs, scratch)
-    return without(docs, find(docs, benchmark, scratch, window).where(F.size("spans") > 0), scratch)
+    found = numbered(scratch.table(windows(benchmark, window), "windows"), scratch)
+    return without(docs, hits(docs, found, scratch).where(F.size("spans") > 0), scratch)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,24 @@ def test_blocks_of_windows_match_brute_force(spark, docs_of, scratch):
     check_find(spark, docs_of, scratch, block=20, shingle=2)
 
 
+def test_a_shared_window_and_long_words_stay_within_blocks(spark, docs_of, scratch):
+    """A third of the items share a text, one word is very long: blocks are cut by distinct windows and their bytes."""
+    long = "z" * 5000
+    items = [(i, "the same four words") for i in range(40)] + [(100 + i, f"q{i} r{i} s{i} t{i}") for i in range(80)] + [(300, f"{long} a b c")]
+    cut = decontaminate.windows(docs_of(items, id_name="item_id"), 4)
+    found = decontaminate.numbered(cut, scratch).collect()
+    assert len(found) == len({bytes(r["window"]) for r in found}) == 82 and len({r["id"] for r in found}) == 82
+    assert max(r["id"] for r in found) == 82 + 5006 // decontaminate.WINDOW_BYTES
+    docs = [(i, "x the same four words q7 r7 s7 t7") for i in range(50)] + [(90, f"a {long} a b c"), (91, "the same"), (92, "q3 r3 s3 t3")]
+    got = decontaminate.find(docs_of(docs), docs_of(items, id_name="item_id"), scratch, window=4, block=15).collect()
+    want = {i: slow_hits(t, items, 4) for i, t in docs}
+    for r in got:
+        n, hit, found = want[r["doc_id"]]
+        spans = list(zip(r["spans"][::2], r["spans"][1::2]))
+        assert (r["n_words"], len({p for lo, hi in spans for p in range(lo, hi)}), r["items"]) == (n, hit, found)
+    assert len(got) == len(docs)
+
+
 def test_contaminated_rows_go_and_others_stay(spark, docs_of, scratch):
     docs = docs_of([(1, "we saw one two three four here"), (2, "one two three five"), (3, None)])
     items = docs_of([(9, "One, two; three four")], id_name="item_id")
