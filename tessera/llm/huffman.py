@@ -31,6 +31,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import Recent, Scratch, read, slices
+from .common import Scratch, read, slices
 
 END, MAX_BITS, STEP, BLOCK_IDS = 1, 16, 256, 1 << 16
 MAGIC = b"THB1"
-#: Words, and stretches of text, whose ids a Python worker remembers.
-CACHE = 300_000
+#: Words, and stretches of text, whose ids a Python worker remembers; stretches of over LONG letters aren't remembered.
+CACHE, LONG = 300_000, 64
 
 
 # --- codes ----------------------------------------------------------------------------
@@ -153,29 +154,33 @@ class Encoder:
         self.whole = Tokenizer.from_str(spec)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.model, self.symbols, self.dtype = self.whole.model, byte_symbols(), dtype
-        self.code = np.dtype(dtype).char
+        self.model, self.symbols = self.whole.model, byte_symbols()
+        self.code, self.end = np.dtype(dtype).char, np.array([END], dtype).tobytes()
+        size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
+        self.raw = [i.tobytes() for i in np.arange(size).astype(dtype)]
         self.stops = {c: self.chain(c) for c in ".,"}
-        self.words, self.known = Recent(self.word, CACHE), Recent(self.stretch, CACHE)
+        self.words, self.known = lru_cache(CACHE)(self.word), lru_cache(CACHE)(self.stretch)
 
     def chain(self, stretch: str) -> bytes:
         return array(self.code, self.whole.encode(stretch, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
-        spelled = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        spelled, raw = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()]), self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(spelled)])
 
     def stretch(self, c: str) -> bytes:
         word, stop = (c[:-1], self.stops[c[-1]]) if c[-1:] in self.stops else (c, b"")
         low = word.lower()
         if low.isalpha() and (low.isascii() or (max(low) < "\u0250" and unicodedata.is_normalized("NFC", word))):
-            return self.words[low] + stop
+            return (self.words(low) if len(low) <= LONG else self.word(low)) + stop
         return self.chain(c) if c else b""
 
     def text(self, text: str | None) -> bytes:
         """The text's ids in little-endian bytes, END appended."""
-        own = map(self.known.__getitem__, (text or "").replace("\n", " ").split(" "))
-        return b"".join([*own, np.array([END], self.dtype).tobytes()])
+        own = (text or "").replace("\n", " ").split(" ")
+        if len(max(own, key=len)) <= LONG:
+            return b"".join([*map(self.known, own), self.end])
+        return b"".join([*(self.known(c) if len(c) <= LONG else self.stretch(c) for c in own), self.end])
 
 
 _ENCODERS: dict[str, Encoder] = {}
