@@ -10,12 +10,17 @@ tree costs its escape and its smoothed unigram share among such words, so the pr
 of all token sequences sum to one.
 
 Folds by crc32 of the id modulo 10: 0 is held out; 1 teaches weights and map online, on tables
-that haven't seen it; 2 to 9 fill the tables; all of 1 to 9 are counted as unigrams.
+that haven't seen it; 2 to 9 fill the tables; all of 1 to 9 are counted as unigrams.  The rows that
+teach are dealt into classes of about ``CLASS_ROWS`` by a hash of the id; each class teaches a mixer
+of its own in the order of a hash, and the mixers are averaged by their bits.  Classes depend on the
+rows alone, so a text's score is the same however the table is partitioned.
 
 Sizes.  Unigram counts are a distributed table of all words and grow with the corpus; tasks get
 up to ``DICTIONARY`` of the most frequent ones, and rarer words meet their counts in a join.  The
 context tables have a fixed number of slots, as hashed contexts do; tasks send their counts
-compressed, and they are summed in a tree.  Every text is counted and scored whole.
+compressed, and they are summed in a tree.  Every text is counted and scored whole, ``CHUNK_TOKENS``
+of its tokens at a time, the two words before carried over; what a long text needs beyond that is its words
+and three numbers a token.
 
 Defined cases: a null or empty text is the end alone; without training rows every token has the
 same smoothed count; ids that repeat are scored alike and a null id counts as the empty text for
@@ -29,6 +34,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -43,7 +49,7 @@ from .common import Scratch, fold, read, slices
 TREE, DICTIONARY = 1 << 12, 1 << 18
 #: log2 of the slots of a context table, tables, gate levels per table, and cells of the probability map.
 SLOTS, TABLES, LEVELS, CELLS = 20, 4, 8, 33
-CHUNK_TOKENS, BATCH_BITS, CHUNKS = 1 << 16, 1 << 13, 16
+CHUNK_TOKENS, BATCH_BITS, CHUNKS, CLASS_ROWS = 1 << 16, 1 << 13, 16, 2000
 ALPHA = 0.1
 
 
@@ -112,16 +118,26 @@ class Coder:
         cls = [s if s != escape else base + ((w[-1] << 8 | w[-2]) if len(w) > 1 else w[-1]) for s, w in zip(sym, words)]
         return np.array([*sym, t.end], np.int64), np.array([*cls, t.end], np.int64)
 
-    def bits(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Slots of every bit in each table, the bits, and the number of bits of every text."""
-        t = self.tree
+    def tokens(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token of the texts, one after another: its symbol, the class of the word before and of the one before that."""
+        end = self.tree.end
         sym = np.concatenate([s for s, _ in texts])
-        one = np.concatenate([np.concatenate([[t.end], c[:-1]]) for _, c in texts])
-        two = np.concatenate([np.concatenate([[t.end, t.end], c[:-2]])[: len(c)] for _, c in texts])
+        one = np.concatenate([np.concatenate([[end], c[:-1]]) for _, c in texts])
+        two = np.concatenate([np.concatenate([[end, end], c[:-2]])[: len(c)] for _, c in texts])
+        return sym, one, two
+
+    def runs(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        """:meth:`bits` of CHUNK_TOKENS tokens at a time."""
+        own = self.tokens(texts)
+        for at in range(0, len(own[0]), CHUNK_TOKENS):
+            yield self.bits(*(x[at : at + CHUNK_TOKENS] for x in own))
+
+    def bits(self, sym: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots of every bit in each table, the bits, and the number of bits of every token."""
+        t = self.tree
         n = t.length[sym]
         ends = np.cumsum(n)
-        total = int(ends[-1])
-        path = np.arange(total) + np.repeat(t.start[sym] - (ends - n), n)
+        path = np.arange(int(ends[-1])) + np.repeat(t.start[sym] - (ends - n), n)
         node, bit = t.node[path], t.bit[path]
         key = node.astype(np.uint64) + np.uint64(1)
         a, b = np.repeat(one, n).astype(np.uint64), np.repeat(two, n).astype(np.uint64)
@@ -129,10 +145,7 @@ class Coder:
         h1 = (a * np.uint64(0xC2B2AE3D27D4EB4F) ^ key) * mix
         h2 = ((h1 ^ (h1 >> np.uint64(29))) + b * np.uint64(0x165667B19E3779F9)) * mix
         h3 = ((b + np.uint64(0x7F4A7C15)) * np.uint64(0x85EBCA77C2B2AE63) ^ key) * mix
-        slots = [node & ((1 << SLOTS) - 1), *((h >> top).astype(np.int64) for h in (h1, h2, h3))]
-        lengths = np.array([len(s) for s, _ in texts])
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-        return slots, bit, np.diff(at)
+        return [node & ((1 << SLOTS) - 1), *((h >> top).astype(np.int64) for h in (h1, h2, h3))], bit, n
 
 
 # --- predictors and mixer -------------------------------------------------------------
@@ -254,13 +267,13 @@ def context_tables(docs: DataFrame, tree: Tree) -> Tables:
     shared, size = sc.broadcast(tree), TABLES << SLOTS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, coder = np.zeros(size, np.int32), Coder(shared.value)
+        total, coder = np.zeros(size, np.int64), Coder(shared.value)
         for _, _, texts in chunks(batches, coder):
-            slots, bit, _ = coder.bits(texts)
-            for k, s in enumerate(slots):
-                total[k << SLOTS + 1 : k + 1 << SLOTS + 1] += np.bincount(s * 2 + bit, minlength=2 << SLOTS).astype(np.int32)
+            for slots, bit, _ in coder.runs(texts):
+                for k, s in enumerate(slots):
+                    total[k << SLOTS + 1 : k + 1 << SLOTS + 1] += np.bincount(s * 2 + bit, minlength=2 << SLOTS)
         pack = zstandard.ZstdCompressor(1).compress
-        parts = [pack(p.astype(np.int64).tobytes()) for p in np.split(total, CHUNKS)]
+        parts = [pack(p.tobytes()) for p in np.split(total, CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     def summed(group: pd.DataFrame) -> np.ndarray:
@@ -304,20 +317,26 @@ def frequent(vocabulary: DataFrame, most: int) -> DataFrame:
 
 
 def taught(docs: DataFrame, shared) -> Mixer:
-    """A mixer taught online by every task on its own rows, averaged by the bits that each has seen."""
+    """A mixer taught online by every class of rows, averaged by the bits that each class has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, tables = shared.value
-        coder, mixer, pace, n = Coder(tree), Mixer.fresh(), np.zeros((LEVELS * LEVELS, TABLES + 1)), 0
-        for _, _, texts in chunks(batches, coder):
-            slots, bit, _ = coder.bits(texts)
-            mixer.learn(tables, slots, bit, pace)
-            n += len(bit)
-        fresh = Mixer.fresh()
-        values = np.concatenate([mixer.weights.ravel() * n, (mixer.ones - fresh.ones).ravel(), (mixer.trials - fresh.trials).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values), pa.array(np.full(len(values), n))], ["i", "v", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "i int, v double, n bigint").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        coder, fresh = Coder(tree), Mixer.fresh()
+        total, seen = np.zeros(fresh.weights.size + 2 * fresh.ones.size), 0
+        for _, own in groupby(by_class(batches), key=lambda b: b.column("class")[0].as_py()):  # a class lies together in one task
+            mixer, pace, n = Mixer.fresh(), np.zeros((LEVELS * LEVELS, TABLES + 1)), 0
+            for _, _, texts in chunks(own, coder):
+                for slots, bit, _ in coder.runs(texts):
+                    mixer.learn(tables, slots, bit, pace)
+                    n += len(bit)
+            total += np.concatenate([mixer.weights.ravel() * n, (mixer.ones - fresh.ones).ravel(), (mixer.trials - fresh.trials).ravel()])
+            seen += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array(np.full(len(total), seen))], ["i", "v", "n"])
+
+    classes = max(1, docs.count() // CLASS_ROWS)
+    dealt = docs.select("text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("at"))
+    dealt = dealt.withColumn("class", F.pmod(F.shiftright("at", 20), F.lit(classes))).repartition("class").sortWithinPartitions("class", "at", "text")
+    rows = dealt.select("class", "text").mapInArrow(run, "i int, v double, n bigint").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     got = rows.orderBy("i").toPandas()  # one row per weight and map cell
     mixer = Mixer.fresh()
     if len(got) and got["n"].iloc[0]:
@@ -328,8 +347,19 @@ def taught(docs: DataFrame, shared) -> Mixer:
     return mixer
 
 
+def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where the class changes."""
+    for b in batches:
+        kind = b.column("class").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
 def score(docs: DataFrame, scratch: Scratch, tree_words: int = TREE, dictionary: int = DICTIONARY) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits (the
+    model's, for the whole text), n_bytes (of the text in UTF-8) and bits_per_byte (null for a text without bytes)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").withColumn("fold", fold(F.col("doc_id"), 10))
     vocabulary = scratch.table(word_counts(rows.where("fold != 0")), "vocabulary")
@@ -352,13 +382,12 @@ def score(docs: DataFrame, scratch: Scratch, tree_words: int = TREE, dictionary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, tables, mixer, log_c, rarer = shared.value
         coder = Coder(tree)
-        names = ["key", "doc_id", "fold", "n_tokens", "n_known", "n_outside", "inside", "dictionary", "mixed", "rare"]
-        kinds = [pa.int64(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int32())]
-        for own, words, texts in chunks(batches, coder, "key", "doc_id", "fold"):
-            slots, bit, n_bits = coder.bits(texts)
-            logs = np.concatenate([[0.0], np.cumsum(mixer.log10(tables, slots, bit))])
-            ends = np.cumsum(n_bits)
-            mixed = logs[ends] - logs[ends - n_bits]
+        names = ["key", "doc_id", "fold", "n_bytes", "n_tokens", "n_known", "n_outside", "inside", "dictionary", "mixed", "rare"]
+        kinds = [pa.int64(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int32())]
+        for own, words, texts in chunks(batches, coder, "key", "doc_id", "fold", "n_bytes"):
+            logs = [np.add.reduceat(mixer.log10(tables, slots, bit), np.cumsum(n) - n, dtype=np.float64) for slots, bit, n in coder.runs(texts)]
+            first = np.cumsum([0, *(len(sym) for sym, _ in texts[:-1])])
+            mixed = np.add.reduceat(np.concatenate(logs), first)
             out = []
             for row, w, (sym, _), m in zip(own, words, texts, mixed.tolist()):
                 left = [x for x, s in zip(w, sym.tolist()) if s == tree.escape]
@@ -370,10 +399,10 @@ def score(docs: DataFrame, scratch: Scratch, tree_words: int = TREE, dictionary:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     id_type, has_ends = to_arrow_type(docs.schema["doc_id"].dataType), ends > 0
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "fold", "text").mapInArrow(
+    kind, n_bytes = docs.schema["doc_id"].dataType.simpleString(), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    scored = rows.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "fold", "text", n_bytes.alias("n_bytes")).mapInArrow(
         run,
-        f"key bigint, doc_id {kind}, fold bigint, n_tokens bigint, n_known bigint, n_outside bigint, "
+        f"key bigint, doc_id {kind}, fold bigint, n_bytes bigint, n_tokens bigint, n_known bigint, n_outside bigint, "
         "inside double, dictionary double, mixed double, rare map<binary,int>",
     )
     scored = scratch.table(scored, "scored")
@@ -385,9 +414,11 @@ def score(docs: DataFrame, scratch: Scratch, tree_words: int = TREE, dictionary:
     log_n = math.log10(tokens + ALPHA * (distinct + 1))
     base = F.col("inside") + F.col("dictionary") + F.col("rare_log") - F.col("n_tokens") * log_n
     model = F.col("mixed") + F.col("dictionary") + F.col("rare_log") - F.col("n_outside") * outside
+    bits = -model * F.lit(math.log2(10))
     return all_rows.select(
         "doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), model.alias("score"),
+        bits.alias("bits"), "n_bytes", F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -270,6 +270,33 @@ def test_scores_and_base_match_definition(spark, docs_of, scratch):
     assert mixing.score(docs_of([]), scratch).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions_and_long_texts_are_cut(spark, docs_of, scratch, monkeypatch):
+    """1 and 8 partitions; texts longer than a chunk, with their words before carried over; bits per byte."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(vocab[min(39, int(rng.expovariate(0.2)))] for _ in range(n))
+    rows = [(i, text(rng.randint(0, 60))) for i in range(300)] + [(1000, text(5000)), (1001, text(5000)), (1002, None), (1003, "é")]
+    docs = docs_of(rows)
+    monkeypatch.setattr(mixing, "CLASS_ROWS", 7)
+    key = lambda r: r["doc_id"]
+    one = sorted(mixing.score(docs.coalesce(1), scratch, tree_words=8, dictionary=20).collect(), key=key)
+    many = sorted(mixing.score(docs.repartition(8), scratch, tree_words=8, dictionary=20).collect(), key=key)
+    want = dict(rows)
+    for a, b in zip(one, many):
+        assert a["doc_id"] == b["doc_id"] and abs(a["score"] - b["score"]) <= 1e-6 * abs(a["score"])
+        size = len((want[a["doc_id"]] or "").encode())
+        assert a["n_bytes"] == size and abs(a["bits"] + a["score"] * math.log2(10)) < 1e-6
+        assert a["bits_per_byte"] is None if not size else abs(a["bits_per_byte"] - a["bits"] / size) < 1e-9
+    coder = mixing.Coder(mixing.huffman_tree([b"w0", b"w1", b"w2"], [9, 5, 1], 4, 7))
+    texts = [coder.symbols(mixing.words_of(t)) for _, t in rows[:20] + rows[300:302]]
+    whole = coder.bits(*coder.tokens(texts))
+    monkeypatch.setattr(mixing, "CHUNK_TOKENS", 1000)
+    cut = list(coder.runs(texts))
+    assert len(cut) > 10 and max(len(n) for _, _, n in cut) == 1000
+    assert all(np.array_equal(np.concatenate([c[0][k] for c in cut]), whole[0][k]) for k in range(mixing.TABLES))
+    assert all(np.array_equal(np.concatenate([c[k] for c in cut]), whole[k]) for k in (1, 2))
+
+
 def test_probabilities_of_the_next_token_sum_to_one():
     rng = np.random.default_rng(1)
     tree = mixing.huffman_tree([b"a", b"b", b"c"], [9, 5, 1], 4, 7)
@@ -279,8 +306,8 @@ def test_probabilities_of_the_next_token_sum_to_one():
     total = 0.0
     for s in range(5):  # every symbol after the same two words
         sym = np.array([0, 1, s])
-        slots, bit, n = coder.bits([(sym, sym)])
-        assert n.tolist() == [tree.length[sym].sum()]
+        slots, bit, n = coder.bits(*coder.tokens([(sym, sym)]))
+        assert n.tolist() == tree.length[sym].tolist()
         total += 10 ** mixer.log10(tables, slots, bit)[-tree.length[s] :].sum()
     assert abs(total - 1) < 1e-5
 
@@ -290,7 +317,7 @@ def test_mixing_learns_what_the_context_tells():
     tree = mixing.huffman_tree([b"a", b"b"], [50, 50], 1, 1)
     coder = mixing.Coder(tree)
     texts = [coder.symbols([b"a", b"b"] * 2000)] * 4
-    slots, bit, _ = coder.bits(texts)
+    slots, bit, _ = coder.bits(*coder.tokens(texts))
     counts = np.zeros((mixing.TABLES, 1 << mixing.SLOTS, 2))
     for k, s in enumerate(slots):
         np.add.at(counts[k], (s, bit), 1)
