@@ -19,19 +19,21 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import unicodedata
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import Recent, read, slices
+from .stretches import SIGNS, cut, latin, recall, together
 
-#: Words and stretches of text that a Python worker remembers.
-CACHE_WORDS, CACHE_STRETCHES = 150_000, 400_000
-#: What often follows a word without a space.
-STOPS = (".", ",")
+#: Words, and other stretches of text, that a Python worker remembers.
+CACHE_WORDS, CACHE_OTHERS = 400_000, 50_000
+#: Pairs of tokens of which it is remembered whether they are compatible.
+CACHE_PAIRS = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -55,16 +57,17 @@ class Bpe:
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: s for s, i in self.special.items()})
-        words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        # \s of the tokenizer file means Unicode white space; so it does in the regex module
-        self.words = regex.compile(words)
-        # letters are one word, and a full stop or comma after them another, as far as the pattern goes
+        # the file's own normaliser and word pattern, run by the library, whose tables say what a letter is
+        kept = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][0]}
+        steps = Tokenizer.from_str(json.dumps(spec | kept | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
+        self.normal, self.words = steps.normalizer.normalize_str, steps.pre_tokenizer.pre_tokenize_str
+        # letters are one word, and signs after them another, as far as the pattern goes; no special token looks like that
         letters = "".join(chr(c) for c in range(0x250) if chr(c).isalpha())
-        self.lone = all(self.words.findall(x + s) == [x, s] for x in ("a", letters, letters[::-1]) for s in STOPS)
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
+        self.lone = all([w for w, _ in self.words(x + s)] == [x, s] for x in ("a", letters, letters[::-1]) for s in (*SIGNS, SIGNS))
+        self.lone &= all(t.rstrip(SIGNS) and not t.rstrip(SIGNS).isalpha() for t in self.special)
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self._build()
         self.n_fits = 0
-        self.known = Recent(self.word, CACHE_WORDS)
 
     # --- tokens as strings of symbols -------------------------------------------------
     def symbols(self, token: str) -> list[str]:
@@ -156,7 +159,7 @@ class Bpe:
         else:
             spelled = self.symbols(self.names[left]) + self.symbols(self.names[right])
             got = self.merged([self.vocab[s] for s in spelled]) == [left, right]
-        if self.n_fits >= 4 * CACHE_WORDS:
+        if self.n_fits >= CACHE_PAIRS:
             for known in self.fits.values():
                 known.clear()
             self.n_fits = 0
@@ -196,47 +199,23 @@ class Bpe:
             n -= self.length[last[n]]
         return tuple(out[::-1])
 
-    def plain(self, stretch: str) -> str | None:
-        """The stretch in lower case if it is a single word of Latin letters and no special token, else None."""
-        low = stretch.lower()
-        if low.isalpha() and (low.isascii() or (max(low) < "\u0250" and unicodedata.is_normalized("NFC", stretch))) and stretch not in self.special:
-            return low
-        return None
-
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a stretch of text: special tokens first, then word by word."""
-        stop = chunk[-1:] if chunk[-1:] in STOPS else ""
-        word = self.plain(chunk[: len(chunk) - len(stop)])
-        if word and self.lone:
-            return [*self.known[word], *(self.known[stop] if stop else ())]
         out: list[int] = []
         for part in self.cut.split(chunk) if self.cut else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for w in self.words.findall(lower(unicodedata.normalize("NFC", part))):
-                    out += self.known[w]
+                for w, _ in self.words(self.normal(part)):
+                    out += self.word(w)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [i for c in stretches(text) for i in self.chunk(c)]
-
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by a space as they are written."""
         names = self.names
         return " ".join([names[i] for i in ids])
 
 
-def lower(text: str) -> str:
-    """Lower case letter by letter: a capital sigma doesn't depend on its place."""
-    return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
-
-
-def stretches(text: str) -> list[str]:
-    """Pieces of the text between spaces and line ends, which no token, letter composition or word crosses."""
-    return text.replace("\n", " ").split(" ")
-
-
 def load(path: str) -> str:
     """The tokenizer file's text; a few MB, broadcast to the tasks."""
     with open(path, encoding="utf-8") as f:
@@ -244,19 +223,39 @@ def load(path: str) -> str:
 
 
 class Worker:
-    """What a task keeps while it encodes: of each recent stretch its ids and how they are written."""
+    """What a task keeps while it encodes: of recent words and other stretches their ids and how they are written."""
 
     def __init__(self, spec: str):
         self.bpe = Bpe(json.loads(spec))
-        self.known = Recent(self.part, CACHE_STRETCHES)
+        self.words = Recent(lambda word: self.written(self.bpe.word(word)), CACHE_WORDS)
+        self.others = Recent(lambda stretch: self.written(self.bpe.chunk(stretch)), CACHE_OTHERS)
+
+    def written(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """Number of ids, ids as text and decoded text, a space after each id."""
+        return (len(ids), (" ".join(map(str, ids)) + " ").encode(), (self.bpe.decode(ids) + " ").encode()) if ids else (0, b"", b"")
+
+    def part(self, stretch: str) -> tuple[int, bytes, bytes]:
+        """A word of Latin letters and the signs after it are looked up apart, any other stretch as a whole."""
+        letters = stretch.rstrip(SIGNS)
+        if self.bpe.lone and (word := latin(letters)):
+            own = recall(self.words, word)
+            if len(letters) == len(stretch):
+                return own
+            signs = recall(self.others, stretch[len(letters) :])
+            return own[0] + signs[0], own[1] + signs[1], own[2] + signs[2]
+        return recall(self.others, stretch)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, list[memoryview], list[memoryview]]:
+        """Of each text: number of ids, ids joined by a space, decoded text."""
+        distinct, order, bounds = cut(texts)
+        parts = [*map(self.part, distinct)]
+        sizes = np.concatenate([[0], np.cumsum(np.array([p[0] for p in parts], np.int64)[order])])[bounds]
 
-    def part(self, stretch: str) -> tuple[int, str, str] | tuple:
-        ids = self.bpe.chunk(stretch)
-        return (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)) if ids else ()
+        def rows(k: int) -> list[memoryview]:
+            text, at = together([p[k] for p in parts], order, bounds)
+            return [text[a : max(a, z - 1)] for a, z in zip(at, at[1:])]  # without the last space
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
-        """(number of ids, ids as text, decoded) of each stretch that has ids."""
-        return [p for p in map(self.known.__getitem__, stretches(text or "")) if p]
+        return np.diff(sizes), rows(1), rows(2)
 
 
 _WORKERS: dict[str, Worker] = {}
@@ -276,10 +275,10 @@ def encode_decode(docs: DataFrame, spec: str, keep: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = worker(key, spec_of.value)
-        for b in slices(batches, "text", 2 << 20):
-            parts = [w.parts(t) for t in b.column("text").to_pylist()]
-            ids = pa.array([[int(i) for p in own for i in p[1].split(" ")] for own in parts], pa.list_(pa.int32()))
-            decoded = pa.array([" ".join([p[2] for p in own]) for own in parts], pa.string())
+        for b in slices(batches, "text", 8 << 20):
+            _, spelled, decoded = w.texts(b.column("text"))
+            ids = pa.array([np.array(bytes(s).split(), np.int32) for s in spelled], pa.list_(pa.int32()))
+            decoded = pa.array([str(d, "utf-8") for d in decoded], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids, decoded], [*keep, "ids", "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -292,13 +291,13 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, sha = worker(key, spec_of.value), hashlib.sha256
-        for b in slices(batches, "text", 2 << 20):
-            parts = [w.parts(t) for t in b.column("text").to_pylist()]
+        for b in slices(batches, "text", 8 << 20):
+            n, spelled, decoded = w.texts(b.column("text"))
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"),
-                pa.array([sum([p[0] for p in own]) for own in parts], pa.int64()),
-                pa.array([sha(" ".join([p[1] for p in own]).encode()).hexdigest() for own in parts]),
-                pa.array([sha(" ".join([p[2] for p in own]).encode()).hexdigest() for own in parts]),
+                pa.array(n, pa.int64()),
+                pa.array([sha(s).hexdigest() for s in spelled]),
+                pa.array([sha(d).hexdigest() for d in decoded]),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

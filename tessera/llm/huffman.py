@@ -27,11 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import Scratch, read, slices
+from .common import Recent, Scratch, read, slices
+from .stretches import SIGNS, cut, latin, recall, together
 
 END, MAX_BITS, STEP, BLOCK_IDS = 1, 16, 256, 1 << 16
 MAGIC = b"THB1"
-#: Words, and stretches of text, whose ids a Python worker remembers; stretches of over LONG letters aren't remembered.
-CACHE, LONG = 300_000, 64
+#: Words, and other stretches of text, whose ids a Python worker remembers.
+CACHE_WORDS, CACHE_OTHERS = 600_000, 100_000
 
 
 # --- codes ----------------------------------------------------------------------------
@@ -140,12 +139,12 @@ def unpack(block: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarra
 
 # --- jobs -----------------------------------------------------------------------------
 class Encoder:
-    """The tokenizers library, with a cache of the ids (as bytes) of recent words and stretches.
+    """The tokenizers library, with a cache of the ids (as bytes) of recent words and other stretches.
 
     No token, letter composition or special token crosses a space or line end, so a text's ids
-    are those of its stretches.  A stretch of Latin letters, perhaps with a full stop or comma,
-    is normalised here and given to the library's model as one word; any other one goes through
-    the library's whole chain of steps.
+    are those of its stretches.  A stretch of Latin letters, perhaps with signs after them, is
+    normalised here and given to the library's model as one word, and the signs, which are a word
+    of their own, to the library; any other stretch goes through the library's whole chain of steps.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -158,8 +157,7 @@ class Encoder:
         self.code, self.end = np.dtype(dtype).char, np.array([END], dtype).tobytes()
         size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
         self.raw = [i.tobytes() for i in np.arange(size).astype(dtype)]
-        self.stops = {c: self.chain(c) for c in ".,"}
-        self.words, self.known = lru_cache(CACHE)(self.word), lru_cache(CACHE)(self.stretch)
+        self.words, self.others = Recent(self.word, CACHE_WORDS), Recent(self.chain, CACHE_OTHERS)
 
     def chain(self, stretch: str) -> bytes:
         return array(self.code, self.whole.encode(stretch, add_special_tokens=False).ids).tobytes()
@@ -169,18 +167,17 @@ class Encoder:
         return b"".join([raw[t.id] for t in self.model.tokenize(spelled)])
 
     def stretch(self, c: str) -> bytes:
-        word, stop = (c[:-1], self.stops[c[-1]]) if c[-1:] in self.stops else (c, b"")
-        low = word.lower()
-        if low.isalpha() and (low.isascii() or (max(low) < "\u0250" and unicodedata.is_normalized("NFC", word))):
-            return (self.words(low) if len(low) <= LONG else self.word(low)) + stop
-        return self.chain(c) if c else b""
+        letters = c.rstrip(SIGNS)
+        if word := latin(letters):
+            ids = recall(self.words, word)
+            return ids + recall(self.others, c[len(letters) :]) if len(letters) < len(c) else ids
+        return recall(self.others, c) if c else b""
 
-    def text(self, text: str | None) -> bytes:
-        """The text's ids in little-endian bytes, END appended."""
-        own = (text or "").replace("\n", " ").split(" ")
-        if len(max(own, key=len)) <= LONG:
-            return b"".join([*map(self.known, own), self.end])
-        return b"".join([*(self.known(c) if len(c) <= LONG else self.stretch(c) for c in own), self.end])
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids in little-endian bytes, END appended."""
+        distinct, order, bounds = cut(texts)
+        ids, at = together([*map(self.stretch, distinct)], order, bounds)
+        return [bytes(ids[a:z]) + self.end for a, z in zip(at, at[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -205,8 +202,8 @@ def encode(docs: DataFrame, spec: str, dtype: str = "<u4") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(key, spec_of.value, dtype)
-        for b in slices(batches, "text", 2 << 20):
-            ids = pa.array([e.text(t) for t in b.column("text").to_pylist()], pa.binary())
+        for b in slices(batches, "text"):
+            ids = pa.array(e.texts(b.column("text")), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")

@@ -7,11 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from llm_fixtures import docs_of, scratch  # noqa: F401
-from tessera.llm import bpe, huffman
+from tessera.llm import bpe, huffman, stretches
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF_SMALL = "/root/testdata/sf0.001"
@@ -119,3 +122,37 @@ def test_query_crc(spark):
     text = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").first()["text"]
     ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [1]
     assert (got["start"], got["ids_crc32"]) == (0, zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
+PIECES = [
+    "the", "The", "THE,", "word.", "x" * 70, "don't", "'s", "it's!!", "a''", "b'", "<|endoftext|>", "<|startoftext|>x", "x<|endoftext|>,", "<|", "|>",
+    "fi\ufb01", "\u03a3\u03a3", "\u1112\u1161\u11ab", "e\u0301", "\u00e9t\u00e9,###", "\u0130", "\u212a", "\u212b", "\u00df\u1e9e", "\u00a0", "\u2028", "\t", "\r", "\x00", "\x1f",
+    "1", "23.", "\U0001f600", "\u4f60\u597d", "$$$", ",###", "&&&", "", " ", "\n", "=\u0338", "a=\u0338", "\u0345",
+]
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=14).map("".join)), min_size=1, max_size=6))
+def test_random_texts_as_the_library(workers, texts):
+    worker, encoder, library = workers
+    column = pa.array(texts, pa.string())
+    sizes, spelled, decoded = worker.texts(column)
+    for i, (text, raw) in enumerate(zip(texts, encoder.texts(column))):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u2").tolist() == [*ids, huffman.END]
+        assert sizes[i] == len(ids) and bytes(spelled[i]).decode() == " ".join(map(str, ids))
+        assert bytes(decoded[i]).decode() == library.decode(ids, skip_special_tokens=False)
+
+
+@pytest.fixture(scope="module")
+def workers():
+    spec = bpe.load(PATH)
+    return bpe.Worker(spec), huffman.Encoder(spec, "<u2"), Tokenizer.from_file(PATH)
+
+
+def test_a_slice_of_a_column_is_cut_by_its_own_rows(workers):
+    column = pa.array(["a b", None, "", "c  d\ne", "f"]).slice(1, 3)
+    distinct, order, bounds = stretches.cut(column)
+    cut = [[distinct[k] for k in order[a:z]] for a, z in zip(bounds, bounds[1:])]
+    assert cut == [[""], [""], ["c", "", "d", "e"]]
+    assert [len(r) // 2 for r in workers[1].texts(column)] == [1, 1, 4]
