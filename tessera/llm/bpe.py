@@ -31,7 +31,9 @@ from .common import Recent, read, slices
 from .stretches import SIGNS, cut, latin, recall, together
 
 #: Words, and other stretches of text, that a Python worker remembers.
-CACHE_WORDS, CACHE_OTHERS = 400_000, 50_000
+CACHE_WORDS, CACHE_OTHERS = 200_000, 50_000
+#: Bytes of text that a Python worker encodes at once; what it makes of them takes several times as much.
+SLICE = 2 << 20
 #: Pairs of tokens of which it is remembered whether they are compatible.
 CACHE_PAIRS = 600_000
 
@@ -113,7 +115,9 @@ class Bpe:
         for node in order:
             i = at[node]
             ends[node] = (((i, self.length[i], self.fits.setdefault(i, {})),) if i >= 0 else ()) + ends[fail[node]]
-        self.go, self.fail, self.ends, self.steps = go, fail, ends, [{} for _ in go]
+        leaf: dict[str, int] = {}  # one for all nodes that nothing follows
+        self.go, self.fail, self.ends = [to or leaf for to in go], fail, ends
+        self.steps: dict[int, int] = {}  # by node << 9 | symbol
 
     # --- pair compatibility -----------------------------------------------------------
     def merged(self, ids: list[int]) -> list[int]:
@@ -174,7 +178,7 @@ class Bpe:
         to = node
         while to and symbol not in self.go[to]:
             to = self.fail[to]
-        to = self.steps[node][c] = self.go[to].get(symbol, 0)
+        to = self.steps[node << 9 | c] = self.go[to].get(symbol, 0)
         return to
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -182,7 +186,7 @@ class Bpe:
         raw[-1] += 256 if self.end else 0
         last, node, steps, ends = [-1], 0, self.steps, self.ends
         for n, c in enumerate(raw, 1):  # last[n]: the token that ends the encoding of the first n symbols
-            to = steps[node].get(c)
+            to = steps.get(node << 9 | c)
             node = self.step(node, c) if to is None else to
             for token, size, fits in ends[node]:
                 if size == n:
@@ -230,32 +234,38 @@ class Worker:
         self.words = Recent(lambda word: self.written(self.bpe.word(word)), CACHE_WORDS)
         self.others = Recent(lambda stretch: self.written(self.bpe.chunk(stretch)), CACHE_OTHERS)
 
-    def written(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids as text and decoded text, a space after each id."""
-        return (len(ids), (" ".join(map(str, ids)) + " ").encode(), (self.bpe.decode(ids) + " ").encode()) if ids else (0, b"", b"")
+    def written(self, ids: list[int]) -> bytes:
+        """Ids as text and, after a line end, the decoded text, a space after each id; one object a word, as very many are remembered."""
+        return f"{' '.join(map(str, ids))} \n{self.bpe.decode(ids)} ".encode() if ids else b""
 
-    def part(self, stretch: str) -> tuple[int, bytes, bytes]:
-        """A word of Latin letters and the signs after it are looked up apart, any other stretch as a whole."""
+    def part(self, stretch: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text; a word of Latin letters and the signs after it are looked up apart, any other stretch as a whole."""
         letters = stretch.rstrip(SIGNS)
         if self.bpe.lone and (word := latin(letters)):
-            own = recall(self.words, word)
-            if len(letters) == len(stretch):
-                return own
-            signs = recall(self.others, stretch[len(letters) :])
-            return own[0] + signs[0], own[1] + signs[1], own[2] + signs[2]
-        return recall(self.others, stretch)
+            ids, _, decoded = recall(self.words, word).partition(b"\n")
+            if len(letters) < len(stretch):
+                more_ids, _, more = recall(self.others, stretch[len(letters) :]).partition(b"\n")
+                return ids + more_ids, decoded + more
+            return ids, decoded
+        ids, _, decoded = recall(self.others, stretch).partition(b"\n")
+        return ids, decoded
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, list[memoryview], list[memoryview]]:
         """Of each text: number of ids, ids joined by a space, decoded text."""
         distinct, order, bounds = cut(texts)
         parts = [*map(self.part, distinct)]
-        sizes = np.concatenate([[0], np.cumsum(np.array([p[0] for p in parts], np.int64)[order])])[bounds]
+        sizes = np.concatenate([[0], np.cumsum(np.array([p[0].count(b" ") for p in parts], np.int64)[order])])[bounds]
 
         def rows(k: int) -> list[memoryview]:
             text, at = together([p[k] for p in parts], order, bounds)
             return [text[a : max(a, z - 1)] for a, z in zip(at, at[1:])]  # without the last space
 
-        return np.diff(sizes), rows(1), rows(2)
+        return np.diff(sizes), rows(0), rows(1)
+
+    def digests(self, texts: pa.Array) -> list[pa.Array]:
+        """Of each text: number of ids, SHA-256 of the ids and of the decoded text."""
+        n, spelled, decoded = self.texts(texts)
+        return [pa.array(n, pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()) for own in (spelled, decoded))]
 
 
 _WORKERS: dict[str, Worker] = {}
@@ -269,13 +279,20 @@ def worker(key: str, spec: str) -> Worker:
     return _WORKERS[key]
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`slices` of :data:`SLICE` bytes; what Arrow needed for the one before goes back to the system, as many workers share a machine's memory."""
+    for b in slices(batches, "text", SLICE):
+        yield b
+        pa.default_memory_pool().release_unused()
+
+
 def encode_decode(docs: DataFrame, spec: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``ids array<int>`` and ``decoded`` of every row's text."""
     spec_of, key = docs.sparkSession.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = worker(key, spec_of.value)
-        for b in slices(batches, "text", 8 << 20):
+        for b in portions(batches):
             _, spelled, decoded = w.texts(b.column("text"))
             ids = pa.array([np.array(bytes(s).split(), np.int32) for s in spelled], pa.list_(pa.int32()))
             decoded = pa.array([str(d, "utf-8") for d in decoded], pa.string())
@@ -290,15 +307,9 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
     spec_of, key = docs.sparkSession.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, sha = worker(key, spec_of.value), hashlib.sha256
-        for b in slices(batches, "text", 8 << 20):
-            n, spelled, decoded = w.texts(b.column("text"))
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"),
-                pa.array(n, pa.int64()),
-                pa.array([sha(s).hexdigest() for s in spelled]),
-                pa.array([sha(d).hexdigest() for d in decoded]),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        w = worker(key, spec_of.value)
+        for b in portions(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *w.digests(b.column("text"))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 import json
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -59,6 +60,23 @@ def test_digests_of_edge_cases(spark, docs_of):
     assert bpe.digests(docs_of([]), bpe.load(PATH)).count() == 0
 
 
+def test_a_worker_holds_little():
+    """Before, 8 MB of text were encoded at once, and a remembered word took 300 bytes."""
+    seen = []
+    texts = pa.array(["the end of it " * 5000] * 120)
+    for b in bpe.portions(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        seen.append(b.column("text").to_pylist())
+    assert sum(seen, []) == texts.to_pylist()
+    assert max(sum(map(len, own)) for own in seen) <= 2 << 20
+    w = bpe.Worker(bpe.load(PATH))
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abtheinrso") for _ in range(9)) for _ in range(4000)})
+    w.digests(pa.array([" ".join(words)]))
+    assert {type(v) for v in w.words.values()} == {bytes} and len(w.words) == len(words)
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in w.words.items()) < 160 * len(words)
+    assert w.words.limit <= 200_000
+
+
 # --- Huffman --------------------------------------------------------------------------
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(3)
