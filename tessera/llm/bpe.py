@@ -27,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import Recent, read, slices
+from .common import Recent, portions, read
 from .stretches import SIGNS, cut, latin, recall, together
 
 #: Words, and other stretches of text, that a Python worker remembers.
 CACHE_WORDS, CACHE_OTHERS = 200_000, 50_000
-#: Bytes of text that a Python worker encodes at once; what it makes of them takes several times as much.
-SLICE = 2 << 20
 #: Pairs of tokens of which it is remembered whether they are compatible.
 CACHE_PAIRS = 600_000
 
@@ -279,13 +277,6 @@ def worker(key: str, spec: str) -> Worker:
     return _WORKERS[key]
 
 
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """:func:`slices` of :data:`SLICE` bytes; what Arrow needed for the one before goes back to the system, as many workers share a machine's memory."""
-    for b in slices(batches, "text", SLICE):
-        yield b
-        pa.default_memory_pool().release_unused()
-
-
 def encode_decode(docs: DataFrame, spec: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``ids array<int>`` and ``decoded`` of every row's text."""
     spec_of, key = docs.sparkSession.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()

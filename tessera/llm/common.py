@@ -15,6 +15,8 @@ from ..operators.joins import skew_join
 
 #: Largest table that an operator broadcasts itself; beyond it the plan shuffles (or works in blocks).
 BROADCAST_BYTES = 64 << 20
+#: Bytes of text that a Python worker has in hand at once; what it makes of them takes several times as much.
+SLICE = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -187,3 +189,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
         step = max(1, int(b.num_rows * limit / max(1, b.column(b.schema.get_field_index(text)).nbytes)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`slices` of :data:`SLICE` bytes; what Arrow needed for the one before goes back to the system, as many workers share a machine's memory."""
+    for b in slices(batches, "text", SLICE):
+        yield b
+        pa.default_memory_pool().release_unused()

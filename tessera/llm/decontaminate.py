@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import skew_join
-from .common import Scratch, fixed, located, read, running, slices, without
+from .common import Scratch, fixed, located, portions, read, running, slices, without
 
 #: Words of a shingle, and the windows of a block (about 1 KB each in a task; one of over WINDOW_BYTES counts as several).
 SHINGLE, BLOCK, WINDOW_BYTES = 3, 100_000, 256
@@ -104,7 +104,7 @@ def shingle_counts(docs: DataFrame, wanted: dict[int, set[Words]]) -> dict[Words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[Words] = Counter()
-        for b in slices(batches, "text"):
+        for b in portions(batches):
             for text in b.column("text").to_pylist():
                 w = words_of(text)
                 for size, own in shared.value.items():
@@ -117,6 +117,16 @@ def shingle_counts(docs: DataFrame, wanted: dict[int, set[Words]]) -> dict[Words
     return {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in rows.toLocalIterator()}  # no more than were asked for
 
 
+def scanned(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """The rows with their findings; a worker holds one text's words at a time."""
+    for b in portions(batches):
+        got = [(len(w), *index.scan(w)) for w in map(words_of, b.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id"), b.column("_file"), b.column("_row"), pa.array([n for n, _, _ in got], pa.int64()),
+            pa.array([s for _, s, _ in got], pa.list_(pa.int32())), pa.array([i for _, _, i in got], pa.list_(pa.int64())),
+        ], ["doc_id", "_file", "_row", "n_words", "spans", "windows"])
+
+
 def hits(docs: DataFrame, found: DataFrame, scratch: Scratch, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, _file, _row, n_words, spans (hit words as [from, to) pairs), windows (ids of
     the ``numbered`` windows in ``found``, ascending)."""
@@ -135,14 +145,7 @@ def hits(docs: DataFrame, found: DataFrame, scratch: Scratch, shingle: int = SHI
         shared = spark.sparkContext.broadcast(Index(own, shingle_counts(docs, dict(wanted)), shingle))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in slices(batches, "text"):
-                own = [words_of(t) for t in b.column("text").to_pylist()]
-                got = [index.scan(w) for w in own]
-                yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), b.column("_file"), b.column("_row"), pa.array([len(w) for w in own], pa.int64()),
-                    pa.array([s for s, _ in got], pa.list_(pa.int32())), pa.array([i for _, i in got], pa.list_(pa.int64())),
-                ], ["doc_id", "_file", "_row", "n_words", "spans", "windows"])
+            return scanned(batches, shared.value)
 
         scans.append(rows.mapInArrow(run, schema))
     if blocks == 1:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fixed, fold, located, read, slices, without
+from .common import Scratch, fixed, fold, located, portions, read, slices, without
 
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 20_000
@@ -230,19 +230,22 @@ def following(pairs: DataFrame, names: set[str]) -> DataFrame:
 
 
 # --- scoring --------------------------------------------------------------------------
+def scored(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows with their scores; a worker holds one text's words at a time."""
+    for b in portions(batches):
+        told = [(model.difference(w), len(w)) for w in map(words_of, b.column("text").to_pylist())]
+        d, n = np.array([x for x, _ in told], float), np.array([x for _, x in told], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c) for c in keep), pa.array(d), pa.array(n), pa.array(model.score(d, n.astype(float)))], [*keep, "difference", "n", "score"]
+        )
+
+
 def differences(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``difference`` of the log-likelihoods, ``n`` words, ``score``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in slices(batches, "text"):
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            d = np.array([model.difference(w) for w in words], float)
-            n = np.array([len(w) for w in words], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array(d), pa.array(n), pa.array(model.score(d, n.astype(float)))], [*keep, "difference", "n", "score"]
-            )
+        return scored(batches, shared.value, keep)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.select(*keep, "text").mapInArrow(run, f"{schema}, difference double, n bigint, score double")

@@ -2,10 +2,13 @@
 
 import math
 import random
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from llm_fixtures import docs_of, scratch  # noqa: F401
 from tessera.llm import decontaminate, mixing, toxicity
@@ -326,3 +329,34 @@ def test_mixing_learns_what_the_context_tells():
     mixer.learn(tables, slots, bit, np.zeros_like(mixer.weights))
     after = mixer.log10(tables, slots, bit).sum()
     assert after > before and after / len(bit) > math.log10(0.9)
+
+
+# --- memory ---------------------------------------------------------------------------
+@pytest.mark.parametrize("module", [toxicity, decontaminate])
+def test_a_worker_holds_the_words_of_one_text(monkeypatch, module):
+    """Before, it held those of 8 MB of text: some 100 MB."""
+
+    class Words(list):
+        pass
+
+    made, most, plain = [], [0], module.words_of
+
+    def words_of(text):
+        most[0] = max(most[0], sum(r() is not None for r in made))
+        own = Words(plain(text))
+        made.append(weakref.ref(own))
+        return own
+
+    monkeypatch.setattr(module, "words_of", words_of)
+    texts = [f"one two three four {i}" for i in range(50)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(52), "text": texts, "_file": ["f"] * 52, "_row": range(52)})
+    if module is toxicity:
+        out = toxicity.scored(iter([batch]), toxicity.Model(word={"one": 2.0}), ["doc_id"])
+    else:
+        out = decontaminate.scanned(iter([batch]), decontaminate.Index([((b"two", b"three"), 7)], {}, 3))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(52)] and len(made) == 52 and most[0] <= 1
+    if module is toxicity:
+        assert {(r["n"], r["difference"]) for r in rows} == {(4, 2.0), (0, 0.0)}
+    else:
+        assert [(r["n_words"], r["spans"], r["windows"]) for r in rows] == [(5, [1, 3], [7])] * 50 + [(0, [], [])] * 2
