@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from tessera.llm.common import Scratch, read
 
+#: Rows that Spark sends to a Python worker at once; texts are long.
+BATCH_ROWS = 1000
+
 _open: list[Scratch] = []
 
 
@@ -26,7 +29,18 @@ def _scratch(spark: SparkSession, name: str) -> Scratch:
     return _open[0]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Sends :data:`BATCH_ROWS` rows to a worker at once: the executor has a batch in hand while it is written, and its worker the whole of it.
+
+    Spark reads the setting when a stage's result is written, so it stays in the session; a smaller one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return toxicity.keep_ordinary(docs, read(spark, sf_dir, "labels"), _scratch(spark, "toxicity"))
 
 
@@ -35,14 +49,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return simhash.keep_one(docs, _scratch(spark, "near_copies"), words=4, distance=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), _scratch(spark, "contaminated"), window=10)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return bpe.digests(docs, bpe.load(public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -20,6 +20,8 @@ import hashlib
 import json
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from .stretches import SIGNS, cut, latin, recall, together
 
 #: Words, and other stretches of text, that a Python worker remembers.
 CACHE_WORDS, CACHE_OTHERS = 200_000, 50_000
-#: Pairs of tokens of which it is remembered whether they are compatible.
-CACHE_PAIRS = 600_000
+#: Places for pairs of tokens of which it is remembered whether they are compatible; a prime.
+CACHE_PAIRS = 524_287
 
 
 def byte_symbols() -> list[str]:
@@ -44,7 +46,10 @@ def byte_symbols() -> list[str]:
 
 
 class Bpe:
-    """A merge vocabulary over words with an end-of-word mark, read from a tokenizer file."""
+    """A merge vocabulary over words with an end-of-word mark, read from a tokenizer file.
+
+    Every Python worker has one, so its tables are arrays of numbers, and a pair of tokens is one number.
+    """
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -52,9 +57,14 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.names = {i: s for s, i in self.vocab.items()}
         self.bytes = byte_symbols()
+        self.n_ids = max(self.names, default=0) + 1
         # the merges are pairs of tokens; the rank of a merge is its place in the list
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.rank: dict[int, int] = {}  # by left token * n_ids + right token
+        self.makes = array("i")  # by rank
+        for r, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.rank[self.vocab[a] * self.n_ids + self.vocab[b]] = r
+            self.makes.append(self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: s for s, i in self.special.items()})
         # the file's own normaliser and word pattern, run by the library, whose tables say what a letter is
@@ -67,7 +77,6 @@ class Bpe:
         self.lone &= all(t.rstrip(SIGNS) and not t.rstrip(SIGNS).isalpha() for t in self.special)
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self._build()
-        self.n_fits = 0
 
     # --- tokens as strings of symbols -------------------------------------------------
     def symbols(self, token: str) -> list[str]:
@@ -79,52 +88,57 @@ class Bpe:
 
     def _build(self) -> None:
         """The automaton: a trie of the tokens; fail: the longest proper suffix that is in the trie."""
-        made = {i for _, i in self.rank.values()}  # symbols and merge results; nothing else is ever emitted
-        go: list[dict[str, int]] = [{}]
-        at: list[int] = [-1]  # the token that the node spells
+        made = {self.makes[r] for r in self.rank.values()}  # symbols and merge results; nothing else is ever emitted
+        code = {c: n for n, c in enumerate(self.bytes)}
+        code |= {c + self.end: 256 + n for c, n in code.items()} if self.end else {}
+        go: dict[int, int] = {}  # by node << 9 | symbol
+        at, above, depth = array("i", [-1]), array("q", [0]), array("i", [0])  # the token that a node spells, its key in go, its depth
+        self.length = array("i", [0]) * self.n_ids
         for token, i in self.vocab.items():
             spelled = self.symbols(token)
-            if i in made or len(spelled) == 1:
+            self.length[i] = len(spelled)
+            if (i in made or len(spelled) == 1) and all(c in code for c in spelled):  # no text has any other symbol
                 node = 0
                 for c in spelled:
-                    if c not in go[node]:
-                        go[node][c] = len(go)
-                        go.append({})
+                    key = node << 9 | code[c]
+                    if key not in go:
+                        go[key] = len(at)
                         at.append(-1)
-                    node = go[node][c]
+                        above.append(key)
+                        depth.append(depth[node] + 1)
+                    node = go[key]
                 at[node] = i
-        fail, order = [0] * len(go), list(go[0].values())
-        for node in order:  # by breadth, as the list grows
-            for c, to in go[node].items():
-                f = fail[node]
-                while f and c not in go[f]:
+        fail = array("i", [0]) * len(at)
+        for node in np.argsort(np.frombuffer(depth, np.int32), kind="stable").tolist():  # by breadth
+            if depth[node] > 1:
+                f, c = fail[above[node] >> 9], above[node] & 511
+                while f and f << 9 | c not in go:
                     f = fail[f]
-                fail[to] = go[f].get(c, 0)
-                order.append(to)
-        self.length = {i: len(self.symbols(t)) for t, i in self.vocab.items()}
+                fail[node] = go.get(f << 9 | c, 0)
         # how each token is made, and its place in the order of making: symbols first, then merges by rank
-        self.split = {to: pair for pair, (_, to) in self.rank.items()}
-        self.order = dict.fromkeys(self.vocab.values(), -1) | {to: r for r, to in self.rank.values()}
+        self.left, self.right, self.order = (array("i", [-1]) * self.n_ids for _ in range(3))
+        for pair, r in self.rank.items():
+            to = self.makes[r]
+            self.left[to], self.right[to] = divmod(pair, self.n_ids)
+            self.order[to] = r
         # taking tokens apart needs one way of making each, and tokens that their own symbols give
-        self.one_way = len(self.split) == len(self.rank) and all(self.apart(a, b, r) for (a, b), (r, _) in self.rank.items())
-        # tokens that end here, longest first: their lengths, and which tokens they are known to fit after
-        ends: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()] * len(go)
-        self.fits: dict[int, dict[int, bool]] = {}
-        for node in order:
-            i = at[node]
-            ends[node] = (((i, self.length[i], self.fits.setdefault(i, {})),) if i >= 0 else ()) + ends[fail[node]]
-        leaf: dict[str, int] = {}  # one for all nodes that nothing follows
-        self.go, self.fail, self.ends = [to or leaf for to in go], fail, ends
-        self.steps: dict[int, int] = {}  # by node << 9 | symbol
+        self.one_way = len(made) == len(self.rank) and all(self.apart(*divmod(pair, self.n_ids), r) for pair, r in self.rank.items())
+        self.at, self.fail = at, fail
+        keys = np.sort(np.fromiter(go, np.int64, len(go)))
+        self.keys, self.to = array("q", keys.tobytes()), array("i", np.array([go[k] for k in keys.tolist()], np.int32).tobytes())
+        self.steps: dict[int, int] = {}  # of those taken, by node << 9 | symbol
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(at)  # of the nodes that were met
+        self.fits = array("q", [-1]) * CACHE_PAIRS  # pair * 2, plus 1 if compatible
 
     # --- pair compatibility -----------------------------------------------------------
     def merged(self, ids: list[int]) -> list[int]:
         """The merges applied to a short sequence in order of rank."""
         while len(ids) > 1:
-            best = min(((self.rank[p][0], p) for p in zip(ids, ids[1:]) if p in self.rank), default=None)
+            pairs = [a * self.n_ids + b for a, b in zip(ids, ids[1:])]
+            best = min((self.rank[p] for p in pairs if p in self.rank), default=None)
             if best is None:
                 break
-            (a, b), to, out, i = best[1], self.rank[best[1]][1], [], 0
+            (a, b), to, out, i = divmod(next(p for p in pairs if self.rank.get(p) == best), self.n_ids), self.makes[best], [], 0
             while i < len(ids):
                 if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
                     out.append(to)
@@ -142,15 +156,15 @@ class Bpe:
         the merge just undone, so their own merge, if it comes before that one, would have crossed the border; of one
         rank, the left of two merges comes first.
         """
-        rank, order, split = self.rank, self.order, self.split
+        rank, order, n = self.rank, self.order, self.n_ids
         while True:
-            crossing = rank.get((left, right))
-            if crossing is not None and crossing[0] < limit:
+            crossing = rank.get(left * n + right)
+            if crossing is not None and crossing < limit:
                 return False
             if order[left] > order[right]:
-                limit, left = order[left], split[left][1]
-            elif right in split:
-                limit, right = order[right] + 1, split[right][0]
+                limit, left = order[left], self.right[left]
+            elif order[right] >= 0:
+                limit, right = order[right] + 1, self.left[right]
             else:
                 return True
 
@@ -161,38 +175,48 @@ class Bpe:
         else:
             spelled = self.symbols(self.names[left]) + self.symbols(self.names[right])
             got = self.merged([self.vocab[s] for s in spelled]) == [left, right]
-        if self.n_fits >= CACHE_PAIRS:
-            for known in self.fits.values():
-                known.clear()
-            self.n_fits = 0
-        self.n_fits += 1
-        self.fits.setdefault(right, {})[left] = got
+        pair = left * self.n_ids + right
+        self.fits[pair % CACHE_PAIRS] = pair << 1 | got
         return got
 
     # --- encoding ---------------------------------------------------------------------
     def step(self, node: int, c: int) -> int:
         """The node after reading one symbol (a byte, or 256 + byte for the last one of a word)."""
-        symbol = self.bytes[c & 255] + (self.end if c > 255 else "")
-        to = node
-        while to and symbol not in self.go[to]:
+        keys, found, to = self.keys, 0, node
+        while True:
+            at = bisect_left(keys, to << 9 | c)
+            if at < len(keys) and keys[at] == to << 9 | c:
+                found = self.to[at]
+                break
+            if not to:
+                break
             to = self.fail[to]
-        to = self.steps[node << 9 | c] = self.go[to].get(symbol, 0)
-        return to
+        self.steps[node << 9 | c] = found
+        return found
+
+    def ending(self, node: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that end at the node, longest first, and their lengths."""
+        own = self.ends[node]
+        if own is None:
+            i = self.at[node]
+            own = self.ends[node] = (((i, self.length[i]),) if i >= 0 else ()) + (self.ending(self.fail[node]) if node else ())
+        return own
 
     def word(self, word: str) -> tuple[int, ...]:
         raw = [*word.encode()]
         raw[-1] += 256 if self.end else 0
-        last, node, steps, ends = [-1], 0, self.steps, self.ends
+        last, node, steps, ends, fits, n_ids = [-1], 0, self.steps, self.ends, self.fits, self.n_ids
         for n, c in enumerate(raw, 1):  # last[n]: the token that ends the encoding of the first n symbols
             to = steps.get(node << 9 | c)
             node = self.step(node, c) if to is None else to
-            for token, size, fits in ends[node]:
+            for token, size in ends[node] or self.ending(node):
                 if size == n:
                     last.append(token)
                     break
                 left = last[n - size]
-                fit = fits.get(left)
-                if self.compatible(left, token) if fit is None else fit:
+                pair = left * n_ids + token
+                known = fits[pair % CACHE_PAIRS]
+                if known & 1 if known >> 1 == pair else self.compatible(left, token):
                     last.append(token)
                     break
         out, n = [], len(raw)

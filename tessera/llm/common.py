@@ -16,7 +16,7 @@ from ..operators.joins import skew_join
 #: Largest table that an operator broadcasts itself; beyond it the plan shuffles (or works in blocks).
 BROADCAST_BYTES = 64 << 20
 #: Bytes of text that a Python worker has in hand at once; what it makes of them takes several times as much.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -4,6 +4,7 @@ import json
 import random
 import struct
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -60,6 +61,26 @@ def test_digests_of_edge_cases(spark, docs_of):
     assert bpe.digests(docs_of([]), bpe.load(PATH)).count() == 0
 
 
+def test_tables_are_small():
+    """Before, the tables took 49 MB: a dictionary for every node of the automaton and for every token."""
+    spec = json.loads(bpe.load(PATH))
+    tracemalloc.start()
+    b = bpe.Bpe(spec)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert b.one_way and size < 25e6
+
+
+def test_known_pairs_take_each_others_places(monkeypatch, reference):
+    """Before, up to 600,000 pairs were kept, each as objects of its own; now a pair gives way to another of the same place."""
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 7)
+    b = bpe.Bpe(json.loads(bpe.load(PATH)))
+    for text in filter(None, texts()):
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert b.chunk(text) == ids and b.chunk(text) == ids
+    assert len(b.fits) == 7
+
+
 def test_a_worker_holds_little():
     """Before, 8 MB of text were encoded at once, and a remembered word took 300 bytes."""
     seen = []

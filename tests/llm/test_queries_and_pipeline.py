@@ -4,6 +4,7 @@ import os
 import sys
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
@@ -64,3 +65,22 @@ def test_pipeline_of_no_documents_and_extra_columns(spark, tmp_path):
             os.symlink(f"{SF_SMALL}/{t}.parquet", folder / f"{t}.parquet")
         # the two texts without words are equal, then near each other: one stays
         assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(folder)).collect()) == ([] if name == "none" else [1, 3])
+
+
+def test_a_worker_gets_few_rows_at_once(spark):
+    """Before, 10,000 rows were sent at once, 33 MB of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        for given, most in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(key, given)
+            corpus_pipeline.encode(spark, spark.read.parquet(f"{SF_SMALL}/documents.parquet"), SF_SMALL)
+            got = [r["n"] for r in spark.range(2500).coalesce(1).mapInArrow(sizes, "n bigint").collect()]
+            assert sum(got) == 2500 and max(got) == most
+    finally:
+        spark.conf.set(key, own)
